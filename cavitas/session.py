@@ -40,16 +40,18 @@ def ship(spark: SparkSession) -> None:
     _shipped[context.applicationId] = True
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by an eager checkpoint.
-
-    The folder is ``spark.checkpoint.dir``, which a cluster shares between its
-    machines; only where it is unset is a temporary one made.
-    """
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which a cluster shares between its machines; a temporary folder only where it is unset."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cavitas-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by an eager checkpoint in `checkpoint_folder`."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
