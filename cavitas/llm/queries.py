@@ -8,15 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cavitas.llm.bpe import op5_bpe_round_trip
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cavitas.llm.language_id import op8_language_id
+from cavitas.llm.license_scan import op2_license_scan
 from cavitas.llm.secret_scan import op7_secret_scan
 from cavitas.llm.simhash import op9_simhash_near_dedup
 from cavitas.llm.token_shards import op6_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_shards": op6_token_shards,
     "op7_secret_scan": op7_secret_scan,
+    "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
