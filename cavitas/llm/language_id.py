@@ -6,7 +6,8 @@ document frequency over all learnable documents, and normalised. Each language
 has ``CENTROIDS`` centroids, clustered by cosine on a sample of about
 ``SAMPLE`` documents, by hash of the id. A text gets the language of the centroid with
 the largest cosine, and is rejected if that cosine is under ``FLOOR`` times the
-least that the language's own sample reaches.
+least that the language's own sample reaches (for texts with under ``FEW``
+distinct trigrams less, by the root of their share of it).
 
 Only text and non-null lang of documents with crc32(doc_id as text) mod 3 not 1
 are learned from; at most ``LANGUAGES`` languages, the most frequent. Defined
@@ -35,7 +36,8 @@ DIMS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 500
 LANGUAGES = 256
-FLOOR = 0.5
+FLOOR = 0.3
+FEW = 100
 
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -68,10 +70,11 @@ class Model:
         """Language, cosine, and whether the text is rejected."""
         if text is None or not self.langs or not _LETTER.search(text):
             return "und", 0.0, True
-        near = self.centroids @ vector(counts(text), self.idf)
+        found = counts(text)
+        near = self.centroids @ vector(found, self.idf)
         best = int(near.argmax())
         score = min(1.0, max(0.0, float(near[best])))
-        return self.langs[best], score, score < float(self.floors[best])
+        return self.langs[best], score, score < float(self.floors[best]) * min(1.0, (np.count_nonzero(found) / FEW) ** 0.5)
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
