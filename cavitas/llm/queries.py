@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cavitas.llm.bpe import op5_bpe_round_trip
+from cavitas.llm.decontaminate import op3_decontaminate
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
@@ -16,6 +17,7 @@ from cavitas.llm.token_shards import op6_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_token_shards": op6_token_shards,

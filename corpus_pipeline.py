@@ -1,4 +1,9 @@
-"""A training corpus from ``documents``: each stage works on all its predecessor kept."""
+"""A training corpus from ``documents``, stage by stage.
+
+Each stage works on all that the one before kept; what it returns is written
+as Parquet in the shared checkpoint folder and read again as the next stage's
+documents. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,52 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cavitas.llm import exact_dedup, simhash
-from cavitas.session import table
+from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from cavitas.session import checkpoint_folder, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID rejects go."""
+    return language_id.keep_known(docs, language_id.fit(docs))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays. Shingles have ``SHINGLE`` words."""
+    return simhash.deduplicate(docs, words=SHINGLE)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item occurs go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of each document that is left, encoded and decoded."""
+    return bpe.round_trip(docs, bpe.vocabulary_path())
+
 
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 STAGES = [
-    ("exact_dedup", lambda spark, docs, sf_dir: exact_dedup.deduplicate(docs)),
-    ("simhash_near_dedup", lambda spark, docs, sf_dir: simhash.deduplicate(docs)),
+    ("language_id", language),
+    ("exact_dedup", exact),
+    ("simhash_near_dedup", near),
+    ("benchmark_decontamination", benchmark_free),
+    ("bpe_encoding", tokens),
 ]
+#: SQL can't express the language model, the fingerprints or the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
