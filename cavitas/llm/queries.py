@@ -13,6 +13,7 @@ from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
 from cavitas.llm.secret_scan import op7_secret_scan
 from cavitas.llm.simhash import op9_simhash_near_dedup
+from cavitas.llm.substring_dedup import op10_substring_dedup
 from cavitas.llm.token_shards import op6_token_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secret_scan": op7_secret_scan,
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
