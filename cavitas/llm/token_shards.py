@@ -50,13 +50,13 @@ class WaveletMatrix:
         a = tokens.astype(np.uint16 if levels <= 16 else np.uint32)
         planes, zeros, blocks = [], [], []
         for k in range(levels - 1, -1, -1):
-            bits = (a >> a.dtype.type(k)) & a.dtype.type(1) != 0
+            bits = (a & a.dtype.type(1 << k)) != 0
             packed = np.packbits(bits, bitorder="little")
             planes.append(packed)
             blocks.append(_block_counts(packed))
-            low = a[~bits]
+            low = np.compress(~bits, a)
             zeros.append(len(low))
-            a = np.concatenate([low, a[bits]])
+            a = np.concatenate([low, np.compress(bits, a)])
         return cls(len(tokens), planes, zeros, blocks)
 
     def bits(self, k: int) -> np.ndarray:
@@ -69,8 +69,8 @@ class WaveletMatrix:
         for k in range(self.levels - 1, -1, -1):
             bits, z = self.bits(k), self.zeros[k]
             above = np.empty(self.n, kind)
-            above[~bits] = a[:z]
-            above[bits] = a[z:] | kind(1 << (self.levels - 1 - k))
+            above[np.flatnonzero(~bits)] = a[:z]
+            above[np.flatnonzero(bits)] = a[z:] | kind(1 << (self.levels - 1 - k))
             a = above
         return a
 
@@ -218,19 +218,17 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = END, sha
     shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(folder)
 
 
-def _read():
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                matrix, lengths = WaveletMatrix.from_bytes(batch["payload"][row].as_py())
-                tokens = memoryview(matrix.tokens().astype("<u4").tobytes())
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                arrays = [batch["doc_ids"][row].values, pa.array(starts + batch["base"][row].as_py()), pa.array(lengths), pa.array(crc, pa.int64())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return run
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            matrix, lengths = WaveletMatrix.from_bytes(batch["payload"][row].as_py())
+            tokens = memoryview(matrix.tokens().astype("<u4").tobytes())
+            ends = np.cumsum(lengths)
+            starts = ends - lengths
+            crc = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            own = [pa.array(np.full(len(lengths), batch[c][row].as_py(), np.int32)) for c in ("part", "shard")]
+            arrays = [*own, batch["doc_ids"][row].values, pa.array(starts), pa.array(lengths), pa.array(crc, pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, ["part", "shard", "doc_id", "at", "n_tokens", "ids_crc32"])
 
 
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
@@ -239,7 +237,8 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(folder)
     order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
     bases = files.select("part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
-    return files.join(bases, ["part", "shard"]).select("base", "doc_ids", "payload").mapInArrow(_read(), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    read = files.select("part", "shard", "doc_ids", "payload").mapInArrow(_read, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return read.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
