@@ -37,7 +37,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Longest text, in characters, and pre-token, in bytes, that is encoded at once.
 LEAF = 1 << 16
 #: Chunks, and pre-tokens, whose ids a task keeps.
-CHUNKS = 800_000
+CHUNKS = 500_000
 #: Chunks of Latin letters, digits and signs but the apostrophe, with single line
 #: ends between: their pre-tokens are runs of one kind, and the line ends.
 _LETTERS, _SIGNS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-&(-/:-@\[-`{-~"

@@ -15,8 +15,10 @@ from cavitas.llm.secret_scan import op7_secret_scan
 from cavitas.llm.simhash import op9_simhash_near_dedup
 from cavitas.llm.substring_dedup import op10_substring_dedup
 from cavitas.llm.token_shards import op6_token_shards
+from cavitas.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_exact_dedup": op4_exact_dedup,
