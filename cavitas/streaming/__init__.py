@@ -1,0 +1 @@
+"""The reference has no streams; nothing is built here."""
