@@ -63,7 +63,7 @@ def parse_many(labels: Column, template: str, strict: bool = True) -> Column:
 
 def by_field(structs: Column, template: str) -> Column:
     """A struct of arrays from an array of structs."""
-    return F.struct(*[F.transform(structs, lambda x, n=name: x[n]).alias(name) for name in fields(template)])
+    return F.struct(*[structs[name].alias(name) for name in fields(template)])
 
 
 def resolve(labels: DataFrame, atoms: DataFrame, template: str, label: str = "label", keys: tuple[str, ...] = ()) -> DataFrame:
