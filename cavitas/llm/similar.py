@@ -1,0 +1,184 @@
+"""Near-dedup of similar texts by SimHash: five-word shingles, similarity 0.8 or more.
+
+`simhash` links fingerprints of 64 bits at two differing bits, which finds all but equal
+texts. Here a document has two longer fingerprints of the same kind: ``WORD_BITS`` bits
+over its distinct words, which a few edits hardly change, to find candidates by the same
+deletion-variant signatures (each half of 32 bits with each bit deleted), and
+``SHINGLE_BITS`` bits over its distinct shingles to judge them. With Jaccard similarity J
+the shingle fingerprints of two texts differ in a share acos(2J / (1 + J)) / pi of the bits;
+candidates within ``SLACK`` standard deviations of that share are linked.
+
+Defined results: as in `simhash`; rows without an id link to nothing and stay; rows of
+one id count as one document.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from math import acos, pi, sqrt
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cavitas.llm.common import gram_hashes, map_batches, mix, texts_of, word_bounds, word_hashes
+from cavitas.operators.graph import connected_components
+from cavitas.session import cut, ship
+
+WORDS = 5
+SIMILARITY = 0.8
+WORD_BITS, SHINGLE_BITS = 256, 512
+SLACK = 2.0
+#: Members of a bucket that meet in a task; a larger bucket is dealt out in blocks that meet two by two.
+BUCKET = 512
+
+
+def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK) -> int:
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return int(bits * (share + slack * sqrt(share * (1 - share) / bits)))
+
+
+def long_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+    """Each bit is 1 if it is set in over half of the hashes' expansions; none: all zero."""
+    out = []
+    for k in range(bits // 64):
+        h = mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64)))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 15):
+            ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def _fingerprinter(words: int):
+    def make():
+        def step(batch: pa.RecordBatch):
+            own, shingles = [], []
+            for data in texts_of(batch["text"]):
+                array = np.frombuffer(data.lower(), np.uint8)
+                h = word_hashes(array, *word_bounds(array))
+                own.append(np.frombuffer(long_fingerprint(np.unique(h), WORD_BITS), np.int64).tolist())
+                shingles.append(long_fingerprint(np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else h, SHINGLE_BITS))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, pa.list_(pa.int64())), pa.array(shingles, pa.binary())], ["id", "own", "shingles"])
+
+        return step
+
+    return make
+
+
+def signatures(prints: DataFrame) -> DataFrame:
+    """``key, id``: 32 rows for each half of each 64 bits of ``own``, one bit deleted in each."""
+    bit = F.expr("sequence(0, 31)")
+    shift = lambda v, b: F.call_function("shiftleft", v, b)
+    halves = []
+    for n in range(WORD_BITS // 32):
+        word = F.col("own")[n // 2]
+        half = F.shiftrightunsigned(word, 32) if n % 2 else word.bitwiseAND(0xFFFFFFFF)
+        halves.append(_variants(bit, half, n, shift))
+    return prints.select("id", F.explode(F.concat(*halves)).alias("key"))
+
+
+def _variants(bit, half, n: int, shift):
+    one = F.lit(1).cast("long")
+    return F.transform(bit, lambda b: half.bitwiseAND(F.bitwise_not(shift(one, b))).bitwiseOR(shift((b + 32 * n).cast("long"), F.lit(32))))
+
+
+def _shared(bucket: int):
+    """Over batches sorted by key: (set, id) of keys with two ids or more; a set is named by its members."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def settle(last: bool):
+            nonlocal keys, ids
+            if not len(keys):
+                return
+            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
+            if not last:  # the last key may go on
+                rest = edges[-2]
+                edges = edges[:-1]
+            else:
+                rest = len(keys)
+            sets, members = [], []
+            for i in np.flatnonzero(np.diff(edges) > 1):
+                own = np.unique(ids[edges[i] : edges[i + 1]])
+                if len(own) > 1:
+                    h = own.astype(np.uint64)
+                    name = int(mix(np.array([mix(h).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+                    sets.append(np.full(len(own), name, np.int64))
+                    members.append(own)
+            keys, ids = keys[rest:], ids[rest:]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.concatenate(members))], ["set", "id"])
+
+        for batch in batches:
+            keys = np.concatenate([keys, batch["key"].to_numpy(zero_copy_only=False)])
+            ids = np.concatenate([ids, batch["id"].to_numpy(zero_copy_only=False)])
+            yield from settle(False)
+        yield from settle(True)
+
+    return run
+
+
+def forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links that join what the pairs within ``most`` bits join: (id, earlier id)."""
+    left = np.arange(len(ids))
+    links = []
+    while len(left):
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64) <= most
+            links += [(int(ids[k]), int(ids[at])) for k in left[near]]
+            todo += left[near].tolist()
+            left = left[~near]
+    return links
+
+
+def _judge(most: int):
+    """Over batches sorted by block: the links of each block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def settle():
+            ids, first = np.unique(np.array([r[1] for r in held], np.int64), return_index=True)
+            prints = np.frombuffer(b"".join(held[k][2] for k in first), np.uint64).reshape(len(ids), -1)
+            found = forest(ids, prints, most)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], ["src", "dst"])
+
+        for batch in batches:
+            for row in zip(batch["block"].to_pylist(), batch["id"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield from settle()
+                    held = []
+                held.append(row)
+        if held:
+            yield from settle()
+
+    return run
+
+
+def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """``src, dst``: ids of similar documents; they join what the similar pairs join."""
+    ship(docs.sparkSession)
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
+    prints = cut(map_batches(rows, _fingerprinter(words), "id long, own array<long>, shingles binary"))
+    keyed = signatures(prints).repartition("key").sortWithinPartitions("key")
+    sets = cut(keyed.mapInArrow(_shared(bucket), "set long, id long").distinct())
+    # a set over `bucket` is dealt out in blocks, and every two blocks meet
+    sizes = sets.groupBy("set").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    met = sets.join(sizes, "set").select("set", "id", own.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
+    met = met.select(F.xxhash64("set", F.least("a", "b"), F.greatest("a", "b")).alias("block"), "id")
+    judged = met.join(prints.select("id", "shingles"), "id").repartition("block").sortWithinPartitions("block")
+    return judged.mapInArrow(_judge(most_bits(similarity)), "src long, dst long").distinct()
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+    """One document of each group of similar ones stays: the one with the smallest id."""
+    parts = connected_components(links(docs, words, similarity, bucket))
+    gone = parts.where("node <> component").select(F.col("node").alias("__gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

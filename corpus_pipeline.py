@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, similar
 from cavitas.session import checkpoint_folder, table
 
 
@@ -26,8 +26,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays. Shingles have ``SHINGLE`` words."""
-    return simhash.deduplicate(docs, words=SHINGLE)
+    """One document of each group of similar ones stays: shingles of five words, similarity 0.8 or more."""
+    return similar.deduplicate(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +40,6 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, bpe.vocabulary_path())
 
 
-#: Words of a shingle in the near-duplicate stage.
-SHINGLE = 5
 STAGES = [
     ("language_id", language),
     ("exact_dedup", exact),

@@ -1,0 +1,58 @@
+import random
+
+import numpy as np
+
+from cavitas.llm import similar
+
+
+def shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def corpus(n=120, seed=2):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    rows, k = [], 0
+    for _ in range(n):
+        base = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        for copy in range(rng.choice([1, 1, 2, 4])):
+            t = list(base)
+            for _ in range(int(len(t) * rng.choice([0.004, 0.012, 0.018, 0.15])) if copy else 0):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            rows.append((k, " ".join(t)))
+            k += 1
+    return rows
+
+
+def test_recall_and_precision(spark, docs):
+    rows = corpus()
+    rows += [(5000, None), (5001, ""), (5002, "  "), (None, rows[0][1]), (5003, rows[0][1]), (5003, rows[0][1])]
+    sets = {i: shingles(t) for i, t in rows if i is not None}
+    share = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    for bucket in (similar.BUCKET, 3):
+        out = similar.deduplicate(docs(rows), bucket=bucket)
+        assert out.columns == docs([]).columns
+        kept = [r.doc_id for r in out.collect()]
+        from cavitas.operators.graph import connected_components
+
+        part = {r.node: r.component for r in connected_components(similar.links(docs(rows), bucket=bucket)).collect()}
+        near = [p for p, s in share.items() if s >= similar.SIMILARITY]
+        assert len(near) > 60 and sum(part.get(a) is not None and part.get(a) == part.get(b) for a, b in near) >= 0.9 * len(near)
+        loose = {i for p, s in share.items() if s >= 0.6 for i in p}
+        assert set(part) <= loose | {5000, 5001, 5002}
+        assert sorted(x for x in kept if x is not None) == sorted(i for i, _ in rows if i is not None and part.get(i, i) == i)
+        assert kept.count(None) == 1
+
+
+def test_forest_joins_what_pairs_join():
+    rng = np.random.default_rng(0)
+    prints = rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)
+    prints[20:] = prints[:20] ^ np.uint64(3)
+    found = similar.forest(np.arange(40), prints, 20)
+    assert sorted(sorted(x) for x in found) == [[k, k + 20] for k in range(20)]
+
+
+def test_empty(docs):
+    assert similar.deduplicate(docs([])).count() == 0
+    assert similar.deduplicate(docs([(1, "a b")])).count() == 1
