@@ -81,8 +81,11 @@ def _groups(*keys: np.ndarray) -> np.ndarray:
 
 _SENT = pa.schema([("bucket", pa.int32()), ("dk", pa.int64()), ("hashes", pa.binary()), ("more", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("runs", pa.binary())])
 _SENT_SQL = "bucket int, dk long, hashes binary, more binary, docs binary, keys binary, runs binary"
-_BACK = pa.schema([("dk", pa.int64()), ("hashes", pa.binary()), ("runs", pa.binary())])
-_BACK_SQL = "dk long, hashes binary, runs binary"
+#: What goes back: for each slot of documents, their keys, how many hashes and runs each has, and these.
+_BACK = pa.schema([("slot", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("hashes", pa.binary()), ("runs", pa.binary())])
+_BACK_SQL = "slot int, keys binary, counts binary, hashes binary, runs binary"
+_FOUND = pa.schema([("dk", pa.int64()), ("hashes", pa.binary()), ("runs", pa.binary())])
+_FOUND_SQL = "dk long, hashes binary, runs binary"
 
 
 def _by_bucket(buckets: int, h: np.ndarray, *columns: np.ndarray):
@@ -109,6 +112,35 @@ def _batch(schema: pa.Schema, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _packed(slots: int, found: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(dk, hashes, runs) of documents in one row a slot."""
+    by: dict[int, list] = {}
+    for row in found:
+        by.setdefault(row[0] % slots, []).append(row)
+    rows = []
+    for slot, part in by.items():
+        counts = np.array([[len(h) // 8, len(r) // 8] for _, h, r in part], np.int32)
+        rows.append({"slot": slot, "keys": np.array([k for k, *_ in part], np.int64).tobytes(), "counts": counts.tobytes(), "hashes": b"".join(h for _, h, _ in part), "runs": b"".join(r for *_, r in part)})
+    if rows:
+        yield _batch(_BACK, rows)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document from all the rows of its slot."""
+    held: dict[int, list[list[bytes]]] = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            h = r = 0
+            for k, (n, m) in zip(np.frombuffer(row["keys"], np.int64).tolist(), np.frombuffer(row["counts"], np.int32).reshape(-1, 2).tolist(), strict=True):
+                own = held.setdefault(k, [[], []])
+                own[0].append(row["hashes"][h : h + 8 * n])
+                own[1].append(row["runs"][r : r + 8 * m])
+                h, r = h + 8 * n, r + 8 * m
+    rows = [{"dk": k, "hashes": b"".join(h), "runs": b"".join(r)} for k, (h, r) in held.items()]
+    for at in range(0, len(rows), 10_000):
+        yield _batch(_FOUND, rows[at : at + 10_000])
+
+
 def _send_anchors(buckets: int, window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -149,19 +181,23 @@ def _send_anchors(buckets: int, window: int, gram: int):
     return run
 
 
-def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_anchors(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(slots, _matched_anchors(batches))
+
+    return run
+
+
+def _matched_anchors(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, bytes, bytes]]:
     """Anchors of a partition's buckets that two documents have, back to each of these."""
-    held_h, held_k = [], []
+    held_h, held_k, out = [], [], []
     for batch in batches:
-        known = []
         for row in batch.to_pylist():
             if row["dk"] is not None:
-                known.append({"dk": row["dk"], "hashes": row["hashes"]})
+                out.append((row["dk"], row["hashes"], b""))
             else:
                 held_h.append(np.frombuffer(row["hashes"], np.uint64))
                 held_k.append(np.frombuffer(row["keys"], np.int64))
-        if known:
-            yield _batch(_BACK, known)
     if held_h:
         h, dk = np.concatenate(held_h), np.concatenate(held_k)
         order = np.argsort(h, kind="stable")
@@ -174,9 +210,8 @@ def _match_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         np.minimum.at(low, group, dk)
         np.maximum.at(high, group, dk)
         back = (marked | (low != high))[group] & (dk != 0)
-        rows = [{"dk": k, "hashes": x} for k, x in _to_docs(dk[back], h[back])]
-        for at in range(0, len(rows), 10_000):
-            yield _batch(_BACK, rows[at : at + 10_000])
+        out += [(k, x, b"") for k, x in _to_docs(dk[back], h[back])]
+    return out
 
 
 def _runs(at: np.ndarray) -> bytes:
@@ -213,8 +248,10 @@ def _send_windows(buckets: int, window: int, gram: int):
             for start in range(0, batch.num_rows, ROWS):
                 part = batch.slice(start, ROWS)
                 for i, k, data, anchors in zip(part["doc_id"].to_pylist(), part["dk"].to_pylist(), texts_of(part["text"]), part["anchors"].to_pylist(), strict=True):
+                    if i is None:
+                        continue
                     text = Text(data, window, gram)
-                    at = np.flatnonzero(_member(text.anchors(), np.sort(np.frombuffer(b"".join(anchors), np.uint64))))
+                    at = np.flatnonzero(_member(text.anchors(), np.sort(np.frombuffer(anchors, np.uint64))))
                     if len(at):
                         h, more = text.windows()
                         held.append((h[at], more[at], at.astype(np.int32), np.full(len(at), i, np.int64), np.full(len(at), k, np.int64)))
@@ -228,18 +265,22 @@ def _send_windows(buckets: int, window: int, gram: int):
     return run
 
 
-def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_windows(slots: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _packed(slots, _matched_windows(batches))
+
+    return run
+
+
+def _matched_windows(batches: Iterator[pa.RecordBatch]) -> list[tuple[int, bytes, bytes]]:
     """Windows of a partition's buckets, back to the documents above the least that has them."""
-    held = []
+    held, out = [], []
     for batch in batches:
-        known = []
         for row in batch.to_pylist():
             if row["dk"] is not None:
-                known.append({"dk": row["dk"], "runs": row["runs"]})
+                out.append((row["dk"], b"", row["runs"]))
             else:
                 held.append((np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["more"], np.uint32), np.frombuffer(row["docs"], np.int64), np.frombuffer(row["keys"], np.int64)))
-        if known:
-            yield _batch(_BACK, known)
     if held:
         h, more, doc, dk = (np.concatenate(c) for c in zip(*held, strict=True))
         order = np.lexsort((doc, more, h))
@@ -247,9 +288,8 @@ def _match_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         group = _groups(h, more)
         first = np.append(0, np.flatnonzero(np.diff(group)) + 1)
         lost = doc > doc[first][group]
-        rows = [{"dk": k, "hashes": x} for k, x in _to_docs(dk[lost], h[lost])]
-        for at in range(0, len(rows), 10_000):
-            yield _batch(_BACK, rows[at : at + 10_000])
+        out += [(k, x, b"") for k, x in _to_docs(dk[lost], h[lost])]
+    return out
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
@@ -274,10 +314,10 @@ def _remove(window: int, gram: int, keep_text: bool):
                 rows = []
                 for i, data, hashes, runs in zip(part["doc_id"].to_pylist(), texts_of(part["text"]), part["hashes"].to_pylist(), part["runs"].to_pylist(), strict=True):
                     words, removed = data.split(), 0
-                    if hashes or runs:
+                    if i is not None and (hashes or runs):
                         text = Text(data, window, gram)
-                        starts = np.flatnonzero(_member(text.windows()[0], np.sort(np.frombuffer(b"".join(hashes or []), np.uint64))))
-                        gone = covered(len(words), window, starts, np.frombuffer(b"".join(runs or []), np.int32).reshape(-1, 2))
+                        starts = np.flatnonzero(_member(text.windows()[0], np.sort(np.frombuffer(hashes or b"", np.uint64))))
+                        gone = covered(len(words), window, starts, np.frombuffer(runs or b"", np.int32).reshape(-1, 2))
                         removed = int(gone.sum())
                         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     else:
@@ -296,16 +336,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("dk", F.xxhash64("doc_id", "text"))
     named = rows.where("doc_id IS NOT NULL")
-    back = lambda df, match: df.repartition(n, "bucket").mapInArrow(match, _BACK_SQL)
+
+    def back(sent: DataFrame, match) -> DataFrame:
+        """To the buckets and back: what matched, one row a document."""
+        matched = sent.repartition(n, "bucket").mapInArrow(match(n), _BACK_SQL)
+        return matched.repartition(n, "slot").mapInArrow(_unpacked, _FOUND_SQL).hint("merge")
+
     anchors = back(named.select("dk", "text").mapInArrow(_send_anchors(n, window, gram), _SENT_SQL), _match_anchors)
-    anchors = anchors.groupBy("dk").agg(F.collect_list("hashes").alias("anchors"))
-    dealt = rows.repartition(n, "dk")
-    found = dealt.where("doc_id IS NOT NULL").join(anchors.hint("merge"), "dk").select("doc_id", "dk", "text", "anchors")
+    dealt = rows.repartition(n, "dk")  # both joins read this one exchange
+    found = dealt.join(anchors.select("dk", F.col("hashes").alias("anchors")), "dk").select("doc_id", "dk", "text", "anchors")
     windows = back(found.mapInArrow(_send_windows(n, window, gram), _SENT_SQL), _match_windows)
-    windows = windows.groupBy("dk").agg(F.collect_list("hashes").alias("hashes"), F.collect_list("runs").alias("runs"))
-    # a row without an id meets no key
-    key = F.when(F.col("doc_id").isNotNull(), F.col("dk")).alias("dk")
-    joined = dealt.join(windows.hint("merge"), "dk", "left").select("doc_id", "text", key, "hashes", "runs")
+    joined = dealt.join(windows, "dk", "left")
     kind = "string" if keep_text else "binary"
     out = joined.select("doc_id", "text", "hashes", "runs").mapInArrow(_remove(window, gram, keep_text), "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast(kind))
