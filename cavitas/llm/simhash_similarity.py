@@ -1,4 +1,4 @@
-"""Near-dedup of similar texts by SimHash: five-word shingles, similarity 0.8 or more.
+"""The SimHash operator at a given similarity: five-word shingles, 0.8 or more.
 
 `simhash` links fingerprints of 64 bits at two differing bits, which finds all but equal
 texts. Here a document has two longer fingerprints of the same kind: ``WORD_BITS`` bits

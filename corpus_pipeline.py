@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, similar
+from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, simhash_similarity
 from cavitas.session import checkpoint_folder, table
 
 
@@ -27,7 +27,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similar ones stays: shingles of five words, similarity 0.8 or more."""
-    return similar.deduplicate(docs)
+    return simhash_similarity.deduplicate(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from cavitas.llm import similar
+from cavitas.llm import simhash_similarity as similar
 
 
 def shingles(text):
