@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,14 +28,30 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                yield from step(batch.slice(start, ROWS))
+            for part in slices(batch):
+                yield from step(part)
 
     return df.mapInArrow(run, schema)
 
 
-#: Rows that a Python step sees at once.
-ROWS = 512
+#: Rows, and bytes of text, that a Python step sees at once (a longer text comes alone).
+ROWS, BYTES = 512, 4 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of ``ROWS`` rows and ``BYTES`` of text at most."""
+    if "text" not in batch.schema.names:
+        yield from (batch.slice(k, ROWS) for k in range(0, batch.num_rows, ROWS))
+        return
+    sizes = pc.binary_length(batch["text"]).fill_null(0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and (held + size > BYTES or k - start == ROWS):
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if batch.num_rows > start:
+        yield batch.slice(start)
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

@@ -33,7 +33,7 @@ from cavitas.session import table
 
 Q = 8
 RATE = 0.1
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 _FILTER_BITS = 22
 _KEEP = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
 

@@ -33,7 +33,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cavitas.llm.common import ROWS, documents, gram_hashes, mix, texts_of, word_bounds, word_hashes
+from cavitas.llm.common import documents, gram_hashes, mix, slices, texts_of, word_bounds, word_hashes
 from cavitas.session import ship
 
 WINDOW = 13
@@ -163,8 +163,7 @@ def _send_anchors(buckets: int, window: int, gram: int):
             yield _batch(_SENT, rows)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch):
                 for k, data in zip(part["dk"].to_pylist(), texts_of(part["text"]), strict=True):
                     text = Text(data, window, gram)
                     a = np.unique(text.anchors())
@@ -245,8 +244,7 @@ def _send_windows(buckets: int, window: int, gram: int):
             yield _batch(_SENT, rows)
 
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch):
                 for i, k, data, anchors in zip(part["doc_id"].to_pylist(), part["dk"].to_pylist(), texts_of(part["text"]), part["anchors"].to_pylist(), strict=True):
                     if i is None:
                         continue
@@ -309,8 +307,7 @@ def covered(n: int, window: int, starts: np.ndarray, runs: np.ndarray) -> np.nda
 def _remove(window: int, gram: int, keep_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                part = batch.slice(start, ROWS)
+            for part in slices(batch):
                 rows = []
                 for i, data, hashes, runs in zip(part["doc_id"].to_pylist(), texts_of(part["text"]), part["hashes"].to_pylist(), part["runs"].to_pylist(), strict=True):
                     words, removed = data.split(), 0
