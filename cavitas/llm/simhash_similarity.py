@@ -32,6 +32,8 @@ WORD_BITS, SHINGLE_BITS = 256, 512
 SLACK = 2.0
 #: Members of a bucket that meet in a task; a larger bucket is dealt out in blocks that meet two by two.
 BUCKET = 512
+#: Rows of one key that a task holds.
+STREAM = 1 << 17
 
 
 def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK) -> int:
@@ -84,39 +86,50 @@ def _variants(bit, half, n: int, shift):
     return F.transform(bit, lambda b: half.bitwiseAND(F.bitwise_not(shift(one, b))).bitwiseOR(shift((b + 32 * n).cast("long"), F.lit(32))))
 
 
-def _shared(bucket: int):
-    """Over batches sorted by key: (set, id) of keys with two ids or more; a set is named by its members."""
+def _name(values: np.ndarray) -> int:
+    return int(mix(np.array([mix(values.astype(np.uint64)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
+
+
+def _shared(stream: int):
+    """Over batches sorted by key: (set, id) of keys with two ids or more.
+
+    A set is named by its members, so that keys with the same ones give the same rows. A key with
+    over ``stream`` rows is named by itself, and its rows are passed on as they come.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        passing = None  # the key whose rows are passed on
 
         def settle(last: bool):
-            nonlocal keys, ids
-            if not len(keys):
-                return
+            nonlocal keys, ids, passing
             edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            if not last:  # the last key may go on
-                rest = edges[-2]
-                edges = edges[:-1]
-            else:
-                rest = len(keys)
+            done = len(edges) - 1
+            if not last and keys[-1] != passing and edges[-1] - edges[-2] <= stream:
+                done -= 1  # the last key may go on
             sets, members = [], []
-            for i in np.flatnonzero(np.diff(edges) > 1):
-                own = np.unique(ids[edges[i] : edges[i + 1]])
-                if len(own) > 1:
-                    h = own.astype(np.uint64)
-                    name = int(mix(np.array([mix(h).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-                    sets.append(np.full(len(own), name, np.int64))
-                    members.append(own)
-            keys, ids = keys[rest:], ids[rest:]
+            for i in range(done):
+                n, key = edges[i + 1] - edges[i], keys[edges[i]]
+                if key == passing or n > stream:
+                    passing = key
+                    own, name = ids[edges[i] : edges[i + 1]], _name(np.array([key, -1]))
+                elif n == 1 or len(own := np.unique(ids[edges[i] : edges[i + 1]])) == 1:
+                    continue
+                else:
+                    name = _name(own)
+                sets.append(np.full(len(own), name, np.int64))
+                members.append(own)
+            keys, ids = keys[edges[done] :], ids[edges[done] :]
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.concatenate(members))], ["set", "id"])
 
         for batch in batches:
             keys = np.concatenate([keys, batch["key"].to_numpy(zero_copy_only=False)])
             ids = np.concatenate([ids, batch["id"].to_numpy(zero_copy_only=False)])
-            yield from settle(False)
-        yield from settle(True)
+            if len(keys):
+                yield from settle(False)
+        if len(keys):
+            yield from settle(True)
 
     return run
 
@@ -161,13 +174,13 @@ def _judge(most: int):
     return run
 
 
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
+def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM) -> DataFrame:
     """``src, dst``: ids of similar documents; they join what the similar pairs join."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
     prints = cut(map_batches(rows, _fingerprinter(words), "id long, own array<long>, shingles binary"))
     keyed = signatures(prints).repartition("key").sortWithinPartitions("key")
-    sets = cut(keyed.mapInArrow(_shared(bucket), "set long, id long").distinct())
+    sets = cut(keyed.mapInArrow(_shared(stream), "set long, id long").distinct())
     # a set over `bucket` is dealt out in blocks, and every two blocks meet
     sizes = sets.groupBy("set").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("id"), F.col("parts"))

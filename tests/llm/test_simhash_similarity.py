@@ -36,7 +36,7 @@ def test_recall_and_precision(spark, docs):
         kept = [r.doc_id for r in out.collect()]
         from cavitas.operators.graph import connected_components
 
-        part = {r.node: r.component for r in connected_components(similar.links(docs(rows), bucket=bucket)).collect()}
+        part = {r.node: r.component for r in connected_components(similar.links(docs(rows), bucket=bucket, stream=similar.STREAM if bucket > 3 else 2)).collect()}
         near = [p for p, s in share.items() if s >= similar.SIMILARITY]
         assert len(near) > 60 and sum(part.get(a) is not None and part.get(a) == part.get(b) for a, b in near) >= 0.9 * len(near)
         loose = {i for p, s in share.items() if s >= 0.6 for i in p}
@@ -53,6 +53,25 @@ def test_forest_joins_what_pairs_join():
     assert sorted(sorted(x) for x in found) == [[k, k + 20] for k in range(20)]
 
 
+def test_keys_across_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 12, 90))
+    ids = rng.integers(0, 30, 90)
+    groups = {}
+    for k, i in zip(keys.tolist(), ids.tolist(), strict=True):
+        groups.setdefault(k, set()).add(i)
+    for size in (1, 7, 90):
+        for stream in (1, 4, 1000):
+            batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(ids[k : k + size])], ["key", "id"]) for k in range(0, 90, size)]
+            got = {}
+            for b in similar._shared(stream)(iter(batches)):
+                for s, i in zip(b["set"].to_pylist(), b["id"].to_pylist(), strict=True):
+                    got.setdefault(s, set()).add(i)
+            assert {frozenset(v) for v in got.values() if len(v) > 1} == {frozenset(v) for v in groups.values() if len(v) > 1}
+
+
 def test_empty(docs):
     assert similar.deduplicate(docs([])).count() == 0
     assert similar.deduplicate(docs([(1, "a b")])).count() == 1
