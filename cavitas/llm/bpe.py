@@ -36,8 +36,8 @@ from cavitas.session import ship
 VOCABULARY = "byte_bpe_50k.json"
 #: Longest text, in characters, and pre-token, in bytes, that is encoded at once.
 LEAF = 1 << 16
-#: Chunks, and pre-tokens, whose ids a task keeps.
-CHUNKS = 500_000
+#: Chunks, and pre-tokens, whose ids a Python worker keeps (about 0.4 kB a pair).
+CHUNKS = 150_000
 #: Chunks of Latin letters, digits and signs but the apostrophe, with single line
 #: ends between: their pre-tokens are runs of one kind, and the line ends.
 _LETTERS, _SIGNS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-&(-/:-@\[-`{-~"
@@ -74,9 +74,10 @@ def chunks_of(text: str) -> list[str]:
 
 
 class Encoder:
-    def __init__(self, path: str, leaf: int = LEAF):
+    def __init__(self, path: str, leaf: int = LEAF, keep: int = CHUNKS):
         from tokenizers import Tokenizer
 
+        self.keep = keep
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -107,7 +108,7 @@ class Encoder:
         out = list(map(known.get, parts))
         if None in out:
             for kept in (known, self.tokens):
-                if len(kept) > CHUNKS:
+                if len(kept) > self.keep:
                     kept.clear()
             for i, part in enumerate(parts):
                 if out[i] is None:
@@ -182,9 +183,9 @@ class Decoder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str, leaf: int = LEAF) -> Encoder:
-    return Encoder(path, leaf)
+@lru_cache(maxsize=1)
+def encoder(path: str, leaf: int = LEAF, keep: int = CHUNKS) -> Encoder:
+    return Encoder(path, leaf, keep)
 
 
 @lru_cache(maxsize=2)

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cavitas.llm.bpe import encoder, vocabulary_path
-from cavitas.llm.common import ROWS, documents
+from cavitas.llm.common import documents, slices
 from cavitas.session import checkpoint_folder, ship
 
 END = 2
 #: A shard is closed once it has so many tokens.
 SHARD_TOKENS = 1 << 20
 BLOCK = 512
+#: Chunks whose ids a Python worker keeps.
+CHUNKS = 500_000
 MAGIC = b"WMX1"
 _HEAD = struct.Struct("<4sBxxxQQ")
 
@@ -177,7 +179,7 @@ _FILE = "part int, shard int, n_tokens long, doc_ids array<long>, payload binary
 
 def _build(path: str, end_id: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, keep=CHUNKS)
         levels = max(enc.tokenizer.get_vocab_size(), end_id + 1).bit_length()
         levels = 16 if levels <= 16 else levels
         end = np.uint32(end_id).tobytes()
@@ -193,8 +195,7 @@ def _build(path: str, end_id: int, shard_tokens: int):
             return pa.RecordBatch.from_arrays(arrays, ["part", "shard", "n_tokens", "doc_ids", "payload"])
 
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(start, ROWS)
+            for rows in slices(batch):
                 for i, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
                     held.append(enc.encode(text or "") + end)
                     ids.append(i)
