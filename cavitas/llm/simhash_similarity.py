@@ -31,7 +31,7 @@ SIMILARITY = 0.8
 WORD_BITS, SHINGLE_BITS = 256, 512
 SLACK = 2.0
 #: Members of a bucket that meet in a task; a larger bucket is dealt out in blocks that meet two by two.
-BUCKET = 512
+BUCKET = 2048
 #: Rows of one key that a task holds.
 STREAM = 1 << 17
 
