@@ -114,21 +114,30 @@ class Encoder:
                 if out[i] is None:
                     if not is_boundary(part):
                         return b"".join(map(self._chunk, chunks_of(text)))
-                    out[i] = known[part] = self._chunk(" " + part)
+                    out[i] = known[part] = self._spaced(part)
         return self._chunk(first) + b"".join(out)
 
     def _chunk(self, text: str) -> bytes:
-        if text[:1] == " " and (found := self.chunks.get(text[1:])) is not None:
-            return found
-        if text[:1] == " " and SIMPLE.fullmatch(text, 1):
-            first, *rest = RUNS.findall(text, 1)
-            return b"".join(map(self._token, [" " + first, *rest]))
+        if text[:1] == " " and is_boundary(text[1:]):
+            found = self.chunks.get(text[1:])
+            return self._spaced(text[1:]) if found is None else found
         return b"".join(map(self._mapped, (token for token, _ in self.split(text))))
 
+    def _spaced(self, part: str) -> bytes:
+        """Ids of a space and ``part``."""
+        if part.isascii() and part.isalpha():
+            return self._token(" " + part)
+        if SIMPLE.fullmatch(part):
+            first, *rest = RUNS.findall(part)
+            return self._token(" " + first) + b"".join(map(self._token, rest))
+        return b"".join(map(self._mapped, (token for token, _ in self.split(" " + part))))
+
     def _token(self, text: str) -> bytes:
+        """Ids of a pre-token, from those seen before."""
         ids = self.tokens.get(text)
         if ids is None:
-            ids = self._mapped(text.encode().decode("latin-1").translate(ALPHABET))
+            mapped = "\u0120" + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(ALPHABET)
+            ids = self._mapped(mapped)
             if len(text) < 64:
                 self.tokens[text] = ids
         return ids
