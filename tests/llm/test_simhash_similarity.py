@@ -45,6 +45,40 @@ def test_recall_and_precision(spark, docs):
         assert kept.count(None) == 1
 
 
+def edited(kind, base, size, rng):
+    other = [f"x{rng.randrange(4000)}" for _ in range(size)]
+    at = rng.randrange(len(base) - size)
+    if kind == "tail":
+        return base[:-size]
+    if kind == "header":
+        return other + base
+    if kind == "footer":
+        return base + other
+    if kind == "swap":
+        return base[:at] + base[at + size :] + base[at : at + size]
+    return [rng.choice(other) if rng.random() < size / len(base) / 6 else w for w in base]
+
+
+def test_recall_by_kind_of_edit(spark, docs):
+    from cavitas.operators.graph import connected_components
+
+    rng = random.Random(7)
+    common = [f"w{i}" for i in range(3000)]
+    rows, pairs = [], {}
+    for kind in ("tail", "header", "footer", "swap", "scattered"):
+        while len(pairs.setdefault(kind, [])) < 40:
+            base = [common[int(len(common) * rng.random() ** 3)] for _ in range(rng.randint(60, 300))]
+            t = edited(kind, base, rng.randint(3, len(base) // 4), rng)
+            a, b = shingles(" ".join(base)), shingles(" ".join(t))
+            if 0.8 <= len(a & b) / len(a | b) < 0.9:
+                k = len(rows)
+                rows += [(k, " ".join(base)), (k + 1, " ".join(t))]
+                pairs[kind].append(k)
+    part = {r.node: r.component for r in connected_components(similar.links(docs(rows))).collect()}
+    found = {kind: sum(part.get(k + 1) == k for k in ks) for kind, ks in pairs.items()}
+    assert min(found.values()) >= 38, found
+
+
 def test_forest_joins_what_pairs_join():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)
