@@ -9,7 +9,9 @@ tail, a footer) changes many words but few shingles, so documents are candidates
 of ``BANDS`` groups of ``GROUP`` minima of their shingles agrees: with Jaccard similarity J
 that is 1 - (1 - J ** GROUP) ** BANDS, 0.9996 at 0.8, whatever the edit. With Jaccard similarity J
 the shingle fingerprints of two texts differ in a share acos(2J / (1 + J)) / pi of the bits;
-candidates within ``SLACK`` standard deviations of that share are linked.
+candidates within ``SLACK`` standard deviations of that share may be similar. That is only a
+filter: what such pairs join is judged by the exact similarity of the sets of shingles (as
+64-bit hashes), each member with every other that the filter lets through until it is linked.
 
 Defined results: as in `simhash`; rows without an id link to nothing and stay; rows of
 one id count as one document.
@@ -33,15 +35,19 @@ WORDS = 5
 SIMILARITY = 0.8
 WORD_BITS, SHINGLE_BITS = 256, 512
 BANDS, GROUP = 20, 5
-SLACK = 2.0
+SLACK = 4.0
+#: With few shingles more bits differ than the formula says: at most this share, 4 shingles against 5.
+FEW, FEW_SHARE = 32, 0.1875
 #: Members of a bucket that meet in a task; a larger bucket is dealt out in blocks that meet two by two.
 BUCKET = 2048
+#: Shingles of a block's half in the exact judgement.
+WEIGHT = 1 << 21
 #: Rows of one key that a task holds.
 STREAM = 1 << 17
 
 
-def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK) -> int:
-    share = acos(2 * similarity / (1 + similarity)) / pi
+def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK, least: float = 0.0) -> int:
+    share = max(least, acos(2 * similarity / (1 + similarity)) / pi)
     return int(bits * (share + slack * sqrt(share * (1 - share) / bits)))
 
 
@@ -69,19 +75,41 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mix(own + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def _words(data: bytes) -> np.ndarray:
+    array = np.frombuffer(data.lower(), np.uint8)
+    return word_hashes(array, *word_bounds(array))
+
+
+def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+    """The distinct shingles, sorted; a text of fewer words is one shingle, none has none."""
+    return np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else h
+
+
+def _shingler(words: int):
+    def make():
+        def step(batch: pa.RecordBatch):
+            sets = [_shingles(_words(data), words).tobytes() for data in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["id", "set"])
+
+        return step
+
+    return make
+
+
 def _fingerprinter(words: int):
     def make():
         def step(batch: pa.RecordBatch):
-            own, minima, shingles = [], [], []
+            own, minima, sizes, shingles = [], [], [], []
             for data in texts_of(batch["text"]):
-                array = np.frombuffer(data.lower(), np.uint8)
-                h = word_hashes(array, *word_bounds(array))
+                h = _words(data)
                 own.append(np.frombuffer(long_fingerprint(np.unique(h), WORD_BITS), np.int64).tolist())
-                h = np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else h
+                h = _shingles(h, words)
+                sizes.append(len(h))
                 minima.append(bands(h).tolist())
                 shingles.append(long_fingerprint(h, SHINGLE_BITS))
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(own, longs), pa.array(minima, longs), pa.array(shingles, pa.binary())], ["id", "own", "bands", "shingles"])
+            columns = [batch["doc_id"], pa.array(own, longs), pa.array(minima, longs), pa.array(sizes, pa.int64()), pa.array(shingles, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "own", "bands", "n", "shingles"])
 
         return step
 
@@ -153,23 +181,48 @@ def _shared(stream: int):
     return run
 
 
-def forest(ids: np.ndarray, prints: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Links that join what the pairs within ``most`` bits join: (id, earlier id)."""
+def forest(ids: np.ndarray, prints: np.ndarray, most, check=None) -> list[tuple[int, int]]:
+    """Links that join what the pairs within ``most`` bits (that ``check`` finds true) join: (id, earlier id)."""
     left = np.arange(len(ids))
+    most = np.broadcast_to(most, len(ids))
     links = []
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
             at = todo.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64) <= most
+            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64) <= np.maximum(most[left], most[at])
+            if check is not None:
+                near[near] = check(at, left[near])
             links += [(int(ids[k]), int(ids[at])) for k in left[near]]
             todo += left[near].tolist()
             left = left[~near]
     return links
 
 
-def _judge(most: int):
-    """Over batches sorted by block: the links of each block."""
+def _sizes_fit(sizes: np.ndarray, similarity: float):
+    return lambda at, others: np.minimum(sizes[others], sizes[at]) >= similarity * np.maximum(sizes[others], sizes[at]) - 1e-9
+
+
+def _similar(sets: list[np.ndarray], sizes: np.ndarray, similarity: float):
+    """A check by exact Jaccard similarity; two empty sets are equal."""
+    fit = _sizes_fit(sizes, similarity)
+
+    def check(at: int, others: np.ndarray) -> np.ndarray:
+        out = fit(at, others)
+        own, others = sets[at], others[out]
+        if len(own) and len(others):
+            all_ = np.concatenate([sets[k] for k in others])
+            hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
+            common = np.add.reduceat(hit, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
+            out[out] = common >= similarity * (len(own) + sizes[others] - common) - 1e-9
+        return out
+
+    return check
+
+
+def _judge(similarity: float, exact: bool):
+    """Over batches sorted by block: the links of each block, by the filter alone or by the sets."""
+    usual, few = most_bits(similarity), most_bits(similarity, least=FEW_SHARE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -177,12 +230,19 @@ def _judge(most: int):
         def settle():
             ids, first = np.unique(np.array([r[1] for r in held], np.int64), return_index=True)
             prints = np.frombuffer(b"".join(held[k][2] for k in first), np.uint64).reshape(len(ids), -1)
-            found = forest(ids, prints, most)
+            if exact:
+                sets = [np.frombuffer(held[k][3], np.uint64) for k in first]
+                sizes = np.array([len(x) for x in sets])
+                check = _similar(sets, sizes, similarity)
+            else:
+                sizes = np.array([held[k][3] for k in first])
+                check = _sizes_fit(sizes, similarity)
+            found = forest(ids, prints, np.where(sizes <= FEW, few, usual), check)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], ["src", "dst"])
 
         for batch in batches:
-            for row in zip(batch["block"].to_pylist(), batch["id"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("block", "id", "shingles", "set" if exact else "n")), strict=True):
                 if held and held[-1][0] != row[0]:
                     yield from settle()
                     held = []
@@ -193,20 +253,32 @@ def _judge(most: int):
     return run
 
 
+def _deal(sets: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
+    """``block, id`` and ``columns``: a set of several parts is dealt out, and every two parts meet."""
+    own = F.pmod(F.xxhash64("id"), F.col("parts"))
+    met = sets.join(parts, "set").select("set", "id", *columns, own.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
+    return met.select(F.xxhash64("set", F.least("a", "b"), F.greatest("a", "b")).alias("block"), "id", *columns)
+
+
 def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM) -> DataFrame:
     """``src, dst``: ids of similar documents; they join what the similar pairs join."""
     ship(docs.sparkSession)
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    prints = cut(map_batches(rows, _fingerprinter(words), "id long, own array<long>, bands array<long>, shingles binary"))
+    prints = cut(map_batches(rows, _fingerprinter(words), "id long, own array<long>, bands array<long>, n long, shingles binary"))
     keyed = signatures(prints).repartition("key").sortWithinPartitions("key")
     sets = cut(keyed.mapInArrow(_shared(stream), "set long, id long").distinct())
-    # a set over `bucket` is dealt out in blocks, and every two blocks meet
-    sizes = sets.groupBy("set").agg(F.ceil(F.count("*") / bucket).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    met = sets.join(sizes, "set").select("set", "id", own.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
-    met = met.select(F.xxhash64("set", F.least("a", "b"), F.greatest("a", "b")).alias("block"), "id")
-    judged = met.join(prints.select("id", "shingles"), "id").repartition("block").sortWithinPartitions("block")
-    return judged.mapInArrow(_judge(most_bits(similarity)), "src long, dst long").distinct()
+    by_count = F.ceil(F.count("*") / bucket).cast("int")
+    blocks = lambda rows: rows.repartition("block").sortWithinPartitions("block")
+    met = _deal(sets, sets.groupBy("set").agg(by_count.alias("parts")))
+    near = cut(blocks(met.join(prints.select("id", "n", "shingles"), "id")).mapInArrow(_judge(similarity, False), "src long, dst long").distinct())
+    # what the filter joins meets once more, with the sets of shingles of these documents alone
+    joined = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("set"))
+    joined = cut(joined.join(prints.select("id", "n", "shingles"), "id"))
+    by_weight = F.greatest(by_count, F.ceil(F.sum("n") / WEIGHT).cast("int"))
+    met = _deal(joined, joined.groupBy("set").agg(by_weight.alias("parts")), "shingles")
+    rows = rows.join(joined.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    met = met.join(map_batches(rows, _shingler(words), "id long, set binary"), "id")
+    return blocks(met).mapInArrow(_judge(similarity, True), "src long, dst long").distinct()
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:

@@ -79,6 +79,24 @@ def test_recall_by_kind_of_edit(spark, docs):
     assert min(found.values()) >= 38, found
 
 
+def test_links_are_exact(spark, docs):
+    rng = random.Random(11)
+    rows = []
+    for k in range(0, 300, 2):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([9, 12, 30, 100, 200]))]
+        rows += [(k, " ".join(base)), (k + 1, " ".join(base + [f"x{rng.randrange(5000)}" for _ in range(rng.randrange(len(base) * 3 // 5))]))]
+    # 900 is similar to 902 alone, and 901 to neither, though the filter lets it through
+    base = [f"y{k}" for k in range(200)]
+    rows += [(900, " ".join(base)), (901, " ".join(base[50:] + [f"z{k}" for k in range(6)])), (902, " ".join(base + ["v"] * 3))]
+    sets = {i: shingles(t) for i, t in rows}
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for bucket in (similar.BUCKET, 2):
+        found = {(min(r), max(r)) for r in similar.links(docs(rows), bucket=bucket).collect()}
+        assert all(share(a, b) >= similar.SIMILARITY for a, b in found)
+        near = {(k, k + 1) for k in range(0, 300, 2) if share(k, k + 1) >= similar.SIMILARITY} | {(900, 902)}
+        assert len(near) > 30 and len(near - found) <= 1, near - found
+
+
 def test_forest_joins_what_pairs_join():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)
