@@ -7,6 +7,25 @@ from pyspark.sql import functions as F
 
 from cavitas.session import cut
 
+#: Keys that a join may send to every task, and rows of one key that a task takes in any case.
+HOT_KEYS, HOT_ROWS = 100_000, 1_000
+
+
+def hot_join(rows: DataFrame, by_key: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``by_key``, which has one row a key and the number of its rows in ``size``.
+
+    ``total`` is the number of rows or more. Fewer than ``HOT_KEYS`` keys can have over
+    ``total / HOT_KEYS`` rows each: these are broadcast and their rows stay where they are. All
+    other keys meet by shuffle, so that no key brings more rows than that to a task.
+    """
+    if total <= 10 * HOT_ROWS:
+        return rows.join(by_key.drop(size), on)
+    hot = by_key.where(F.col(size) > max(HOT_ROWS, total // HOT_KEYS))
+    cold = by_key.where(F.col(size) <= max(HOT_ROWS, total // HOT_KEYS))
+    spread = rows.join(F.broadcast(hot.drop(size)), on)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return spread.unionByName(rest.join(cold.drop(size), on))
+
 
 def connected_components(
     edges: DataFrame,
@@ -25,8 +44,8 @@ def connected_components(
 
     Alternating large-star and small-star steps: each node hangs its larger
     neighbours, then its smaller ones, on the least node it sees. A step is a
-    partially aggregated ``min`` and an equi-join, and the number of steps
-    grows with the logarithm of the graph's size. The lineage is cut each round.
+    partially aggregated ``min`` and an equi-join in which hubs are spread (`hot_join`), and the
+    number of steps grows with the logarithm of the graph's size. The lineage is cut each round.
     """
     k = list(keys)
     e = (
@@ -36,9 +55,9 @@ def connected_components(
     loops = e.where("u = v").select(*k, F.col("u").alias("node"))
     e = e.where("u <> v").select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = cut(e)
-    last = None
+    mark, last = (e.count(),), None
     while True:
-        e, mark = _round(e, k)
+        e, mark = _round(e, k, mark[0])
         if mark == last:
             break
         last = mark
@@ -50,19 +69,18 @@ def connected_components(
     return out.unionByName(alone.withColumn("component", F.col("node")))
 
 
-def _round(e: DataFrame, k: list[str]) -> tuple[DataFrame, tuple]:
+def _round(e: DataFrame, k: list[str], n: int) -> tuple[DataFrame, tuple]:
     both = e.unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy(*k, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = both.groupBy(*k, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__n"))
     large = (
-        both.where("v > u")
-        .join(least, [*k, "u"])
+        hot_join(both.where("v > u"), least, [*k, "u"], "__n", 2 * n)
         .select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
         .where("u <> v")
         .distinct()
     )
     # in `large` every edge points from the larger node to a smaller one
-    small_least = large.groupBy(*k, "u").agg(F.min("v").alias("m"))
-    small = large.join(small_least, [*k, "u"])
+    small_least = large.groupBy(*k, "u").agg(F.min("v").alias("m"), F.count("*").alias("__n"))
+    small = hot_join(large, small_least, [*k, "u"], "__n", 2 * n)
     e = (
         small.select(*k, F.col("v").alias("u"), F.col("m").alias("v"))
         .unionByName(small.select(*k, "u", F.col("m").alias("v")))
@@ -77,26 +95,28 @@ def _round(e: DataFrame, k: list[str]) -> tuple[DataFrame, tuple]:
 def bfs_depth(edges: DataFrame, source, src: str = "src", dst: str = "dst", max_depth: int | None = None) -> DataFrame:
     """Unweighted distance of every node reachable from ``source``.
 
-    Returns ``node, depth``. One join with the frontier a level; the lineage is
-    cut each level. A source without edges gives its own row only.
+    Returns ``node, depth``. One join with the frontier a level; a node's neighbours are a level
+    before it, beside it or after it, so that only the last two levels are looked at, and each level
+    is written once. A source without edges gives its own row only.
     """
     spark = edges.sparkSession
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
     both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     kind = edges.schema[src].dataType
-    seen = spark.createDataFrame([(source,)], "node long").select(F.col("node").cast(kind), F.lit(0).alias("depth"))
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
+    levels = [spark.createDataFrame([(source,)], "node long").select(F.col("node").cast(kind), F.lit(0).alias("depth"))]
+    while max_depth is None or len(levels) <= max_depth:
+        near = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])
         step = (
-            both.join(frontier.select(F.col("node").alias("u")), "u")
+            both.join(levels[-1].select(F.col("node").alias("u")), "u")
             .select(F.col("v").alias("node"))
             .distinct()
-            .join(seen.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(depth))
+            .join(near.select("node"), "node", "left_anti")
+            .withColumn("depth", F.lit(len(levels)))
         )
-        frontier = cut(step)
-        if frontier.isEmpty():
+        level = cut(step)
+        if level.isEmpty():
             break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+        levels.append(level)
+    while len(levels) > 1:  # a balanced union
+        levels = [a.unionByName(b) for a, b in zip(levels[::2], levels[1::2], strict=False)] + levels[len(levels) // 2 * 2 :]
+    return levels[0]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -41,14 +43,30 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which a cluster shares between its machines; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir``, which a cluster shares between its machines.
+
+    Where it is unset a local session gets a temporary folder; on a cluster, where that would be
+    each machine's own disk, this raises.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir: a cluster needs a folder that all its machines share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cavitas-checkpoint-"))
     return context.getCheckpointDir()
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new name in `checkpoint_folder`; what is written there goes when the session's JVM ends."""
+    folder = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by an eager checkpoint in `checkpoint_folder`."""
     checkpoint_folder(df.sparkSession)

@@ -156,3 +156,16 @@ def test_three_discs():
     assert metrics.passes_four(list(c[[0, 1, 2, 2]]), list(r[[0, 1, 2, 2]]), 0.5)[got].all()
     one = metrics.passes_centroid([np.array([[0.0, 0, 0]]), np.array([[4.0, 0, 0]]), np.array([[0.0, 4, 0]])], [np.ones(1)] * 3, 0.5)
     assert one.tolist() == [True]
+
+
+def test_components_of_stars_and_depth_of_a_path(spark):
+    n = 100_000
+    leaves = spark.range(1, n + 1)
+    star = leaves.selectExpr("id AS src", "0L AS dst")  # the hub is the least node
+    tail = leaves.selectExpr(f"id + {n} AS src", f"{3 * n}L AS dst")  # the hub is the greatest node
+    got = connected_components(star.unionByName(tail)).groupBy("component").count().collect()
+    assert sorted((r[0], r[1]) for r in got) == [(0, n + 1), (n + 1, n + 1)]
+    path = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "src long, dst long")
+    assert {r.node: r.depth for r in bfs_depth(path, 2).collect()} == {k: abs(k - 2) for k in range(10)}
+    assert {r.node for r in bfs_depth(path, 2, max_depth=1).collect()} == {1, 2, 3}
+    assert [r.node for r in bfs_depth(path, 77).collect()] == [77]
