@@ -1,25 +1,29 @@
 """The SimHash operator at a given similarity: five-word shingles, 0.8 or more.
 
-`simhash` links fingerprints of 64 bits at two differing bits, which finds all but equal
-texts. Here a document has two longer fingerprints of the same kind: ``WORD_BITS`` bits
-over its distinct words, which a few edits hardly change, to find candidates by the same
-deletion-variant signatures (each half of 32 bits with each bit deleted), and
-``SHINGLE_BITS`` bits over its distinct shingles to judge them. An edit in one piece (a cut
-tail, a footer) changes many words but few shingles, so documents are candidates too if one
-of ``BANDS`` groups of ``GROUP`` minima of their shingles agrees: with Jaccard similarity J
-that is 1 - (1 - J ** GROUP) ** BANDS, 0.9996 at 0.8, whatever the edit. With Jaccard similarity J
-the shingle fingerprints of two texts differ in a share acos(2J / (1 + J)) / pi of the bits;
-candidates within ``SLACK`` standard deviations of that share may be similar. That is only a
-filter: what such pairs join is judged by the exact similarity of the sets of shingles (as
-64-bit hashes), each member with every other that the filter lets through until it is linked.
-
-Defined results: as in `simhash`; rows without an id link to nothing and stay; rows of
-one id count as one document.
+Documents with one set of shingles are one class, and classes with Jaccard similarity of
+``SIMILARITY`` or more link. Candidates meet by the deletion-variant signatures of `simhash`:
+each half of 32 bits of the first ``SIGNATURE_BITS`` bits of a SimHash fingerprint over the distinct shingles, with
+each bit deleted. In texts of similarity J a share p = acos(2J / (1 + J)) / pi of the bits differs,
+0.15 at 0.8, where a half differs in one bit at most with a probability of 0.03 only. So the signatures find the
+closest copies, and classes are candidates as well if one of ``BANDS`` groups of ``GROUP`` minima of
+their shingles agrees: 1 - (1 - J ** GROUP) ** BANDS, 0.9996 at 0.8, whatever the edit.
+
+The classes that share a key are a set. `join_sets` links its members in work that grows with
+its size as long as all but one of the components found are small: parts of ``BUCKET`` members meet
+within, each with the set's least member, and then what is not in the set's largest component meets
+all parts. It does so twice: by the ``SHINGLE_BITS`` bits of the fingerprints, where a pair within ``SLACK`` standard
+deviations of p is let through, and then, within what that joins, by the exact similarity of the sets of
+shingles (as 64-bit hashes). No link is under the similarity asked for, and none that the keys
+bring together is lost.
+
+Defined results: as in `simhash`; rows without an id link to nothing and stay; rows with one id and
+different texts are documents of their own, the one with the smaller text hash first; repeated rows stay
+together. Classes are told apart by a 64-bit hash of their shingles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import acos, pi, sqrt
 
 import numpy as np
@@ -28,22 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cavitas.llm.common import gram_hashes, map_batches, mix, texts_of, word_bounds, word_hashes
-from cavitas.operators.graph import connected_components
+from cavitas.operators.graph import connected_components, hot_join
 from cavitas.session import cut, ship
 
 WORDS = 5
 SIMILARITY = 0.8
-WORD_BITS, SHINGLE_BITS = 256, 512
+SIGNATURE_BITS, SHINGLE_BITS = 128, 512
 BANDS, GROUP = 20, 5
 SLACK = 4.0
 #: With few shingles more bits differ than the formula says: at most this share, 4 shingles against 5.
 FEW, FEW_SHARE = 32, 0.1875
-#: Members of a bucket that meet in a task; a larger bucket is dealt out in blocks that meet two by two.
-BUCKET = 2048
-#: Shingles of a block's half in the exact judgement.
+#: Members of a set that meet in a task: 1,024 sets of shingles of 16 kB each are 16 MB.
+BUCKET = 1024
+#: Shingles that meet in a task, in the exact judgement.
 WEIGHT = 1 << 21
-#: Rows of one key that a task holds.
+#: Rows of one key that a task holds; keys with more are spread.
 STREAM = 1 << 17
+#: Counters of the rows of keys.
+COUNTERS = 1 << 18
 
 
 def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK, least: float = 0.0) -> int:
@@ -51,16 +57,13 @@ def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: f
     return int(bits * (share + slack * sqrt(share * (1 - share) / bits)))
 
 
-def long_fingerprint(hashes: np.ndarray, bits: int) -> bytes:
+def long_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Each bit is 1 if it is set in over half of the hashes' expansions; none: all zero."""
-    out = []
-    for k in range(bits // 64):
-        h = mix(hashes + np.uint64((k * 0x9E3779B97F4A7C15) % (1 << 64)))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(h), 1 << 15):
-            ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(np.packbits(2 * ones > len(h), bitorder="little").tobytes())
-    return b"".join(out)
+    ones = np.zeros(bits, np.int64)
+    for at in range(0, len(hashes), 1 << 13):
+        part = hashes[at : at + (1 << 13), None] + np.arange(bits // 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        ones += np.unpackbits(mix(part).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little")
 
 
 _SEEDS = mix(np.arange(1, 2 * BANDS * GROUP + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)).reshape(2, -1, 1) | np.uint64(1)
@@ -80,16 +83,22 @@ def _words(data: bytes) -> np.ndarray:
     return word_hashes(array, *word_bounds(array))
 
 
-def _shingles(h: np.ndarray, words: int) -> np.ndarray:
+def _shingles(data: bytes, words: int) -> np.ndarray:
     """The distinct shingles, sorted; a text of fewer words is one shingle, none has none."""
+    h = _words(data)
     return np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else h
 
 
+def _name(values: np.ndarray) -> int:
+    """A hash of a set of numbers."""
+    return int(mix(np.array([mix(values.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
+
+
 def _shingler(words: int):
     def make():
         def step(batch: pa.RecordBatch):
-            sets = [_shingles(_words(data), words).tobytes() for data in texts_of(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["id", "set"])
+            sets = [_shingles(data, words).tobytes() for data in texts_of(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "set_of"])
 
         return step
 
@@ -97,31 +106,36 @@ def _shingler(words: int):
 
 
 def _fingerprinter(words: int):
+    longs = pa.list_(pa.int64())
+
     def make():
         def step(batch: pa.RecordBatch):
-            own, minima, sizes, shingles = [], [], [], []
+            rows = []
             for data in texts_of(batch["text"]):
-                h = _words(data)
-                own.append(np.frombuffer(long_fingerprint(np.unique(h), WORD_BITS), np.int64).tolist())
-                h = _shingles(h, words)
-                sizes.append(len(h))
-                minima.append(bands(h).tolist())
-                shingles.append(long_fingerprint(h, SHINGLE_BITS))
-            longs = pa.list_(pa.int64())
-            columns = [batch["doc_id"], pa.array(own, longs), pa.array(minima, longs), pa.array(sizes, pa.int64()), pa.array(shingles, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "own", "bands", "n", "shingles"])
+                h = _shingles(data, words)
+                bits = long_fingerprint(h, SHINGLE_BITS)
+                rows.append((_name(h), bits[: SIGNATURE_BITS // 8].view(np.int64).tolist(), bands(h).tolist(), len(h), bits.tobytes()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), longs, longs, pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *arrays], ["doc_id", "row_key", "id", "own", "bands", "n", "shingles"])
 
         return step
 
     return make
 
 
+def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """``doc_id, row_key`` of each row that has an id, ``id`` of its class, signature bits, bands, number of shingles and their fingerprint."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
+    return map_batches(rows, _fingerprinter(words), "doc_id long, row_key long, id long, own array<long>, bands array<long>, n long, shingles binary")
+
+
 def signatures(prints: DataFrame) -> DataFrame:
     """``key, id``: 32 rows for each half of each 64 bits of ``own``, one bit deleted in each, and the ``bands``."""
     bit = F.expr("sequence(0, 31)")
     shift = lambda v, b: F.call_function("shiftleft", v, b)
     halves = []
-    for n in range(WORD_BITS // 32):
+    for n in range(SIGNATURE_BITS // 32):
         word = F.col("own")[n // 2]
         half = F.shiftrightunsigned(word, 32) if n % 2 else word.bitwiseAND(0xFFFFFFFF)
         halves.append(_variants(bit, half, n, shift))
@@ -133,42 +147,32 @@ def _variants(bit, half, n: int, shift):
     return F.transform(bit, lambda b: half.bitwiseAND(F.bitwise_not(shift(one, b))).bitwiseOR(shift((b + 32 * n).cast("long"), F.lit(32))))
 
 
-def _name(values: np.ndarray) -> int:
-    return int(mix(np.array([mix(values.astype(np.uint64)).sum(dtype=np.uint64)], np.uint64)).view(np.int64)[0])
-
-
-def _shared(stream: int):
-    """Over batches sorted by key: (set, id) of keys with two ids or more.
+def _shared(bucket: int):
+    """Over batches sorted by key: (set, part, big, id) of keys with two ids or more.
 
-    A set is named by its members, so that keys with the same ones give the same rows. A key with
-    over ``stream`` rows is named by itself, and its rows are passed on as they come.
+    A set is named by its members, so that keys with the same ones give the same rows. Members of a
+    set of over ``bucket`` are numbered in parts of so many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        passing = None  # the key whose rows are passed on
 
         def settle(last: bool):
-            nonlocal keys, ids, passing
+            nonlocal keys, ids
             edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            done = len(edges) - 1
-            if not last and keys[-1] != passing and edges[-1] - edges[-2] <= stream:
-                done -= 1  # the last key may go on
-            sets, members = [], []
-            for i in range(done):
-                n, key = edges[i + 1] - edges[i], keys[edges[i]]
-                if key == passing or n > stream:
-                    passing = key
-                    own, name = ids[edges[i] : edges[i + 1]], _name(np.array([key, -1]))
-                elif n == 1 or len(own := np.unique(ids[edges[i] : edges[i + 1]])) == 1:
-                    continue
-                else:
-                    name = _name(own)
-                sets.append(np.full(len(own), name, np.int64))
-                members.append(own)
+            done = len(edges) - 1 if last else len(edges) - 2  # the last key may go on
+            sets, members, parts = [], [], []
+            for i in np.flatnonzero(np.diff(edges[: done + 1]) > 1).tolist():
+                own = np.unique(ids[edges[i] : edges[i + 1]])
+                if len(own) > 1:
+                    sets.append(np.full(len(own), _name(own), np.int64))
+                    members.append(own)
+                    parts.append(np.arange(len(own)) // bucket if len(own) > bucket else np.full(len(own), -1))
             keys, ids = keys[edges[done] :], ids[edges[done] :]
             if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets)), pa.array(np.concatenate(members))], ["set", "id"])
+                part = np.concatenate(parts)
+                arrays = [np.concatenate(sets), np.maximum(part, 0), part >= 0, np.concatenate(members)]
+                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["set", "part", "big", "id"])
 
         for batch in batches:
             keys = np.concatenate([keys, batch["key"].to_numpy(zero_copy_only=False)])
@@ -181,6 +185,27 @@ def _shared(stream: int):
     return run
 
 
+def key_sets(prints: DataFrame, bucket: int = BUCKET, stream: int = STREAM) -> DataFrame:
+    """``set, part, big, id``: the classes that share a key, in parts of about ``bucket`` members.
+
+    The rows of all keys are counted in ``COUNTERS`` counters; keys of a counter with over max(``stream``, a
+    1 / 10,000 of all rows) are spread by member, and fewer than 10,000 counters can be such. The others are
+    shuffled by key.
+    """
+    keyed = signatures(prints).withColumn("counter", F.pmod(F.xxhash64("key"), F.lit(COUNTERS)).cast("int"))
+    counts = cut(keyed.groupBy("counter").agg(F.count("*").alias("rows")))
+    total = counts.agg(F.sum("rows")).first()[0] or 0
+    crowded = counts.where(F.col("rows") > max(stream, total // 10_000)).select("counter", F.ceil(F.col("rows") / bucket).alias("parts"))
+    shared = "set long, part long, big boolean, id long"
+    if crowded.isEmpty():
+        return cut(keyed.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared).distinct())
+    few = keyed.join(F.broadcast(crowded.select("counter")), "counter", "left_anti").select("key", "id")
+    sets = few.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared)
+    spread = keyed.join(F.broadcast(crowded), "counter")
+    dealt = spread.select(F.col("key").alias("set"), F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(True).alias("big"), "id")
+    return cut(sets.unionByName(dealt).distinct())
+
+
 def forest(ids: np.ndarray, prints: np.ndarray, most, check=None) -> list[tuple[int, int]]:
     """Links that join what the pairs within ``most`` bits (that ``check`` finds true) join: (id, earlier id)."""
     left = np.arange(len(ids))
@@ -242,7 +267,7 @@ def _judge(similarity: float, exact: bool):
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], ["src", "dst"])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("block", "id", "shingles", "set" if exact else "n")), strict=True):
+            for row in zip(*(batch[c].to_pylist() for c in ("block", "id", "shingles", "set_of" if exact else "n")), strict=True):
                 if held and held[-1][0] != row[0]:
                     yield from settle()
                     held = []
@@ -253,36 +278,89 @@ def _judge(similarity: float, exact: bool):
     return run
 
 
-def _deal(sets: DataFrame, parts: DataFrame, *columns: str) -> DataFrame:
-    """``block, id`` and ``columns``: a set of several parts is dealt out, and every two parts meet."""
-    own = F.pmod(F.xxhash64("id"), F.col("parts"))
-    met = sets.join(parts, "set").select("set", "id", *columns, own.alias("a"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("b"))
-    return met.select(F.xxhash64("set", F.least("a", "b"), F.greatest("a", "b")).alias("block"), "id", *columns)
+def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
+    """``src, dst``: links that join what the pairs that ``judge`` finds within each set join.
 
-
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM) -> DataFrame:
-    """``src, dst``: ids of similar documents; they join what the similar pairs join."""
+    ``members`` has ``set, part, big, id``; a set that is not big is one part. ``judge`` takes ``block, id``
+    and links within a block. Parts meet within, each with its set's least member; then those members
+    that are not in the largest component of a big set (in parts of ``bucket`` too) meet all of it. With
+    few of these that makes two rows a member, and never more pairs than the set has.
+    """
+    big = members.where("big")
+    block = F.xxhash64("set", "part").alias("block")
+    parts = big.groupBy("set").agg(F.min("id").alias("id"), F.max("part").alias("last"), F.count("*").alias("size"))
+    pivots = parts.select("set", "id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
+    found = cut(judge(members.select(block, "id").unionByName(pivots.select(block, "id"))))
+    total = big.count()
+    if not total:
+        return found
+    named = connected_components(found).select(F.col("node").alias("id"), "component")
+    placed = cut(big.select("set", "part", "id").join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    by_component = placed.groupBy("set", "component").count()
+    largest = by_component.groupBy("set").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("__most"))
+    # sets of one component are done
+    largest = largest.where(F.col("size") > F.col("__most")).select("set", "most", "size", F.ceil((F.col("size") - F.col("__most")) / bucket).alias("rest"))
+    open_ = cut(hot_join(placed, largest, ["set"], "size", total).withColumn("own", F.when(F.col("component") != F.col("most"), F.pmod(F.xxhash64("id"), "rest"))))
+    if open_.isEmpty():
+        return found
+    lasts = hot_join(open_.where("own IS NOT NULL"), parts.select("set", "last", "size"), ["set"], "size", total)
+    pair = lambda a, b: F.xxhash64("set", a, b).alias("block")
+    # every part of the rest meets every part of the largest component, and every other part of the rest
+    theirs = open_.where("own IS NULL").select("set", "id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("b")).select(pair("part", "b"), "id")
+    to_parts = lasts.select("set", "id", F.col("own").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part")).select(pair("part", "b"), "id")
+    among = open_.where("own IS NOT NULL").select("set", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("b"))
+    among = among.select(pair(-1 - F.least("own", "b"), -1 - F.greatest("own", "b")), "id")
+    return found.unionByName(judge(theirs.unionByName(to_parts).unionByName(among)))
+
+
+def _sorted_blocks(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block")
+
+
+def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
+    """``src, dst``: classes with similar shingles, which join what the similar pairs join; and ``doc_id, row_key, id`` of each row's class."""
     ship(docs.sparkSession)
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    prints = cut(map_batches(rows, _fingerprinter(words), "id long, own array<long>, bands array<long>, n long, shingles binary"))
-    keyed = signatures(prints).repartition("key").sortWithinPartitions("key")
-    sets = cut(keyed.mapInArrow(_shared(stream), "set long, id long").distinct())
-    by_count = F.ceil(F.count("*") / bucket).cast("int")
-    blocks = lambda rows: rows.repartition("block").sortWithinPartitions("block")
-    met = _deal(sets, sets.groupBy("set").agg(by_count.alias("parts")))
-    near = cut(blocks(met.join(prints.select("id", "n", "shingles"), "id")).mapInArrow(_judge(similarity, False), "src long, dst long").distinct())
-    # what the filter joins meets once more, with the sets of shingles of these documents alone
+    prints = cut(fingerprints(docs, words))
+    rows = prints.select("doc_id", "row_key", "id")
+    classes = cut(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ("own", "bands", "n", "shingles")], F.min(F.struct("doc_id", "row_key")).alias("first")))
+    bits = classes.select("id", "n", "shingles")
+
+    def filtered(met: DataFrame) -> DataFrame:
+        return _sorted_blocks(met.join(bits, "id")).mapInArrow(_judge(similarity, False), "src long, dst long")
+
+    near = cut(join_sets(key_sets(classes, bucket, stream), filtered, bucket).distinct())
+    # what the filter joins meets once more, with the sets of shingles of these classes alone
     joined = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("set"))
-    joined = cut(joined.join(prints.select("id", "n", "shingles"), "id"))
-    by_weight = F.greatest(by_count, F.ceil(F.sum("n") / WEIGHT).cast("int"))
-    met = _deal(joined, joined.groupBy("set").agg(by_weight.alias("parts")), "shingles")
-    rows = rows.join(joined.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    met = met.join(map_batches(rows, _shingler(words), "id long, set binary"), "id")
-    return blocks(met).mapInArrow(_judge(similarity, True), "src long, dst long").distinct()
-
-
-def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
-    """One document of each group of similar ones stays: the one with the smallest id."""
-    parts = connected_components(links(docs, words, similarity, bucket))
-    gone = parts.where("node <> component").select(F.col("node").alias("__gone"))
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    joined = cut(joined.join(classes.select("id", "n", "shingles", "first"), "id"))
+    sizes = joined.groupBy("set").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / bucket), F.ceil(F.sum("n") / weight)).alias("parts"))
+    members = hot_join(joined.select("set", "id"), sizes, ["set"], "size", joined.count())
+    members = members.select("set", F.pmod(F.xxhash64("id"), "parts").alias("part"), (F.col("parts") > 1).alias("big"), "id")
+    chosen = joined.select("id", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
+    texts = texts.join(chosen, ["own_id", "own_key"]).select("id", "text")
+    sets = cut(map_batches(texts, _shingler(words), "id long, set_of binary").dropDuplicates(["id"]).join(bits.drop("n"), "id"))
+
+    def exact(met: DataFrame) -> DataFrame:
+        return _sorted_blocks(met.join(sets, "id")).mapInArrow(_judge(similarity, True), "src long, dst long")
+
+    return join_sets(members, exact, bucket).distinct(), rows
+
+
+def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> DataFrame:
+    """``doc_id, row_key, keep_id, keep_key``: each row that has an id, and the row of its group with the smallest id and text hash."""
+    found, rows = links(docs, words, similarity, bucket, stream, weight)
+    firsts = rows.groupBy("id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    parts = connected_components(found).select(F.col("node").alias("id"), "component")
+    named = cut(firsts.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    keep = named.groupBy("component").agg(F.min("first").alias("keep"), F.count("*").alias("size"))
+    named = hot_join(named, keep, ["component"], "size", named.count()).select("id", "keep")
+    sizes = rows.groupBy("id").agg(F.count("*").alias("size")).join(named, "id")
+    return hot_join(rows, sizes, ["id"], "size", rows.count()).select("doc_id", "row_key", F.col("keep.doc_id").alias("keep_id"), F.col("keep.row_key").alias("keep_key"))
+
+
+def deduplicate(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> DataFrame:
+    """One document of each group of similar ones stays: the one with the smallest id (and rows that repeat it)."""
+    groups = near_duplicates(docs, words, similarity, bucket, stream, weight)
+    gone = groups.where("doc_id <> keep_id OR row_key <> keep_key").select(F.col("doc_id").alias("__gone"), F.col("row_key").alias("__key")).distinct()
+    on = (docs["doc_id"].cast("long") == F.col("__gone")) & (F.xxhash64(docs["text"]) == F.col("__key"))
+    return docs.join(gone, on, "left_anti")
