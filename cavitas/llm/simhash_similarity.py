@@ -8,10 +8,8 @@ each bit deleted. In texts of similarity J a share p = acos(2J / (1 + J)) / pi o
 closest copies, and classes are candidates as well if one of ``BANDS`` groups of ``GROUP`` minima of
 their shingles agrees: 1 - (1 - J ** GROUP) ** BANDS, 0.9996 at 0.8, whatever the edit.
 
-The classes that share a key are a set. `join_sets` links its members in work that grows with
-its size as long as all but one of the components found are small: parts of ``BUCKET`` members meet
-within, each with the set's least member, and then what is not in the set's largest component meets
-all parts. It does so twice: by the ``SHINGLE_BITS`` bits of the fingerprints, where a pair within ``SLACK`` standard
+The classes that share a key are a set. `join_sets` links what similar members join, in work that grows
+with a set's size and not its square as long as most of it joins: see there. It does so twice: by the ``SHINGLE_BITS`` bits of the fingerprints, where a pair within ``SLACK`` standard
 deviations of p is let through, and then, within what that joins, by the exact similarity of the sets of
 shingles (as 64-bit hashes). No link is under the similarity asked for, and none that the keys
 bring together is lost.
@@ -42,10 +40,10 @@ BANDS, GROUP = 20, 5
 SLACK = 4.0
 #: With few shingles more bits differ than the formula says: at most this share, 4 shingles against 5.
 FEW, FEW_SHARE = 32, 0.1875
-#: Members of a set that meet in a task: 1,024 sets of shingles of 16 kB each are 16 MB.
-BUCKET = 1024
-#: Shingles that meet in a task, in the exact judgement.
-WEIGHT = 1 << 21
+#: Members of a set that meet in a task.
+BUCKET = 256
+#: Shingles (of 8 bytes) that meet in a task, in the exact judgement.
+WEIGHT = 1 << 20
 #: Rows of one key that a task holds; keys with more are spread.
 STREAM = 1 << 17
 #: Counters of the rows of keys.
@@ -278,39 +276,45 @@ def _judge(similarity: float, exact: bool):
     return run
 
 
-def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], bucket: int = BUCKET) -> DataFrame:
+def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
     """``src, dst``: links that join what the pairs that ``judge`` finds within each set join.
 
-    ``members`` has ``set, part, big, id``; a set that is not big is one part. ``judge`` takes ``block, id``
-    and links within a block. Parts meet within, each with its set's least member; then those members
-    that are not in the largest component of a big set (in parts of ``bucket`` too) meet all of it. With
-    few of these that makes two rows a member, and never more pairs than the set has.
+    ``members`` has ``set, part, big, id`` and a weight ``w``, of which a part has about ``limit`` at most; a set that
+    is not big is one part. ``judge`` takes ``block, id`` and links within a block. First, sets that are not
+    big meet, and each member of big ones meets the part of its largest set that it is in, with that set's least member. What this joins
+    need not meet again. So of a big set those that are not in its largest component then meet
+    that component, once for all sets that have it, and each other: two rows a member if they are few,
+    and never more pairs than the sets have with that component.
     """
-    big = members.where("big")
     block = F.xxhash64("set", "part").alias("block")
-    parts = big.groupBy("set").agg(F.min("id").alias("id"), F.max("part").alias("last"), F.count("*").alias("size"))
-    pivots = parts.select("set", "id", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part"))
-    found = cut(judge(members.select(block, "id").unionByName(pivots.select(block, "id"))))
+    big = members.where("big")
     total = big.count()
+    small = members.where("NOT big").select(block, "id")
     if not total:
-        return found
+        return cut(judge(small))
+    sizes = big.groupBy("set").agg(F.count("*").alias("size"), F.count("*").alias("members"))
+    ranked = hot_join(big.select("set", "part", "id"), sizes, ["set"], "size", total)
+    chosen = cut(ranked.groupBy("id").agg(F.max(F.struct("members", "set", "part")).alias("c")).select("id", "c.set", "c.part"))
+    pivots = chosen.select("set", "part").distinct().join(chosen.groupBy("set").agg(F.min("id").alias("id")), "set")
+    found = cut(judge(small.unionByName(chosen.select(block, "id")).unionByName(pivots.select(block, "id"))))
     named = connected_components(found).select(F.col("node").alias("id"), "component")
-    placed = cut(big.select("set", "part", "id").join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    placed = cut(big.select("set", "id", "w").join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
     by_component = placed.groupBy("set", "component").count()
-    largest = by_component.groupBy("set").agg(F.max_by("component", F.struct("count", "component")).alias("most"), F.sum("count").alias("size"), F.max("count").alias("__most"))
-    # sets of one component are done
-    largest = largest.where(F.col("size") > F.col("__most")).select("set", "most", "size", F.ceil((F.col("size") - F.col("__most")) / bucket).alias("rest"))
-    open_ = cut(hot_join(placed, largest, ["set"], "size", total).withColumn("own", F.when(F.col("component") != F.col("most"), F.pmod(F.xxhash64("id"), "rest"))))
-    if open_.isEmpty():
+    largest = by_component.groupBy("set").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"))
+    largest = largest.where(F.col("size") > F.col("top.count")).select("set", F.col("top.component").alias("family"), "size")
+    still = cut(hot_join(placed, largest, ["set"], "size", total).select("family", "id", "w", (F.col("component") == F.col("family")).alias("core")).distinct())
+    if still.isEmpty():
         return found
-    lasts = hot_join(open_.where("own IS NOT NULL"), parts.select("set", "last", "size"), ["set"], "size", total)
-    pair = lambda a, b: F.xxhash64("set", a, b).alias("block")
-    # every part of the rest meets every part of the largest component, and every other part of the rest
-    theirs = open_.where("own IS NULL").select("set", "id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("b")).select(pair("part", "b"), "id")
-    to_parts = lasts.select("set", "id", F.col("own").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("part")).select(pair("part", "b"), "id")
-    among = open_.where("own IS NOT NULL").select("set", "id", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1)).alias("b"))
+    parts = lambda rows: F.greatest(F.ceil(F.sum(F.when(rows, F.col("w"))) / limit), F.lit(1)).cast("long")
+    families = still.groupBy("family").agg(parts(F.col("core")).alias("cores"), parts(~F.col("core")).alias("rests"), F.count("*").alias("size"))
+    met = hot_join(still, families, ["family"], "size", total).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pair = lambda a, b: F.xxhash64("family", a, b).alias("block")
+    core = met.where("core").select("family", "id", "own", upto("rests").alias("b")).select(pair("own", "b"), "id")
+    rest = met.where("NOT core").select("family", "id", "own", upto("cores").alias("a")).select(pair("a", "own"), "id")
+    among = met.where("NOT core AND rests > 1").select("family", "id", "own", upto("rests").alias("b"))
     among = among.select(pair(-1 - F.least("own", "b"), -1 - F.greatest("own", "b")), "id")
-    return found.unionByName(judge(theirs.unionByName(to_parts).unionByName(among)))
+    return found.unionByName(judge(core.unionByName(rest).unionByName(among)))
 
 
 def _sorted_blocks(rows: DataFrame) -> DataFrame:
@@ -328,13 +332,14 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, b
     def filtered(met: DataFrame) -> DataFrame:
         return _sorted_blocks(met.join(bits, "id")).mapInArrow(_judge(similarity, False), "src long, dst long")
 
-    near = cut(join_sets(key_sets(classes, bucket, stream), filtered, bucket).distinct())
+    near = cut(join_sets(key_sets(classes, bucket, stream).withColumn("w", F.lit(1)), filtered, bucket).distinct())
     # what the filter joins meets once more, with the sets of shingles of these classes alone
     joined = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("set"))
     joined = cut(joined.join(classes.select("id", "n", "shingles", "first"), "id"))
-    sizes = joined.groupBy("set").agg(F.count("*").alias("size"), F.greatest(F.ceil(F.count("*") / bucket), F.ceil(F.sum("n") / weight)).alias("parts"))
-    members = hot_join(joined.select("set", "id"), sizes, ["set"], "size", joined.count())
-    members = members.select("set", F.pmod(F.xxhash64("id"), "parts").alias("part"), (F.col("parts") > 1).alias("big"), "id")
+    joined = joined.withColumn("w", F.greatest("n", F.lit(-(-weight // bucket))))
+    sizes = joined.groupBy("set").agg(F.count("*").alias("size"), F.ceil(F.sum("w") / weight).alias("parts"))
+    members = hot_join(joined.select("set", "id", "w"), sizes, ["set"], "size", joined.count())
+    members = members.select("set", F.pmod(F.xxhash64("id"), "parts").alias("part"), (F.col("parts") > 1).alias("big"), "id", "w")
     chosen = joined.select("id", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key"))
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
     texts = texts.join(chosen, ["own_id", "own_key"]).select("id", "text")
@@ -343,7 +348,7 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, b
     def exact(met: DataFrame) -> DataFrame:
         return _sorted_blocks(met.join(sets, "id")).mapInArrow(_judge(similarity, True), "src long, dst long")
 
-    return join_sets(members, exact, bucket).distinct(), rows
+    return join_sets(members, exact, weight).distinct(), rows
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> DataFrame:
