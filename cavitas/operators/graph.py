@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.session import cut
+from cavitas.session import cut, ship
+
+#: Edges that a task takes at once to contract them.
+CHUNK = 500_000
 
 #: Keys that a join may send to every task, and rows of one key that a task takes in any case.
 HOT_KEYS, HOT_ROWS = 100_000, 1_000
@@ -33,6 +41,7 @@ def connected_components(
     dst: str = "dst",
     keys: tuple[str, ...] = (),
     nodes: DataFrame | None = None,
+    chunk: int = CHUNK,
 ) -> DataFrame:
     """Label every node with the smallest node it can reach.
 
@@ -42,7 +51,8 @@ def connected_components(
     ``nodes`` (columns ``*keys, node``) adds isolated ones. Returns
     ``*keys, node, component``. No edges and no nodes give an empty result.
 
-    Alternating large-star and small-star steps: each node hangs its larger
+    First each task contracts its edges, ``chunk`` at a time, to stars: what is left is a forest a chunk. If
+    there is but one, that is all. Else alternating large-star and small-star steps: each node hangs its larger
     neighbours, then its smaller ones, on the least node it sees. A step is a
     partially aggregated ``min`` and an equi-join in which hubs are spread (`hot_join`), and the
     number of steps grows with the logarithm of the graph's size. The lineage is cut each round.
@@ -52,11 +62,16 @@ def connected_components(
         edges.select(*k, F.col(src).alias("u"), F.col(dst).alias("v"))
         .where(F.col("u").isNotNull() & F.col("v").isNotNull())
     )
-    loops = e.where("u = v").select(*k, F.col("u").alias("node"))
-    e = e.where("u <> v").select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    for name in k:
+        e = e.where(F.col(name).isNotNull())
     e = cut(e)
+    loops = e.where("u = v").select(*k, F.col("u").alias("node"))
+    e = e.where("u <> v").select(*k, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    n = e.count()
+    ship(edges.sparkSession)
+    e = cut(e.coalesce(-(-n // chunk) or 1).mapInArrow(_contract(k, chunk), e.schema))
     mark, last = (e.count(),), None
-    while True:
+    while n > chunk:
         e, mark = _round(e, k, mark[0])
         if mark == last:
             break
@@ -69,6 +84,53 @@ def connected_components(
     return out.unionByName(alone.withColumn("component", F.col("node")))
 
 
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of the nodes 0 to n - 1 reaches by the edges (a, b)."""
+    root = np.arange(n)
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _contract(keys: list[str], chunk: int):
+    """Over batches of (*keys, u, v): for each ``chunk`` of them, each node with the least that it reaches."""
+
+    def stars(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        graph = np.zeros(len(table), np.int64)
+        for name in keys:
+            codes, names = pd.factorize(table[name].to_pandas())
+            graph = pd.factorize(graph * len(names) + codes)[0]
+        node, names = pd.factorize(pd.concat([table["u"].to_pandas(), table["v"].to_pandas()], ignore_index=True), sort=True)
+        place, first, own = np.unique(np.tile(graph, 2) * len(names) + node, return_index=True, return_inverse=True)
+        root = roots(own[: len(table)], own[len(table) :], len(place))
+        hung = np.flatnonzero(root != np.arange(len(root)))
+        value = pa.array(names)
+        at = [pa.array(x) for x in (first[hung] % len(table), node[first[hung]], node[first[root[hung]]])]
+        columns = [table[name].combine_chunks().take(at[0]) for name in keys] + [value.take(x).cast(table["u"].type) for x in at[1:]]
+        yield from pa.Table.from_arrays(columns, schema=table.schema).to_batches(10_000)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if size + batch.num_rows > chunk and size:
+                yield from stars(held)
+                held, size = [], 0
+            held.append(batch)
+            size += batch.num_rows
+        if size:
+            yield from stars(held)
+
+    return run
+
+
 def _round(e: DataFrame, k: list[str], n: int) -> tuple[DataFrame, tuple]:
     both = e.unionByName(e.select(*k, F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy(*k, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("__n"))

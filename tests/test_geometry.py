@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -163,8 +164,16 @@ def test_components_of_stars_and_depth_of_a_path(spark):
     leaves = spark.range(1, n + 1)
     star = leaves.selectExpr("id AS src", "0L AS dst")  # the hub is the least node
     tail = leaves.selectExpr(f"id + {n} AS src", f"{3 * n}L AS dst")  # the hub is the greatest node
-    got = connected_components(star.unionByName(tail)).groupBy("component").count().collect()
-    assert sorted((r[0], r[1]) for r in got) == [(0, n + 1), (n + 1, n + 1)]
+    for chunk in (10**6, 50_000):
+        got = connected_components(star.unionByName(tail), chunk=chunk).groupBy("component").count().collect()
+        assert sorted((r[0], r[1]) for r in got) == [(0, n + 1), (n + 1, n + 1)]
+    rng = random.Random(4)
+    edges = [(rng.choice("ab"), f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(70)]
+    graph = spark.createDataFrame(edges, "g string, s string, t string")
+    once, often = ({tuple(r) for r in connected_components(graph, "s", "t", ("g",), chunk=c).collect()} for c in (10**6, 7))
+    assert once == often and {(g, x) for g, s, t in edges for x in (s, t)} == {(g, x) for g, x, _ in once}
+    label = {(g, x): c for g, x, c in once}
+    assert all(label[g, s] == label[g, t] <= min(s, t) for g, s, t in edges)
     path = spark.createDataFrame([(k, k + 1) for k in range(9)] + [(20, 21)], "src long, dst long")
     assert {r.node: r.depth for r in bfs_depth(path, 2).collect()} == {k: abs(k - 2) for k in range(10)}
     assert {r.node for r in bfs_depth(path, 2, max_depth=1).collect()} == {1, 2, 3}
