@@ -6,11 +6,14 @@ document is within k = ``RATE`` x m edits of it. Such a part shares at least
 m - q + 1 - kq of the item's q-grams (q = 8), within k + 1 neighbouring
 diagonals. Shared q-grams are therefore counted in diagonal bands of twice that
 width, each overlapping the next by half; bands that reach the bound are verified
-by a banded alignment with free ends in the document.
+by a banded alignment with free ends in the document. A q-gram that an item has over ``OFTEN`` times
+counts in a band at most as often as the item has it, and at most as often as the text has it beside the
+band: the lemma holds for that too, and no list of its pairs is needed. Long texts are taken in windows that overlap
+by the longest occurrence, so that memory does not grow with a text.
 
 The benchmark is the stated query set: it is taken in blocks of about
-``BLOCK`` characters, each broadcast, and every block is held against all
-documents in one pass without a shuffle.
+``BLOCK`` characters, each broadcast, and ``PASS`` blocks are held against all
+documents in one pass without a shuffle (an index has about 40 bytes a character).
 
 Defined results: null texts count as empty; items under q bytes, once
 normalised, never occur; for short items k is lowered until the bound is 1; a repeated item
@@ -33,7 +36,13 @@ from cavitas.session import table
 
 Q = 8
 RATE = 0.1
-BLOCK = 1_000_000
+BLOCK, PASS = 1_000_000, 4
+#: Places of a q-gram in an item up to which they are paired one by one.
+OFTEN = 4
+#: Bytes of a text that are looked at together, if no item is longer.
+SPAN = 1 << 16
+#: Pairs of places that are listed at a time.
+PAIRS = 1 << 20
 _FILTER_BITS = 22
 _KEEP = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b > 127 else 32 for b in range(256))
 
@@ -94,60 +103,111 @@ class Index:
         g = np.concatenate(all_grams) if all_grams else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(lengths)), lengths)
         at = np.concatenate([np.arange(n) for n in lengths]) if lengths else np.zeros(0, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.owner, self.at = owner[order], at[order]
-        self.grams, self.first = np.unique(g[order], return_index=True)
-        self.size = np.diff(np.append(self.first, len(g)))
-        self.filter = np.zeros(1 << _FILTER_BITS, bool)
-        self.filter[_slot(self.grams)] = True
+        self.m = m
         self.least = int(self.bound.min()) if len(m) else 0
+        self.reach = int((m + 2 * self.k).max()) if len(m) else 0
+        order = np.lexsort((at, owner, g))
+        g, owner, at = g[order], owner[order], at[order]
+        self.filter = np.zeros(1 << _FILTER_BITS, bool)
+        self.filter[_slot(g)] = True
+        new = np.ones(len(g), bool)
+        new[1:] = (g[1:] != g[:-1]) | (owner[1:] != owner[:-1])
+        times = np.diff(np.append(np.flatnonzero(new), len(g)))
+        often = np.repeat(times > OFTEN, times)
+        #: grams that an item has often: (gram, item, times), by gram
+        self.often = (g[often & new], owner[often & new], times[times > OFTEN])
+        self.owner, self.at = owner[~often], at[~often]
+        self.grams, self.first = np.unique(g[~often], return_index=True)
+        self.size = np.diff(np.append(self.first, len(self.owner)))
 
     def candidates(self, data: bytes) -> Iterator[tuple[int, int, int]]:
-        """(item, first diagonal, width) of the bands with enough shared q-grams."""
+        """(item, first diagonal, width) of the bands with enough shared q-grams, by item."""
         g = grams(data)
         j = np.flatnonzero(self.filter[_slot(g)]) if self.items else g[:0]
         if len(j) < self.least or not len(j):
             return
-        row = np.minimum(np.searchsorted(self.grams, g[j]), len(self.grams) - 1)
-        hit = self.grams[row] == g[j]
-        j, row = j[hit], row[hit]
-        if len(j) < self.least:
-            return
-        n = self.size[row]
-        which = np.repeat(self.first[row] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        item, diagonal = self.owner[which], np.repeat(j, n) - self.at[which]
-        step = self.k[item] + 1
-        band = np.floor_divide(diagonal, step)
-        low = -len(data) - 2  # below any band
         span = 2 * len(data) + 1_000_000
-        key = np.concatenate([item * span + (band - low), item * span + (band - 1 - low)])
-        key.sort()
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1, [len(key)]])
-        count, key = np.diff(edges), key[edges[:-1]]
-        for x in key[count >= self.bound[key // span]].tolist():
+        low = -len(data) - 2  # below any band
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for key, count in self._shares(g[j], j, span, low):
+            held.append((key, count))
+            if sum(len(k) for k, _ in held) > 4 * PAIRS:
+                held = [_added(held)]
+        if not held:
+            return
+        keys, counts = _added(held)
+        for x in keys[counts >= self.bound[keys // span]].tolist():
             i, b = divmod(x, span)
             yield i, (b + low) * (int(self.k[i]) + 1), 2 * (int(self.k[i]) + 1)
 
+    def _shares(self, g: np.ndarray, j: np.ndarray, span: int, low: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(item and band, shared q-grams) of q-grams ``g`` at places ``j``, in parts."""
+        row, hit = _rows(self.grams, g)
+        places, row = j[hit], row[hit]
+        n = self.size[row]
+        ends = np.cumsum(n)
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, side="right")))
+            m, r = n[at:to], row[at:to]
+            which = np.repeat(self.first[r] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            item = self.owner[which]
+            band = np.floor_divide(np.repeat(places[at:to], m) - self.at[which], self.k[item] + 1)
+            yield np.unique(np.concatenate([item * span + (band - low), item * span + (band - 1 - low)]), return_counts=True)
+            at = to
+        often, items, times = self.often
+        row, hit = _rows(often, g)
+        if not hit.any():
+            return
+        order = np.lexsort((j[hit], g[hit]))
+        grams_of, places = g[hit][order], j[hit][order]
+        starts = np.flatnonzero(np.diff(grams_of, prepend=grams_of[:1] ^ np.uint64(1)))
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(places)).tolist(), strict=True):
+            own, gram = places[a:b], grams_of[a]
+            for i in range(int(np.searchsorted(often, gram)), int(np.searchsorted(often, gram, side="right"))):
+                item, step, m = int(items[i]), int(self.k[items[i]]) + 1, int(self.m[items[i]])
+                first, last = (int(own[0]) - m) // step - 1, int(own[-1]) // step + 1
+                band = np.arange(first, last + 1)
+                beside = np.searchsorted(own, (band + 2) * step + m) - np.searchsorted(own, band * step)
+                full = np.flatnonzero(beside)
+                yield item * span + (band[full] - low), np.minimum(beside[full], times[i])
+
     def found(self, text: str | None) -> list[int]:
         """Numbers of the items that occur in a text."""
         data = normalised(text)
         if len(data) < Q:
             return []
-        out: list[int] = []
+        out: set[int] = set()
         array = None
-        for i, diagonal, width in self.candidates(data):
-            if out and out[-1] == i:  # candidates come by item
-                continue
-            item, k = self.items[i], int(self.k[i])
-            begin, end = max(0, diagonal - k), diagonal + width + len(item) + k
-            if data.find(item, begin, end) >= 0:
-                out.append(i)
-                continue
-            if array is None:
-                array = np.frombuffer(data, np.uint8).astype(np.int16)
-            if banded_distance(np.frombuffer(item, np.uint8).astype(np.int16), array[begin:end], k) <= k:
-                out.append(i)
-        return out
+        size = max(SPAN, 4 * self.reach)
+        for offset in range(0, max(1, len(data) - self.reach), size - self.reach):
+            for i, diagonal, width in self.candidates(data[offset : offset + size]):
+                if i in out:
+                    continue
+                item, k = self.items[i], int(self.k[i])
+                begin, end = max(0, offset + diagonal - k), offset + diagonal + width + len(item) + k
+                if data.find(item, begin, end) < 0:
+                    if array is None:
+                        array = np.frombuffer(data, np.uint8).astype(np.int16)
+                    if banded_distance(np.frombuffer(item, np.uint8).astype(np.int16), array[begin:end], k) > k:
+                        continue
+                out.add(i)
+        return sorted(out)
+
+
+def _rows(table: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``g`` is in a sorted table, and which are there."""
+    if not len(table):
+        return np.zeros(len(g), np.int64), np.zeros(len(g), bool)
+    row = np.minimum(np.searchsorted(table, g), len(table) - 1)
+    return row, table[row] == g
+
+
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of each key of all parts."""
+    keys, where = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate([c for _, c in parts]), len(keys)).astype(np.int64)
 
 
 def blocks(benchmark: DataFrame, block: int = BLOCK) -> Iterator[DataFrame]:
@@ -164,19 +224,28 @@ def _index(part: DataFrame, rate: float) -> Index:
     return Index([r["item_id"] for r in rows], [r["text"] for r in rows], rate)
 
 
+def _passes(docs: DataFrame, benchmark: DataFrame, rate: float, block: int) -> Iterator:
+    """Broadcast lists of at most ``PASS`` indexes."""
+    held = []
+    for part in blocks(benchmark, block):
+        held.append(_index(part, rate))
+        if len(held) == PASS:
+            yield docs.sparkSession.sparkContext.broadcast(held)
+            held = []
+    if held:
+        yield docs.sparkSession.sparkContext.broadcast(held)
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_found, items`` of each document: occurring items, and their ids in order."""
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.lit(0).cast("long").alias("n_found"), F.array().cast("array<long>").alias("items"))
-    for part in blocks(benchmark, block):
-        index = docs.sparkSession.sparkContext.broadcast(_index(part, rate))
-
-        def make(index=index):
-            own = index.value
+    for indexes in _passes(docs, benchmark, rate, block):
 
+        def make(indexes=indexes):
             def step(batch: pa.RecordBatch):
-                found = [own.found(t) for t in batch["text"].to_pylist()]
+                found = [[own.ids[i] for own in indexes.value for i in own.found(t)] for t in batch["text"].to_pylist()]
                 n = pa.array([a + len(f) for a, f in zip(batch["n_found"].to_pylist(), found, strict=True)], pa.int64())
-                ids = [[*a, *(own.ids[i] for i in f if own.ids[i] is not None)] for a, f in zip(batch["items"].to_pylist(), found, strict=True)]
+                ids = [[*a, *(i for i in f if i is not None)] for a, f in zip(batch["items"].to_pylist(), found, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], n, pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "text", "n_found", "items"])
 
             return step
@@ -187,14 +256,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block: int = BLOCK) -> DataFrame:
     """``docs`` without the rows in which an item occurs."""
-    for part in blocks(benchmark, block):
-        index = docs.sparkSession.sparkContext.broadcast(_index(part, rate))
-
-        def make(index=index):
-            own = index.value
+    for indexes in _passes(docs, benchmark, rate, block):
 
+        def make(indexes=indexes):
             def step(batch: pa.RecordBatch):
-                yield batch.filter(pa.array([not own.found(t) for t in batch["text"].to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not any(own.found(t) for own in indexes.value) for t in batch["text"].to_pylist()], pa.bool_()))
 
             return step
 

@@ -70,6 +70,36 @@ def test_against_brute_force(spark, stored):
     assert sorted((r.doc_id, r.n_found, r["items"]) for r in blocks) == sorted((i, n, [int(x) for x in s.split(",") if x]) for i, _, n, s in brute(docs, items))
 
 
+def test_repetitive_items_and_windows(monkeypatch):
+    """Against brute force where q-grams repeat, and where a text is taken in windows."""
+    rng = random.Random(9)
+    monkeypatch.setattr(d, "SPAN", 60)
+    monkeypatch.setattr(d, "PAIRS", 7)
+    some = 0
+    for _ in range(60):
+        unit = "".join(rng.choice("ab ") for _ in range(rng.randint(1, 4)))
+        items = [(unit * 40)[: rng.randint(9, 60)], "".join(rng.choice("abc") for _ in range(30)), "xyz" * 12]
+        text = "".join(rng.choice("abc") for _ in range(rng.randint(0, 300))) + edited(rng, rng.choice(items), rng.randint(0, 4)) + "".join(rng.choice("abxyz") for _ in range(rng.randint(0, 200)))
+        index = d.Index(list(range(3)), items)
+        want = [k for k, data in enumerate(index.items) if distance(data, d.normalised(text)) <= d.edit_budget(len(data))]
+        assert index.found(text) == want
+        some += len(want)
+    assert some > 40
+
+
+def test_memory_of_a_repetitive_text():
+    import tracemalloc
+
+    index = d.Index([0, 1], ["0 " * 1_000, "lorem ipsum dolor sit amet " * 20])
+    peaks = []
+    for n in (20_000, 1_000_000):
+        tracemalloc.start()
+        assert index.found("1 " * 30 + "0 " * (n // 2)) == [0]
+        peaks.append(tracemalloc.get_traced_memory()[1] - 8 * n)
+        tracemalloc.stop()
+    assert peaks[1] < peaks[0] + 40_000_000, peaks
+
+
 def test_banded_distance():
     rng = random.Random(7)
     arr = lambda s: np.frombuffer(s.encode(), np.uint8).astype(np.int16)
