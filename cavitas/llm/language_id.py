@@ -3,14 +3,15 @@
 A text's vector counts the byte trigrams of its lower-cased letters (other
 characters become one space), hashed to ``DIMS``; it is damped, weighted by inverse
 document frequency over all learnable documents, and normalised. Each language
-has ``CENTROIDS`` centroids, clustered by cosine on a sample of about
-``SAMPLE`` documents, by hash of the id. A text gets the language of the centroid with
-the largest cosine, and is rejected if that cosine is under ``FLOOR`` times the
-least that the language's own sample reaches (for texts with under ``FEW``
+has up to ``CENTROIDS`` centroids, clustered by cosine on a sample of about
+``SAMPLE`` documents, by hash of the id; a cluster with under ``SHARE`` of the sample, odd
+documents, gives none. A text gets the language of the centroid with
+the largest cosine, and is rejected if that cosine is under ``FLOOR`` times what
+all but ``TAIL`` of the language's own sample reach (for texts with under ``FEW``
 distinct trigrams less, by the root of their share of it).
 
 Only text and non-null lang of documents with crc32(doc_id as text) mod 3 not 1
-are learned from; at most ``LANGUAGES`` languages, the most frequent. Defined
+are learned from, whatever the number of languages (128 kB each in the model). A letter is what Unicode calls one. Defined
 results: null or letterless texts are ``und`` with score 0 and rejected; so
 is every text if nothing can be learned; null ids are predicted, not held out, and
 never learned from; repeated rows give repeated rows; an empty table gives no
@@ -19,27 +20,27 @@ rows; other columns are not read, and pass through ``keep_known``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavitas.llm.common import documents, held_out, map_batches
-from cavitas.session import ship
+from cavitas.session import cut, ship
 
 DIMS = 1 << 13
 CENTROIDS = 4
 SAMPLE = 500
-LANGUAGES = 256
+SHARE, TAIL = 0.05, 0.01
 FLOOR = 0.3
 FEW = 100
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _KEEP = bytes(b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
 
@@ -87,19 +88,24 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(dims, -1), pa.int32()), pa.array(np.append(total[dims], n), pa.int64())], ["dim", "n"])
 
 
-def cluster(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from the mean and then the vectors farthest from what is chosen."""
-    mean = vectors.mean(axis=0)
-    centroids = [mean / max(float(np.linalg.norm(mean)), 1e-9)]
-    while len(centroids) < min(k, len(vectors)):
-        centroids.append(vectors[int((vectors @ np.array(centroids).T).max(axis=1).argmin())])
-    c = np.array(centroids)
-    for _ in range(rounds):
-        own = (vectors @ c.T).argmax(axis=1)
-        for j in range(len(c)):
-            if (own == j).any():
-                m = vectors[own == j].mean(axis=0)
-                c[j] = m / max(float(np.linalg.norm(m)), 1e-9)
+def _unit(rows: np.ndarray) -> np.ndarray:
+    return rows / np.maximum(np.linalg.norm(rows, axis=-1, keepdims=True), 1e-9)
+
+
+def cluster(vectors: np.ndarray, k: int, share: float = SHARE, rounds: int = 12) -> np.ndarray:
+    """Spherical k-means from members drawn in proportion to their squared distance; small clusters go, the largest stays."""
+    rng = np.random.default_rng(0)
+    c = _unit(vectors.mean(axis=0))[None]
+    while len(c) < min(k, len(vectors)):
+        far = np.maximum(1e-12, 1 - (vectors @ c.T).max(axis=1)) ** 2
+        c = np.concatenate([c, vectors[rng.choice(len(vectors), p=far / far.sum())][None]])
+    for last in (False, True):
+        for _ in range(rounds):
+            own = (vectors @ c.T).argmax(axis=1)
+            c = np.array([_unit(vectors[own == j].mean(axis=0)) if (own == j).any() else c[j] for j in range(len(c))])
+        sizes = np.bincount((vectors @ c.T).argmax(axis=1), minlength=len(c))
+        if not last:
+            c = c[(sizes >= share * len(vectors)) | (sizes == sizes.max())]
     return c
 
 
@@ -108,7 +114,7 @@ def _fit_language(idf: np.ndarray, k: int, floor: float):
         rows = rows.sort_values(["doc_id", "text"])
         vectors = np.array([vector(counts(t), idf) for t in rows["text"]])
         c = cluster(vectors, k)
-        least = floor * float((vectors @ c.T).max(axis=1).min())
+        least = floor * float(np.quantile((vectors @ c.T).max(axis=1), TAIL))
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": [x.astype(float).tolist() for x in c], "floor": least})
 
     return run
@@ -128,13 +134,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, floor: float
         else:
             frequency[dim] = n
     idf = np.log((1 + total) / (1 + frequency)).astype(np.float32) + np.float32(0.1)
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    share = {r["lang"]: sample / r["count"] for r in sizes}
-    if not share:
+    sizes = cut(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    if sizes.isEmpty():
         return Model(idf, np.zeros((0, DIMS), np.float32), [], np.zeros(0))
-    shares = F.create_map(*[F.lit(x) for pair in share.items() for x in pair])
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(place < F.coalesce(F.element_at(shares, F.col("lang")), F.lit(0.0)))
+    # the names of the languages, less than the model that they are fitted for
+    chosen = rows.join(F.broadcast(sizes), "lang").where(place < F.lit(sample) / F.col("n")).drop("n")
     fitted = chosen.groupBy("lang").applyInPandas(_fit_language(idf, k, floor), "lang string, centroid array<double>, floor double").collect()
     fitted.sort(key=lambda r: (r["lang"], r["centroid"]))
     matrix = np.array([r["centroid"] for r in fitted], np.float32).reshape(-1, DIMS)

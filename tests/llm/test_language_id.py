@@ -42,6 +42,44 @@ def test_held_out_accuracy_and_edges(spark, tmp_path):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted((r.doc_id or -1) for r in got if not r.rejected)
 
 
+def test_letters_many_languages_and_odd_documents(spark):
+    data = rows(900) + [(2000 + k, f"{chr(0x4E00 + k)}{chr(0x5000 + k)} " * 5, f"l{k:03}") for k in range(400) if zlib.crc32(str(2000 + k).encode()) % 3 != 1]
+    # a few mislabelled documents give no centroid
+    data += [(9000 + k, "bada dobu gaba abdo " * 9, "yy") for k in range(9)]
+    docs = frame(spark, data)
+    model = language_id.fit(docs)
+    assert len(set(model.langs)) == len({g for _, _, g in data}) > 256
+    assert model.predict("²½")[0] == "und" and model.predict("ⅷ 12")[0] == "und" and model.predict("ª")[0] != "und"
+    assert model.predict("abdo gaba bada dobu " * 9)[0] == "xx"
+    for lang in VOCABULARY:
+        assert 1 <= model.langs.count(lang) <= language_id.CENTROIDS
+
+
+def test_prediction_against_plain_python(spark):
+    """Cosines by dictionaries of trigrams, without hashing or arrays, for the same centroids' language."""
+    import math
+
+    docs = frame(spark, rows())
+    model = language_id.fit(docs)
+
+    def plain(text):
+        clean = " ".join("".join(c if c.isalpha() and (c.islower() or not c.isascii()) else " " for c in text.lower()).split())
+        data = f" {clean} ".encode()
+        return [data[k : k + 3] for k in range(len(data) - 2)]
+
+    for _, text, _ in rows(40, seed=3):
+        weights = {}
+        for gram in plain(text):
+            slot = ((gram[0] << 16 | gram[1] << 8 | gram[2]) * 2654435761 % (1 << 32)) >> 19
+            weights[slot] = weights.get(slot, 0) + 1
+        weights = {s: math.sqrt(n) * float(model.idf[s]) for s, n in weights.items()}
+        size = math.sqrt(sum(w * w for w in weights.values()))
+        cosines = [sum(w * float(c[s]) for s, w in weights.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        lang, score, _ = model.predict(text)
+        assert lang == model.langs[best] and abs(score - min(1.0, cosines[best])) < 1e-4
+
+
 def test_never_learns_from_held_out(spark):
     data = rows()
     wrong = [(i, t, "xx" if zlib.crc32(str(i).encode()) % 3 == 1 else g) for i, t, g in data]
