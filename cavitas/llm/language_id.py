@@ -93,12 +93,10 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def cluster(vectors: np.ndarray, k: int, share: float = SHARE, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from members drawn in proportion to their squared distance; small clusters go, the largest stays."""
-    rng = np.random.default_rng(0)
-    c = _unit(vectors.mean(axis=0))[None]
-    while len(c) < min(k, len(vectors)):
-        far = np.maximum(1e-12, 1 - (vectors @ c.T).max(axis=1)) ** 2
-        c = np.concatenate([c, vectors[rng.choice(len(vectors), p=far / far.sum())][None]])
+    """Spherical k-means from members drawn from the half nearest to the mean; small clusters go, the largest stays."""
+    near = vectors @ _unit(vectors.mean(axis=0))
+    dense = vectors[near >= np.median(near)]
+    c = dense[np.random.default_rng(0).choice(len(dense), min(k, len(dense)), replace=False)]
     for last in (False, True):
         for _ in range(rounds):
             own = (vectors @ c.T).argmax(axis=1)
