@@ -3,19 +3,23 @@
 A-Z are lower-cased; words are runs of 0-9, a-z and characters over U+007F.
 The automaton holds all factors of the templates' word sequences. A text is
 streamed through it for matching statistics - at each word the longest factor
-that ends there - its right-maximal matches of ``LEAST`` words or more are
-chained, per template, into covered spans, and a template whose best chain
-covers at least ``COVER`` of it gives its label. The base phrases are templates
+that ends there - and its right-maximal matches of ``LEAST`` words or more are
+chained, per template, into covered spans: the best chain takes matches in the order of both
+texts, at most ``GAP`` words apart, for the weight of their words less ``PENALTY`` a skipped word. Words without a
+meaning of their own (``LIGHT``) weigh ``LIGHT_WEIGHT``, all others 1. A chain with at least ``COVER`` of its template's
+weight is a span with its label, unless it overlaps a span of more weight. The base phrases are templates
 too; all their places are counted.
 
 Defined results: a null text counts as empty; without a base phrase first and
 last word are null; repeated rows give repeated rows; null ids pass through;
 an empty table gives no rows; other columns are not read. Score is the largest
-share of a template that a chain covers (a base phrase in place: 1).
+share of a template's weight that a chain covers (a base phrase in place: 1). Spans count words from 0, ends
+exclusive, by start; of equal chains the one that ends first is taken.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +31,11 @@ from cavitas.llm.common import documents, map_batches, texts_of
 
 LEAST = 3
 COVER = 0.6
-#: Words that a chain may skip between two matches, in the text and in the template.
-GAP = 8
+#: Words that a chain may skip between two matches, and what each takes off its weight.
+GAP, PENALTY = 64, 0.02
+#: Words that weigh little.
+LIGHT = set("a an and any as at be by can for from if in is it may not of on or that the this to was were will with you".split())
+LIGHT_WEIGHT = 0.25
 
 #: Phrases whose every place counts, with their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -115,6 +122,8 @@ class Scanner:
         self.number: dict[bytes, int] = {}
         sequences = [[self.number.setdefault(w, len(self.number)) for w in s] for s in split]
         self.sizes = [len(s) for s in sequences]
+        #: weight of the first words of each template
+        self.weights = [np.concatenate([[0], np.cumsum([LIGHT_WEIGHT if w in LIGHT else 1.0 for w in map(bytes.decode, s)])]).tolist() for s in split]
         self.n_base = len(BASE)
         self.automaton = Automaton(sequences)
         size = len(self.number)
@@ -157,37 +166,76 @@ class Scanner:
                     yield number, end
             up = -1 if self.automaton.length[up] < 2 else self.automaton.link[up]
 
-    def covered(self, found) -> dict[int, int]:
-        """Words of each template in its best chain of matches, in order in both, with gaps of ``GAP`` at most."""
-        best: dict[int, int] = {}
-        open_: dict[int, tuple[int, int, int]] = {}  # template: ends in text and template, words
+    def chains(self, found) -> list[tuple[int, int, int, float]]:
+        """(template, start, end, share of its weight) of the best chains of each template, which do not overlap."""
+        placed: dict[int, list[tuple[int, int, int]]] = {}
         for start, length, state in found:
             for number, end in self.automaton.ends[state]:
-                if length < min(LEAST, self.sizes[number]):
-                    continue
-                at, to, words = open_.get(number, (-GAP - 1, -GAP - 1, 0))
-                gap, skip = start - at, end - length - to
-                if words and -length < gap <= GAP and -length < skip <= GAP:
-                    words += length - max(0, -gap, -skip)
-                elif end <= to and start < at:
-                    continue
-                else:
-                    words = length
-                open_[number] = (start + length, end, words)
-                best[number] = max(best.get(number, 0), min(words, self.sizes[number]))
-        return best
+                if number >= self.n_base and length >= min(LEAST, self.sizes[number]):
+                    placed.setdefault(number, []).append((start, start + length, end))
+        out = []
+        for number, matches in placed.items():
+            weight = self.weights[number]
+            best = best_chains(matches, weight)
+            taken: list[tuple[int, int]] = []
+            for _, start, end, covered in sorted(best, key=lambda c: (-c[0], c[2])):
+                if _take(taken, start, end):
+                    out.append((number, start, end, min(1.0, covered / weight[-1])))
+        return out
+
+    def spans(self, found) -> tuple[list[tuple[str, int, int, float]], float]:
+        """(label, start, end, share) of covered template spans, and the largest share of any chain."""
+        chains = self.chains(found)
+        kept: list[tuple[str, int, int, float]] = []
+        full = [c for c in chains if c[3] >= COVER]
+        taken: list[tuple[int, int]] = []
+        for number, start, end, share in sorted(full, key=lambda c: (-c[3] * self.weights[c[0]][-1], c[1:])):
+            if _take(taken, start, end):
+                kept.append((self.labels[number], start, end, share))
+        return sorted(kept, key=lambda k: k[1:]), max((c[3] for c in chains), default=0.0)
 
     def scan(self, text: bytes) -> tuple:
         words = words_of(text)
         if len(words) < 2:
-            return len(words), 0, None, None, "", "", 0.0
+            return len(words), 0, None, None, "", "", 0.0, []
         found, places = self.matches(words)
         starts = [end - self.sizes[number] for number, end in places]
         base = {self.labels[number] for number, _ in places}
-        share = {number: words / self.sizes[number] for number, words in self.covered(found).items()}
-        own = {self.labels[number] for number, s in share.items() if number >= self.n_base and s >= COVER}
-        score = 1.0 if places else max(share.values(), default=0.0)
-        return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), score
+        spans, share = self.spans(found)
+        labels = base | {label for label, *_ in spans}
+        return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else share, spans
+
+
+def _take(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Adds a span to the sorted ``taken`` if it overlaps none of them."""
+    at = bisect(taken, (start, end))
+    if at and taken[at - 1][1] > start or at < len(taken) and taken[at][0] < end:
+        return False
+    taken.insert(at, (start, end))
+    return True
+
+
+def best_chains(matches: list[tuple[int, int, int]], weight: list[float]) -> list[tuple[float, int, int, float]]:
+    """(value, start, end, weight covered) of the best chain that ends with each match (start, end, end in the template)."""
+    matches = sorted(matches, key=lambda m: (m[1], m[2], m[0]))
+    out: list[tuple[float, int, int, float]] = []
+    for k, (start, end, to) in enumerate(matches):
+        full = weight[to] - weight[to - (end - start)]
+        best = (full, start, end, full)
+        for j in range(k - 1, -1, -1):
+            _, at, before = matches[j]
+            if start - at > GAP:  # those before end earlier still
+                break
+            begin = max(start, at)  # what both have counts once
+            skip = max(0, before - (to - (end - begin)))
+            if at >= end or before >= to or begin + skip >= end or to - (end - begin) - before > GAP:
+                continue
+            own = weight[to] - weight[to - (end - begin) + skip]
+            value = out[j][0] + own - PENALTY * (begin + skip - at)
+            if value > best[0]:
+                best = (value, out[j][1], end, out[j][3] + own)
+        out.append(best)
+    return out
 
 
 class _Forever:
@@ -206,25 +254,28 @@ def scanner() -> Scanner:
     return Scanner()
 
 
-_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-_TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
+_SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,start:long,end:long,share:double>>"
+_NAMES = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
+_SPAN = pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("share", pa.float64())])
+_TYPES = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(_SPAN)]
 
 
 def _make():
     found = scanner()
 
     def step(batch: pa.RecordBatch):
-        columns = list(zip(*map(found.scan, texts_of(batch["text"])), strict=True)) or [[]] * 7
+        columns = list(zip(*map(found.scan, texts_of(batch["text"])), strict=True)) or [[]] * 8
+        columns[7:] = [[[dict(zip(("label", "start", "end", "share"), x, strict=True)) for x in row] for row in columns[7]]]
         arrays = [batch["doc_id"], *(pa.array(list(c), t) for c, t in zip(columns, _TYPES, strict=True))]
-        yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in _SCHEMA.split(", ")])
+        yield pa.RecordBatch.from_arrays(arrays, _NAMES)
 
     return step
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Counts, places, labels and score of each document."""
+    """Counts, places, labels, score and covered spans of each document."""
     return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), _make, _SCHEMA)
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir)).withColumn("spans", F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["label"], s["start"].cast("string"), s["end"].cast("string"))), ","))

@@ -34,7 +34,60 @@ def test_templates_and_chains():
     edited = " ".join(w for i, w in enumerate(words) if i not in (5, 12))
     assert s.scan(edited.encode())[5] == "bsd" and s.scan(edited.encode())[6] < 1
     assert s.scan(b"source and binary are words of the language")[5:] [0] == ""
-    assert s.scan(b"nothing here")[5:] == ("", 0.0)
+    assert s.scan(b"nothing here")[5:] == ("", 0.0, [])
+
+
+def test_near_misses_and_interruptions():
+    s = license_scan.scanner()
+    for text in ("released under the name of the band", "licensed under the age of a license", "you may not use this file", "subject to the terms of the treaty", "permission to use it for any purpose", "redistribution of wealth and use of binary options", "the software is free of charge", "under the terms of the public"):
+        assert s.scan(text.encode())[5] == "" and s.scan(text.encode())[7] == [], text
+    words = license_scan.words_of(license_scan.TEMPLATES["mit"][1].encode())
+    for foreign in (b"page 3 of 9 draft of the annual report 2020", b"associated documentation files"):
+        out = s.scan(b"x y " + b" ".join(words[:28]) + b" " + foreign + b" " + b" ".join(words[28:]))
+        assert out[5] == "mit" and out[6] == 1.0 and out[7] == [("mit", 2, 2 + len(words) + len(foreign.split()), 1.0)]
+    twice = s.scan(b" ".join(words) + b" and " + b" ".join(words))[7]
+    assert [x[:3] for x in twice] == [("mit", 0, len(words)), ("mit", len(words) + 1, 2 * len(words) + 1)]
+    by_sa = s.scan(license_scan.TEMPLATES["cc-by-sa"][0].encode())
+    assert [x[0] for x in by_sa[7]] == ["cc-by-sa"]
+
+
+def test_best_chains_against_all_chains():
+    """Every chain of a few matches, by brute force."""
+    rng = random.Random(6)
+    for _ in range(300):
+        size = rng.randint(4, 14)
+        weight = [0.0]
+        for _ in range(size):
+            weight.append(weight[-1] + rng.choice([0.25, 1.0]))
+        matches = set()
+        for _ in range(rng.randint(1, 6)):
+            n = rng.randint(1, min(4, size))
+            to, start = rng.randint(n, size), rng.randrange(20)
+            matches.add((start, start + n, to))
+        matches = sorted(matches, key=lambda m: (m[1], m[2], m[0]))
+
+        def value(chain):
+            total, at, before = 0.0, None, None
+            for start, end, to in chain:
+                begin, skip = start, 0
+                if at is not None:
+                    begin = max(start, at)
+                    skip = max(0, before - (to - (end - begin)))
+                    if at >= end or before >= to or begin + skip >= end:
+                        return None
+                    total -= license_scan.PENALTY * (begin + skip - at)
+                total += weight[to] - weight[to - (end - begin) + skip]
+                at, before = end, to
+            return total
+
+        best = {}
+        for bits in range(1, 1 << len(matches)):
+            chain = [m for k, m in enumerate(matches) if bits >> k & 1]
+            v = value(chain)
+            if v is not None:
+                best[chain[-1]] = max(best.get(chain[-1], -1.0), v)
+        got = license_scan.best_chains(matches, weight)
+        assert all(abs(got[k][0] - best[m]) < 1e-9 for k, m in enumerate(matches))
 
 
 def test_matching_statistics():
