@@ -3,16 +3,20 @@
 Each stage works on all that the one before kept; what it returns is written
 as Parquet in the shared checkpoint folder and read again as the next stage's
 documents. All but the last return the columns of ``documents``.
+
+Defined results: null, empty and letterless texts have no language and go in the first stage;
+of rows with equal texts the one with the largest id stays, and of similar ones the one with the smallest;
+rows that repeat each other whole stay together; rows without an id
+stay where an id would be needed to tell them apart; empty tables give no rows; extra columns
+pass through all stages but the last.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from cavitas.llm import bpe, decontaminate, exact_dedup, language_id, simhash_similarity
-from cavitas.session import checkpoint_folder, table
+from cavitas.session import scratch_folder, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "corpus")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
