@@ -26,7 +26,7 @@ def hot_join(rows: DataFrame, by_key: DataFrame, on: list[str], size: str, total
     ``total / HOT_KEYS`` rows each: these are broadcast and their rows stay where they are. All
     other keys meet by shuffle, so that no key brings more rows than that to a task.
     """
-    if total <= 10 * HOT_ROWS:
+    if total <= HOT_ROWS:
         return rows.join(by_key.drop(size), on)
     hot = by_key.where(F.col(size) > max(HOT_ROWS, total // HOT_KEYS))
     cold = by_key.where(F.col(size) <= max(HOT_ROWS, total // HOT_KEYS))

@@ -6,11 +6,15 @@ immutable, so indexes, groups and relations are always derived, never kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+from functools import partialmethod
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cavitas.functions import labels as L
 from cavitas.functions.checks import ArgumentError, one_of
+from cavitas.session import cut
 
 FEATURES = (
     "feature_id string, seq long, feature_type string, shape_type string, dimensionality int, feature_label string, source string, source_id string,"
@@ -56,19 +60,48 @@ def with_taxonomy(features: DataFrame) -> DataFrame:
     return joined.withColumn("shape_type", known).withColumn("prefix", F.coalesce("prefix", F.upper(F.substring("feature_type", 1, 3))))
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """``rows`` with their number from 1 in order within each key.
+
+    Rows are dealt by range of key and order, each part counts its own, and the few counts before a
+    part (one a part and key in it) are broadcast: no key is one task.
+    """
+    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
+    by_part = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = by_part.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+    return dealt.join(F.broadcast(offsets), [*keys, "__part"]).withColumn(name, F.col("__before") + own).drop("__part", "__before")
+
+
 def next_ids(new: DataFrame, existing: DataFrame | None = None, order: str = "seq") -> DataFrame:
-    """``new`` (feature_type, ``order``, ...) with ``feature_id``: the prefix and the next numbers of the type.
+    """``new`` (feature_type, ``order``, ...) with ``feature_id``: the prefix and the next free numbers of the type.
 
-    Numbers follow the count of existing features of the type. One window a type: a
-    registry is bounded; bulk loads can bring ids of their own.
+    Numbers follow the count of existing features of the type and skip ids in use. Of those above the
+    count, runs of consecutive numbers are kept, an array a type.
     """
-    rows = new if "prefix" in new.columns else with_taxonomy(new)
-    number = F.row_number().over(Window.partitionBy("feature_type").orderBy(order))
+    rows = numbered(new if "prefix" in new.columns else with_taxonomy(new), ["feature_type"], [order], "__k")
+    number = F.col("__k")
     if existing is not None:
         held = existing.groupBy("feature_type").agg(F.count("*").alias("__held"))
-        rows = rows.join(held, "feature_type", "left")
-        number = number + F.coalesce("__held", F.lit(0))
-    return rows.withColumn("feature_id", F.concat("prefix", F.lit("-"), number.cast("string"))).drop("__held")
+        names = F.broadcast(taxonomy(existing.sparkSession).select("feature_type", "prefix"))
+        used = existing.select("feature_id").distinct().withColumn("prefix", F.substring_index("feature_id", "-", 1))
+        used = used.where(F.col("feature_id").rlike("^[^-]+-[1-9][0-9]{0,17}$")).withColumn("n", F.substring_index("feature_id", "-", -1).cast("long"))
+        used = used.join(names, "prefix").join(held, "feature_type", "left").where(F.col("n") > F.coalesce("__held", F.lit(0)))
+        # u is preceded by u - held - rank free numbers; the same for all of a run
+        used = numbered(used, ["feature_type"], ["n"], "rank").withColumn("free", F.col("n") - F.coalesce("__held", F.lit(0)) - F.col("rank"))
+        runs = used.groupBy("feature_type", "free").agg(F.count("*").alias("size")).groupBy("feature_type").agg(F.collect_list(F.struct("free", "size")).alias("__runs"))
+        rows = rows.join(F.broadcast(held), "feature_type", "left").join(F.broadcast(runs), "feature_type", "left")
+        skipped = F.aggregate(F.filter("__runs", lambda r: r["free"] < F.col("__k")), F.lit(0).cast("long"), lambda a, r: a + r["size"])
+        number = number + F.coalesce("__held", F.lit(0)) + F.coalesce(skipped, F.lit(0))
+    return rows.withColumn("feature_id", F.concat("prefix", F.lit("-"), number.cast("string"))).drop("__held", "__runs", "__k")
+
+
+def applies_to(spark: SparkSession) -> DataFrame:
+    """``feature_type, shape_type``: the shapes whose features a 0-D or 1-D type may belong to, a fixed size."""
+    surfaces = [s for s, d in DIMENSIONS.items() if d == 2]
+    only = {"mouth": ["concavity"], "base_rim": ["convexity"]}
+    return spark.createDataFrame([(t, s) for t, shape in SHAPE_OF_TYPE.items() if DIMENSIONS[shape] < 2 for s in only.get(t, surfaces)], "feature_type string, shape_type string")
 
 
 def info(features: DataFrame) -> DataFrame:
@@ -175,24 +208,37 @@ class Registry:
 
     def _resolved(self, features: DataFrame) -> DataFrame:
         formats = [r[0] for r in features.where("atom_labels IS NOT NULL AND atom_indices IS NULL").select("atom_label_format").distinct().collect()]
+        system = F.try_element_at(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.lit("system_id"))
         for template in formats:  # as many as there are label formats, a handful
             todo = features.where((F.col("atom_label_format") == template) & F.col("atom_indices").isNull() & F.col("atom_labels").isNotNull())
-            rows = todo.select("feature_id", F.posexplode("atom_labels").alias("at", "label"))
-            found = L.resolve(rows, self.atoms, template).groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("at", "atom_index"))).alias("s"))
+            rows = todo.select("feature_id", system.alias("system"), F.posexplode("atom_labels").alias("at", "label"))
+            # a feature of a named system has its atoms there, any other where the label is found
+            one = L.resolve(rows.where("system IS NOT NULL").withColumnRenamed("system", "system_id"), self.atoms, template, keys=("system_id",))
+            any_ = L.resolve(rows.where("system IS NULL").drop("system"), self.atoms, template)
+            found = one.select(*any_.columns).unionByName(any_).groupBy("feature_id").agg(F.array_sort(F.collect_list(F.struct("at", "atom_index"))).alias("s"))
             found = found.select("feature_id", F.transform("s", lambda x: x["atom_index"].cast("int")).alias("__found"))
             features = features.join(found, "feature_id", "left").withColumn("atom_indices", F.coalesce("atom_indices", "__found")).drop("__found")
         return features.select(*self.features.columns)
 
     def add(self, new: DataFrame, on_duplicate: str = "replace") -> Registry:
-        """Adds rows with any of the columns; missing ids are generated. Duplicates: replace, skip or error."""
+        """Adds rows with any of the columns; missing ids are generated, none that is in use.
+
+        Of rows with an id that is there or comes twice the last stays (replace), the first (skip), or it is an error.
+        """
         one_of(on_duplicate, ("replace", "skip", "error"), "on_duplicate")
         base = self.features.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("top")).first()["top"]
         kinds = dict(self.spark.createDataFrame([], FEATURES).dtypes)
         have = new.select(*[F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in kinds])
-        order = Window.orderBy(F.coalesce("seq", F.monotonically_increasing_id()))
-        have = with_taxonomy(have.withColumn("seq", F.lit(base) + F.row_number().over(order)))
+        have = numbered(have.withColumn("__at", F.coalesce("seq", F.monotonically_increasing_id())), [], ["__at"], "__number")
+        have = cut(with_taxonomy(have.withColumn("seq", F.lit(base) + F.col("__number")).drop("__at", "__number")))
         named = have.where("feature_id IS NOT NULL")
-        fresh = next_ids(have.where("feature_id IS NULL"), self.features)
+        once = named.groupBy("feature_id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+        if on_duplicate == "error" and not once.where("first < last").isEmpty():
+            raise ArgumentError("a feature id comes twice")
+        stays = once.select("feature_id", F.col("first" if on_duplicate == "skip" else "last").alias("seq"))
+        named = named.join(stays, ["feature_id", "seq"], "left_semi")
+        taken = self.features.select("feature_id", "feature_type").unionByName(named.join(self.features, "feature_id", "left_anti").select("feature_id", "feature_type"))
+        fresh = next_ids(have.where("feature_id IS NULL"), taken)
         rows = named.unionByName(fresh.select(*named.columns))
         none = F.lit(None).cast("array<string>")
         rows = rows.withColumns({"source": F.coalesce("source", F.lit(SOURCE)), "source_id": F.coalesce("source_id", "feature_id"), "atom_label_format": F.coalesce("atom_label_format", F.lit(L.DEFAULT_FORMAT)), "atom_labels": F.coalesce("atom_labels", none)})
@@ -219,6 +265,16 @@ class Registry:
     def connect(self, child_id: str, parent_id: str) -> Registry:
         return self.connect_all(self.spark.createDataFrame([(child_id, parent_id)], RELATIONS))
 
+    def connect_surfaces(self, child_id: str, *surface_ids: str) -> Registry:
+        """A boundary or point belongs to these surfaces."""
+        return self.connect_all(self.spark.createDataFrame([(child_id, s) for s in surface_ids], RELATIONS))
+
+    def connect_boundaries(self, surface_id: str, *boundary_ids: str) -> Registry:
+        """These boundaries (or points) belong to a surface."""
+        return self.connect_all(self.spark.createDataFrame([(b, surface_id) for b in boundary_ids], RELATIONS))
+
+    connect_points = connect_boundaries
+
     def connect_all(self, relations: DataFrame) -> Registry:
         """Adds relations that break no rule; the first that does is named in the error."""
         wrong = violations(self.features, relations).orderBy("child_id", "parent_id").first()
@@ -244,6 +300,24 @@ class Registry:
     def __iter__(self):
         return (r["feature_id"] for r in self.features.select("feature_id", "seq").orderBy("seq").toLocalIterator())
 
+    def find(self, feature_id: str, default=None):
+        """The feature with an id, or ``default``."""
+        return self.features.where(F.col("feature_id") == feature_id).first() or default
+
+    def keys(self) -> Iterator[str]:
+        return iter(self)
+
+    def values(self) -> Iterator[Row]:
+        """Features as they were added, a partition at a time."""
+        return self.features.orderBy("seq").toLocalIterator()
+
+    def items(self) -> Iterator[tuple[str, Row]]:
+        return ((r["feature_id"], r) for r in self.values())
+
+    def copy(self) -> Registry:
+        """Tables do not change, so that a copy shares them."""
+        return self._with()
+
     def next_id(self, feature_type: str) -> str:
         """The id that the next feature of a type gets."""
         one = self.spark.createDataFrame([(type_name(feature_type), 1)], "feature_type string, seq long")
@@ -265,6 +339,10 @@ class Registry:
         return f"<Registry {', '.join(f'{t}={n}' for t, n in counts)}>"
 
 
+for _type in SHAPE_OF_TYPE:  # add_new_pocket(...), add_new_void(...), ...
+    setattr(Registry, f"add_new_{_type}", partialmethod(Registry.add_new, _type))
+
+
 def extra(name: str) -> Column:
     """An open attribute of a feature."""
     return F.col("extra")[name]

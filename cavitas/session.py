@@ -75,3 +75,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str] | None:
+    """Names in a folder of any file system that Spark reads, sorted; None if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path) or not files.getFileStatus(path).isDirectory():
+        return None
+    return sorted(f.getPath().getName() for f in files.listStatus(path))

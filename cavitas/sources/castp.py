@@ -2,30 +2,35 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cavitas.functions.checks import existing, one_of
+from cavitas.functions.checks import ArgumentError, one_of
 from cavitas.functions.labels import trimmed_number
 from cavitas.operators.registry import Registry
-from cavitas.sources.pdb import lines, read_pdb
+from cavitas.session import cut, list_folder, ship
+from cavitas.sources.pdb import lines, parse_atoms
 
 LABEL_FORMAT = "{atom_id}-{atom_name}/{group_name}/{chain_id}"
 SUFFIXES = (".poc", ".pocInfo", ".mouth", ".mouthInfo", ".pdb")
 MARKERS = {"pocket": "POC", "mouth": "M4P"}
 
 
-def discover(folder: str) -> dict[str, str]:
+def discover(spark: SparkSession, folder: str) -> dict[str, str]:
     """The first file by name of each suffix (case counts) of a folder."""
+    names = list_folder(spark, folder)
+    if names is None:
+        raise ArgumentError(f"no such folder: {folder}")
     found: dict[str, str] = {}
-    for name in sorted(os.listdir(existing(folder, folder=True))):
+    for name in names:
         suffix = os.path.splitext(name)[1]
         if suffix in SUFFIXES:
-            found.setdefault(suffix, os.path.join(folder, name))
+            found.setdefault(suffix, f"{folder.rstrip('/')}/{name}")
     return found
 
 
@@ -84,36 +89,68 @@ def parse_mouth_info(rows: DataFrame) -> DataFrame:
 
 
 def features_of(spark: SparkSession, poc=None, poc_info=None, mouth=None, mouth_info=None) -> tuple[DataFrame, DataFrame]:
-    """Feature rows and relations of any of the four files; a mouth belongs to the pocket of its id."""
+    """Feature rows and relations of any of the four kinds of files; a mouth belongs to the pocket of its id in its system.
+
+    Ids are ``POC-2`` and ``MOU-2`` for one system, ``1abc/POC-2`` for several.
+    """
     parts = []
     for kind, atoms, info, parse in (("pocket", poc, poc_info, parse_pocket_info), ("mouth", mouth, mouth_info, parse_mouth_info)):
         if atoms is None:
             continue
-        sites = labels_by_site(parse_site_atoms(lines(spark, atoms), kind)).drop("kind")
+        sites = labels_by_site(parse_site_atoms(_lines(spark, atoms), kind)).drop("kind")
         if info is not None:
-            sites = sites.join(parse(lines(spark, info)).drop("mouth_ids", "n_mouths"), ["system_id", "site_id"], "left")
-        prefix = "POC-" if kind == "pocket" else "MOU-"
-        key = F.col("site_id").cast("string")
-        parts.append(sites.select("*", F.lit(kind).alias("feature_type"), F.concat(F.lit(prefix), key).alias("feature_id"), F.lit("CASTp").alias("source"), key.alias("source_id"), F.lit(LABEL_FORMAT).alias("atom_label_format"), F.col("site_id").cast("long").alias("seq")))
+            sites = sites.join(parse(_lines(spark, info)).drop("mouth_ids", "n_mouths"), ["system_id", "site_id"], "left")
+        parts.append(sites.withColumn("feature_type", F.lit(kind)))
     if not parts:
         return spark.createDataFrame([], "feature_id string, feature_type string"), spark.createDataFrame([], "child_id string, parent_id string")
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
-    pockets = rows.where("feature_type = 'pocket'").select("site_id", F.col("feature_id").alias("parent_id"))
-    relations = rows.where("feature_type = 'mouth'").select("site_id", F.col("feature_id").alias("child_id")).join(pockets, "site_id").select("child_id", "parent_id")
-    return rows, relations
-
-
-def load(spark: SparkSession, folder: str | None = None, zip_file: str | None = None, poc=None, poc_info=None, mouth=None, mouth_info=None, pdb=None) -> Registry:
-    """A registry of pockets, mouths and their relations from files, a folder, or a zip; missing files are empty."""
-    if zip_file is not None:
-        folder = tempfile.mkdtemp(prefix="cavitas-castp-")  # a small archive, unpacked beside the driver, which reads it
-        with zipfile.ZipFile(existing(zip_file)) as z:
-            for member in z.namelist():
-                if os.path.splitext(member)[1] in SUFFIXES:
-                    with open(os.path.join(folder, os.path.basename(member)), "wb") as out:
-                        out.write(z.read(member))
-    found = discover(folder) if folder is not None else {}
-    poc, poc_info, mouth, mouth_info, pdb = (given or found.get(s) for given, s in zip((poc, poc_info, mouth, mouth_info, pdb), SUFFIXES, strict=True))
-    rows, relations = features_of(spark, poc, poc_info, mouth, mouth_info)
-    registry = Registry(spark, atoms=read_pdb(spark, pdb) if pdb else None).add(rows)
+    rows = cut(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True))
+    key = F.col("site_id").cast("string")
+    name = F.concat(F.when(F.col("feature_type") == "pocket", "POC-").otherwise("MOU-"), key)
+    if len(rows.select("system_id").distinct().limit(2).collect()) > 1:
+        name = F.concat("system_id", F.lit("/"), name)
+    rows = rows.select(
+        "*", name.alias("feature_id"), F.lit("CASTp").alias("source"), key.alias("source_id"), F.lit(LABEL_FORMAT).alias("atom_label_format"),
+        F.col("site_id").cast("long").alias("seq"), F.create_map(F.lit("system_id"), F.col("system_id")).alias("extra"),
+    )
+    pockets = rows.where("feature_type = 'pocket'").select("system_id", "site_id", F.col("feature_id").alias("parent_id"))
+    mouths = rows.where("feature_type = 'mouth'").select("system_id", "site_id", F.col("feature_id").alias("child_id"))
+    return rows, mouths.join(pockets, ["system_id", "site_id"]).select("child_id", "parent_id")
+
+
+def unzip(spark: SparkSession, path: str) -> DataFrame:
+    """``name, text`` of the members with known suffixes of zip files, a task an archive."""
+
+    def members(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    names = [n for n in z.namelist() if os.path.splitext(n)[1] in SUFFIXES]
+                    yield pd.DataFrame({"name": [os.path.basename(n) for n in names], "text": [z.read(n).decode("utf-8", "replace") for n in names]})
+
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(members, "name string, text string")
+
+
+def _lines(spark: SparkSession, files) -> DataFrame:
+    """Lines of paths, or of a table of ``name, text``."""
+    if not isinstance(files, DataFrame):
+        return lines(spark, files)
+    return files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("system_id"), F.posexplode(F.split("text", "\r?\n")).alias("line_no", "value"))
+
+
+def load(spark: SparkSession, folder: str | list[str] | None = None, zip_file: str | None = None, poc=None, poc_info=None, mouth=None, mouth_info=None, pdb=None) -> Registry:
+    """A registry of pockets, mouths and their relations from files, one or several folders, or a zip; missing files are empty.
+
+    Each kind may be several files: a system is a file name without its suffix.
+    """
+    given = dict(zip(SUFFIXES, (poc, poc_info, mouth, mouth_info, pdb), strict=True))
+    found: dict[str, list[str]] = {}
+    members = cut(unzip(spark, zip_file)) if zip_file is not None else None
+    for one in [folder] if isinstance(folder, str) else folder or []:
+        for suffix, path in discover(spark, one).items():
+            found.setdefault(suffix, []).append(path)
+    held = {r["name"] for r in members.select(F.regexp_extract("name", r"\.[^.]*$", 0).alias("name")).distinct().collect()} if members is not None else set()  # five suffixes at most
+    files = {s: given[s] or found.get(s) or (members.where(F.col("name").endswith(s)) if s in held else None) for s in SUFFIXES}
+    rows, relations = features_of(spark, *(files[s] for s in SUFFIXES[:4]))
+    registry = Registry(spark, atoms=parse_atoms(_lines(spark, files[".pdb"])) if files[".pdb"] is not None else None).add(rows)
     return registry.connect_all(relations)

@@ -70,6 +70,38 @@ def test_duplicates_and_bulk(spark):
         R.with_taxonomy(spark.createDataFrame([("cave",)], "feature_type string")).collect()
 
 
+def test_generated_ids_skip_those_in_use(spark):
+    reg = R.Registry(spark).add_new_pocket("POC-2").add_new("pocket")
+    assert sorted(reg) == ["POC-2", "POC-3"] and reg.next_id("pocket") == "POC-4"
+    some = R.Registry(spark).add(spark.createDataFrame([(f"POC-{k}", "pocket") for k in (2, 5, 6, 9)], "feature_id string, feature_type string"))
+    assert some.next_id("pocket") == "POC-7"
+    more = some.add(spark.createDataFrame([("pocket", k) for k in range(4)] + [("void", 9)], "feature_type string, seq long"))
+    assert sorted(more) == sorted(["POC-2", "POC-5", "POC-6", "POC-9", "POC-7", "POC-8", "POC-10", "POC-11", "VOI-1"])
+
+
+def test_duplicates_within_a_batch(spark):
+    twice = spark.createDataFrame([("POC-9", "pocket", 1), ("POC-9", "void", 2), ("x", "mouth", 3)], "feature_id string, feature_type string, seq long")
+    reg = R.Registry(spark)
+    assert len(reg.add(twice)) == 2 and reg.add(twice)["POC-9"].feature_type == "void"
+    assert len(reg.add(twice, "skip")) == 2 and reg.add(twice, "skip")["POC-9"].feature_type == "pocket"
+    with pytest.raises(ArgumentError):
+        reg.add(twice, "error")
+
+
+def test_mapping_and_numbers(spark):
+    reg = R.Registry(spark).add(spark.createDataFrame([("p", "pocket"), ("m", "mouth"), ("t", "pit")], "feature_id string, feature_type string"))
+    assert list(reg.keys()) == ["p", "m", "t"] == [k for k, _ in reg.items()] == [r.feature_id for r in reg.values()]
+    assert reg.find("m").feature_type == "mouth" and reg.find("no", 7) == 7 and list(reg.copy()) == list(reg)
+    joined = reg.connect_surfaces("m", "p").connect_points("p", "t")
+    assert {r.child_id for r in joined.children_of("p").collect()} == {"m", "t"}
+    rules = {(r.feature_type, r.shape_type) for r in R.applies_to(spark).collect()}
+    assert ("mouth", "concavity") in rules and ("mouth", "convexity") not in rules and ("base_rim", "convexity") in rules and ("pit", "mixed") in rules
+    rows = spark.createDataFrame([(k % 3, k * 7 % 100) for k in range(100)], "g int, x int")
+    got = R.numbered(rows, ["g"], ["x"], "n").collect()
+    for g in range(3):
+        assert [r.n for r in sorted((r for r in got if r.g == g), key=lambda r: r.x)] == list(range(1, sum(r.g == g for r in got) + 1))
+
+
 def test_relations(spark):
     reg = R.Registry(spark).add(spark.createDataFrame([("p", "pocket"), ("d", "dome"), ("m", "mouth"), ("b", "base_rim"), ("t", "pit")], "feature_id string, feature_type string"))
     good = reg.connect("m", "p").connect("t", "p").connect("b", "d").connect("m", "p")

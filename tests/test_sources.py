@@ -38,7 +38,7 @@ def folder(tmp_path):
 
 
 def test_castp(spark, folder, tmp_path):
-    assert {k: v.split("/")[-1] for k, v in castp.discover(str(folder)).items()} == {".poc": "x.poc", ".pocInfo": "x.pocInfo", ".mouth": "x.mouth", ".mouthInfo": "x.mouthInfo", ".pdb": "x.pdb"}
+    assert {k: v.split("/")[-1] for k, v in castp.discover(spark, str(folder)).items()} == {".poc": "x.poc", ".pocInfo": "x.pocInfo", ".mouth": "x.mouth", ".mouthInfo": "x.mouthInfo", ".pdb": "x.pdb"}
     with zipfile.ZipFile(tmp_path / "all.zip", "w") as z:
         for f in folder.glob("x.*"):
             z.write(f, f"deep/{f.name}")
@@ -52,6 +52,19 @@ def test_castp(spark, folder, tmp_path):
     assert len(castp.load(spark, poc=str(folder / "x.poc"))) == 2 and len(castp.load(spark)) == 0
 
 
+def test_castp_several_systems(spark, folder, tmp_path):
+    other = tmp_path / "other"
+    other.mkdir()
+    for name, text in {"q.poc": POC, "q.pocInfo": POC_INFO, "q.mouth": MOUTH, "q.mouthInfo": MOUTH_INFO, "q.pdb": PDB}.items():
+        (other / name).write_text(text)
+    one, both = castp.load(spark, str(folder)), castp.load(spark, [str(folder), str(other)])
+    ids = [f for f in both]
+    assert len(ids) == len(set(ids)) == 2 * len(one) and "x/POC-2" in both and "q/MOU-2" in both
+    assert {(r.child_id, r.parent_id) for r in both.relations.collect()} == {("x/MOU-2", "x/POC-2"), ("q/MOU-2", "q/POC-2")}
+    with pytest.raises(ValueError):
+        castp.load(spark, str(tmp_path / "nowhere"))
+
+
 @pytest.mark.parametrize("bad", ["ATOM 50 CB ALA A 10 1 2 3 1 2 25", "ATOM 50 CB ALA A 10 1 2 3 1 2 25 XXX"])
 def test_castp_malformed(spark, bad):
     rows = spark.createDataFrame([("s", 0, bad)], "system_id string, line_no int, value string")
