@@ -31,6 +31,26 @@ def length(value: float | str | tuple, name: str = "length") -> float:
     return float(found[1]) * ANGSTROMS[(found[2] or "angstrom").lower()]
 
 
+def points(value, unit: str = "angstrom", name: str = "points") -> list[list[float]]:
+    """Rows of three coordinates in Å from one point or several, given in a unit."""
+    rows = value.tolist() if hasattr(value, "tolist") else value
+    if isinstance(rows, (list, tuple)) and len(rows) == 3 and not any(isinstance(x, (list, tuple)) for x in rows):
+        rows = [rows]
+    if not isinstance(rows, (list, tuple)) or not all(isinstance(r, (list, tuple)) and len(r) == 3 for r in rows):
+        raise ArgumentError(f"{name}: rows of three coordinates are needed, not {value!r}")
+    return [[length((x, unit), name) for x in row] for row in rows]
+
+
+def radii(value, unit: str = "angstrom", name: str = "radii") -> list[float] | None:
+    """Radii in Å from a list of numbers or lengths; None stays."""
+    if value is None:
+        return None
+    rows = value.tolist() if hasattr(value, "tolist") else value
+    if not isinstance(rows, (list, tuple)) or any(isinstance(r, list) for r in rows):
+        raise ArgumentError(f"{name}: a list of lengths is needed, not {value!r}")
+    return [length(r if isinstance(r, (str, tuple)) else (r, unit), name) for r in rows]
+
+
 def to_unit(column: Column, unit: str, power: int = 1) -> Column:
     """A column in Å (Å² with power 2, Å³ with 3) in another unit of length."""
     if unit.lower() not in ANGSTROMS:

@@ -120,3 +120,8 @@ def hierarchical(points: DataFrame, cut: float, item: str, xyz, keys: tuple[str,
     schema = ", ".join([*(f"{x} {kinds[x]}" for x in k), "node long", "component long"])
     rows = points.select(*k, F.col(item).cast("long").alias("node"), *[F.col(x).cast("double").alias(x) for x in c])
     return rows.groupBy(*k).applyInPandas(run, schema)
+
+
+def by_size(parts: DataFrame, component: str = "component", keys: tuple[str, ...] = ()) -> DataFrame:
+    """``*keys, component, n``: the clusters, largest first, then by name."""
+    return parts.groupBy(*keys, component).agg(F.count("*").alias("n")).orderBy(*keys, F.desc("n"), component)

@@ -158,3 +158,8 @@ def surrounded(spheres: DataFrame, points: DataFrame) -> DataFrame:
 def centroids(members: DataFrame, by: list[str], xyz: tuple[str, str, str] = ("cx", "cy", "cz")) -> DataFrame:
     """Mean position and size of each group."""
     return members.groupBy(*by).agg(*[F.avg(c).alias(c) for c in xyz], F.count("*").alias("size"))
+
+
+def by_radius(spheres: DataFrame) -> DataFrame:
+    """The spheres of each structure, smallest first."""
+    return spheres.orderBy("system_id", "structure_index", "radius", "sphere_id")

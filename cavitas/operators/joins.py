@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import sqrt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,23 @@ def _cells(df: DataFrame, xyz: list[str], size: Column | float) -> DataFrame:
     return df.withColumns({f"__b{n}": F.floor(F.col(c) / size).cast("long") for n, c in enumerate(xyz)})
 
 
-def _candidates(left: DataFrame, right: DataFrame, keys: list[str], xyz: list[str], cell: float) -> DataFrame:
-    """Rows of both sides in the same or neighbouring cells; the right side's columns get ``r_``."""
-    renamed = right.withColumnsRenamed({c: f"r_{c}" for c in right.columns if c not in keys})
-    near = _cells(left, xyz, cell)
-    for n in range(3):
-        near = near.withColumn(f"__b{n}", F.explode(F.array(*[F.col(f"__b{n}") + F.lit(s) for s in (-1, 0, 1)])))
-    there = _cells(renamed, [f"r_{c}" for c in xyz], cell)
-    return near.join(there, [*keys, "__b0", "__b1", "__b2"]).drop("__b0", "__b1", "__b2")
+#: A cell and the 13 after it: with these, each two neighbouring cells meet once.
+_HALF = [(0, 0, 0), *((x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0))]
+
+
+def _candidates(rows: DataFrame, keys: list[str], xyz: list[str], cell: float) -> DataFrame:
+    """Pairs of rows in the same or neighbouring cells, each once; the other side's columns get ``r_``."""
+    bins = [f"__b{n}" for n in range(3)]
+    here = _cells(rows, xyz, cell)
+    near = here.withColumn("__step", F.explode(F.array(*[F.struct(*[F.lit(s).alias(b) for s, b in zip(step, bins, strict=True)]) for step in _HALF])))
+    same = F.struct(*[F.lit(0).alias(b) for b in bins])
+    near = near.withColumns({b: F.col(b) + F.col(f"__step.{b}") for b in bins}).withColumn("__own", F.col("__step") == same).drop("__step")
+    there = here.withColumnsRenamed({c: f"r_{c}" for c in rows.columns if c not in keys})
+    return near.join(there, [*keys, *bins]).where("NOT __own OR i < r_i").drop(*bins, "__own")
+
+
+def _in_order(pairs: DataFrame, keys: list[str], *more: str) -> DataFrame:
+    return pairs.select(*keys, F.least("i", "r_i").alias("i"), F.greatest("i", "r_i").alias("j"), *more)
 
 
 def distance_pairs(
@@ -58,21 +69,26 @@ def distance_pairs(
 ) -> DataFrame:
     """Pairs at most ``radius`` apart (inclusive): ``*keys, i, j, distance`` with i < j.
 
-    Points meet in a grid of cells of the radius: an equi-join on the cell, with one side in the 27
-    cells around. City-block distance is never below the Euclidean, so the same grid holds it;
-    a correlation distance has no grid, and pairs meet by structure.
+    Points meet in a grid of cells of the radius: an equi-join on the cell, with one side in its own and the
+    13 cells after it. City-block distance is never below the Euclidean, so the same grid holds it. A
+    correlation distance c is half the squared distance of the centred points on the unit sphere, which meet in a grid of
+    cells of the root of 2 c; points without spread have none.
     """
     if radius <= 0:
         raise ArgumentError(f"radius: a positive number is needed, not {radius!r}")
     k, c = list(keys), list(xyz)
     rows = points.select(*k, F.col(item).alias("i"), *[F.col(x).cast("double").alias(x) for x in c])
     if METRICS.get(metric) is correlation:
-        pairs = rows.join(rows.withColumnsRenamed({x: f"r_{x}" for x in ["i", *c]}), k)
+        middle = sum((F.col(x) for x in c[1:]), F.col(c[0])) / len(c)
+        size = F.sqrt(sum(((F.col(x) - middle) ** 2 for x in c[1:]), (F.col(c[0]) - middle) ** 2))
+        unit = [f"__u{n}" for n in range(len(c))]
+        rows = rows.where(size > 0).withColumns({u: (F.col(x) - middle) / size for u, x in zip(unit, c, strict=True)})
+        pairs = _candidates(rows, k, unit, sqrt(2 * radius) * (1 + 1e-9))
     else:
-        pairs = _candidates(rows, rows, k, c, radius)
+        pairs = _candidates(rows, k, c, radius)
     measure = METRICS.get(metric, euclidean)
     distance = measure([F.col(x) for x in c], [F.col(f"r_{x}") for x in c])
-    return pairs.where("i < r_i").withColumn("distance", distance).where(F.col("distance") <= radius).select(*k, "i", F.col("r_i").alias("j"), "distance")
+    return _in_order(pairs.withColumn("distance", distance).where(F.col("distance") <= radius), k, "distance")
 
 
 def overlap_pairs(discs: DataFrame, max_radius: float, item: str = "point_index", radius: str = "radius", xyz=("x", "y", "z"), keys=("system_id", "structure_index")) -> DataFrame:
@@ -80,8 +96,8 @@ def overlap_pairs(discs: DataFrame, max_radius: float, item: str = "point_index"
     k, c = list(keys), list(xyz)
     rows = discs.select(*k, F.col(item).alias("i"), F.col(radius).alias("r"), *[F.col(x).cast("double").alias(x) for x in c])
     total = F.col("r") + F.col("r_r")
-    pairs = _candidates(rows, rows, k, c, 2 * max_radius).where("i < r_i")
-    return pairs.where(squared([F.col(x) for x in c], [F.col(f"r_{x}") for x in c]) < total * total).select(*k, "i", F.col("r_i").alias("j"))
+    pairs = _candidates(rows, k, c, 2 * max_radius)
+    return _in_order(pairs.where(squared([F.col(x) for x in c], [F.col(f"r_{x}") for x in c]) < total * total), k)
 
 
 def group_contacts(points: DataFrame, radius: float, group: str, least: int = 1, item: str = "point_index", xyz=("x", "y", "z"), keys=("system_id", "structure_index")) -> DataFrame:
@@ -91,10 +107,10 @@ def group_contacts(points: DataFrame, radius: float, group: str, least: int = 1,
     """
     k, c = list(keys), list(xyz)
     large = points.groupBy(*k, group).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
-    rows = points.join(large, [*k, group]).select(*k, F.col(group).alias("g"), *[F.col(x).cast("double").alias(x) for x in c])
-    pairs = _candidates(rows, rows, k, c, radius).where("g < r_g")
+    rows = points.join(large, [*k, group]).select(*k, F.col(item).alias("i"), F.col(group).alias("g"), *[F.col(x).cast("double").alias(x) for x in c])
+    pairs = _candidates(rows, k, c, radius).where("g <> r_g")
     near = squared([F.col(x) for x in c], [F.col(f"r_{x}") for x in c]) <= radius * radius
-    return pairs.where(near).groupBy(*k, F.col("g").alias("a"), F.col("r_g").alias("b")).agg(F.count("*").alias("n_pairs")).where(F.col("n_pairs") >= least)
+    return pairs.where(near).groupBy(*k, F.least("g", "r_g").alias("a"), F.greatest("g", "r_g").alias("b")).agg(F.count("*").alias("n_pairs")).where(F.col("n_pairs") >= least)
 
 
 __all__ = ["cityblock", "correlation", "distance_pairs", "euclidean", "group_contacts", "overlap_pairs", "shared_key_pairs", "sphere_neighbors"]

@@ -1,9 +1,9 @@
 """The registered queries on the driver's tables, and their DuckDB SQL.
 
 The tables are not molecular, so each operator runs on a stand-in made of a whole table:
-embeddings are points in structures of 25, parts are features, orders and customers are
+embeddings are the points of one system, parts are features, orders and customers are
 related features, suppliers are atoms with labels, and file lines are rendered from rows and
-parsed again. Structures have a fixed size, so work grows with the number of rows.
+parsed again. Only alpha-spheres, which belong to a structure, take the points in structures of 25.
 """
 
 from __future__ import annotations
@@ -33,17 +33,19 @@ def query(sql: str | None = None):
     return add
 
 
-STRUCTURE, NEAR, CHAIN = 25, 0.15, 0.12
+STRUCTURE, NEAR, CHAIN = 25, 0.15, 0.05
 KEYS = ("system_id", "structure_index")
 
 
-def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def points(spark: SparkSession, sf_dir: str, whole: bool = True) -> DataFrame:
+    """All points as system 0, or in structures of ``STRUCTURE``."""
     xyz = [F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")]
-    return table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / STRUCTURE).cast("long").alias("system_id"), F.lit(0).alias("structure_index"), F.col("vec_id").alias("point_index"), *xyz, F.col("label").cast("long").alias("label"), (0.02 + 0.03 * (F.col("vec_id") % 3)).alias("radius"))
+    return table(spark, sf_dir, "embeddings").select((F.lit(0) if whole else F.floor(F.col("vec_id") / STRUCTURE)).cast("long").alias("system_id"), F.lit(0).alias("structure_index"), F.col("vec_id").alias("point_index"), *xyz, F.col("label").cast("long").alias("label"), (0.02 + 0.03 * (F.col("vec_id") % 3)).alias("radius"))
 
 
-_POINTS = f"""pts AS (SELECT CAST(vec_id // {STRUCTURE} AS BIGINT) AS s, vec_id AS i, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
+_POINTS = """pts AS (SELECT CAST(0 AS BIGINT) AS s, vec_id AS i, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y,
   CAST(embedding[3] AS DOUBLE) AS z, CAST(label AS BIGINT) AS label, 0.02 + 0.03 * (vec_id % 3) AS r FROM embeddings)"""
+_STRUCTURES = _POINTS.replace("CAST(0 AS BIGINT) AS s", f"CAST(vec_id // {STRUCTURE} AS BIGINT) AS s")
 _PAIRS = "pairs AS (SELECT a.s, a.i, b.i AS j, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM pts a JOIN pts b ON a.s = b.s AND a.i < b.i)"
 _REACH = """both_ways AS (SELECT i AS u, j AS v FROM links UNION SELECT j, i FROM links),
 reach AS (SELECT i AS u, i AS v FROM nodes UNION SELECT reach.u, b.v FROM reach JOIN both_ways b ON reach.v = b.u),
@@ -87,9 +89,9 @@ def cityblock_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_POINTS}, m AS (SELECT s, i, x - (x+y+z)/3 AS x, y - (x+y+z)/3 AS y, z - (x+y+z)/3 AS z FROM pts),
 c AS (SELECT a.i, b.i AS j, 1 - (a.x*b.x + a.y*b.y + a.z*b.z) / sqrt((a.x*a.x + a.y*a.y + a.z*a.z) * (b.x*b.x + b.y*b.y + b.z*b.z)) AS d FROM m a JOIN m b ON a.s = b.s AND a.i < b.i)
-SELECT i, j, round(d, 6) AS distance FROM c WHERE d <= 0.05""")
+SELECT i, j, round(d, 6) AS distance FROM c WHERE d <= 0.005""")
 def correlation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(joins.distance_pairs(points(spark, sf_dir), 0.05, metric="c").select("i", "j", "distance"), "distance")
+    return rounded(joins.distance_pairs(points(spark, sf_dir), 0.005, metric="c").select("i", "j", "distance"), "distance")
 
 
 @query(f"WITH {_POINTS} SELECT a.i, b.i AS j FROM pts a JOIN pts b ON a.s = b.s AND a.i < b.i WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) < (a.r+b.r)*(a.r+b.r)")
@@ -120,14 +122,14 @@ def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared(least: int) -> str:
-    return f"""WITH t AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem)
+    return f"""WITH t AS (SELECT DISTINCT l_partkey AS s, l_orderkey AS p FROM lineitem)
 SELECT a.s AS i, b.s AS j, count(*) AS n_shared FROM t a JOIN t b ON a.p = b.p AND a.s < b.s GROUP BY ALL HAVING count(*) >= {least}"""
 
 
 def _shared_query(criterion: str, least: int) -> None:
     @query(_shared(least))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return joins.shared_key_pairs(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_partkey", least)
+        return joins.shared_key_pairs(table(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey", least)
 
     name = f"shared_key_neighbors_{criterion}"
     QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("run"), ORACLE_SQL.pop("run")
@@ -137,10 +139,32 @@ for _criterion, _least in joins.CRITERIA.items():
     _shared_query(_criterion, _least)
 
 
+@query(f"""WITH RECURSIVE {_POINTS}, {_PAIRS}, links AS (SELECT i, j FROM pairs WHERE d <= {CHAIN}), nodes AS (SELECT i FROM pts), {_REACH},
+sizes AS (SELECT component, count(*) AS n FROM parts GROUP BY component) SELECT component, n, row_number() OVER (ORDER BY n DESC, component) AS place FROM sizes""")
+def clusters_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = cluster.single_linkage(points(spark, sf_dir), CHAIN, "point_index", "xyz", KEYS)
+    return registry.numbered(cluster.by_size(parts), [], [F.desc("n"), "component"], "place").withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"WITH {_POINTS} SELECT label AS structure_index, count(*) AS n, round(sum(x), 6) AS x FROM pts WHERE label IN (1, 3) AND y > 0 AND i % 2 = 0 GROUP BY label")
+def selected_structures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as atoms of the structure of their label: two structures, a condition and a mask."""
+    rows = points(spark, sf_dir).withColumn("structure_index", F.col("label"))
+    rows = selection.select_atoms(selection.select_structures(rows, [1, 3]), "y > 0", F.col("point_index") % 2 == 0)
+    return rows.groupBy("structure_index").agg(F.count("*").alias("n"), F.round(F.sum("x"), 6).alias("x"))
+
+
 # alpha-spheres
 
 
-_SPHERES = f"""{_POINTS}, q AS (SELECT a.s, a.i AS i0, b.i AS i1, c.i AS i2, d.i AS i3, a.x, a.y, a.z, b.x-a.x AS bx, b.y-a.y AS by_, b.z-a.z AS bz,
+@query(f"WITH {_STRUCTURES} SELECT s AS system_id, i AS point_index, row_number() OVER (PARTITION BY s ORDER BY r, i) AS place FROM pts")
+def radii_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of balls by radius within a structure."""
+    rows = geometry.by_radius(points(spark, sf_dir, whole=False).withColumn("sphere_id", F.col("point_index")))
+    return registry.numbered(rows, ["system_id"], ["radius", "sphere_id"], "place").select("system_id", "point_index", F.col("place").cast("long").alias("place"))
+
+
+_SPHERES = f"""{_STRUCTURES}, q AS (SELECT a.s, a.i AS i0, b.i AS i1, c.i AS i2, d.i AS i3, a.x, a.y, a.z, b.x-a.x AS bx, b.y-a.y AS by_, b.z-a.z AS bz,
   c.x-a.x AS cx, c.y-a.y AS cy, c.z-a.z AS cz, d.x-a.x AS dx, d.y-a.y AS dy, d.z-a.z AS dz
   FROM pts a JOIN pts b ON a.s = b.s AND a.i < b.i JOIN pts c ON a.s = c.s AND b.i < c.i JOIN pts d ON a.s = d.s AND c.i < d.i),
 w AS (SELECT *, bx*bx+by_*by_+bz*bz AS b2, cx*cx+cy*cy+cz*cz AS c2, dx*dx+dy*dy+dz*dz AS d2,
@@ -153,7 +177,7 @@ _NAME = "concat_ws(',', i0, i1, i2, i3)"
 
 
 def spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return geometry.alpha_spheres(points(spark, sf_dir))
+    return geometry.alpha_spheres(points(spark, sf_dir, whole=False))
 
 
 def named(contacts: str = "contacts") -> Column:
@@ -178,7 +202,7 @@ def contacts_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_SPHERES}, b AS (SELECT * FROM sph WHERE r <= 0.2) SELECT {_NAME} AS contacts FROM b WHERE i0 % 5 <> 0 AND i1 % 5 <> 0 AND i2 % 5 <> 0 AND i3 % 5 <> 0")
 def surrounded_spheres(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inside = points(spark, sf_dir).where("point_index % 5 <> 0")
+    inside = points(spark, sf_dir, whole=False).where("point_index % 5 <> 0")
     return geometry.surrounded(geometry.radius_band(spheres(spark, sf_dir), None, 0.2), inside).select(named().alias("contacts"))
 
 
@@ -219,13 +243,13 @@ def pockets_by_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permeability_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cut(geometry.radius_band(spheres(spark, sf_dir), None, 0.3))
-    return network.permeable_edges(own, points(spark, sf_dir), 0.01).select(*KEYS, "i", "j", named("face").alias("face"))
+    return network.permeable_edges(own, points(spark, sf_dir, whole=False), 0.01).select(*KEYS, "i", "j", named("face").alias("face"))
 
 
 @query()
 def permeability_by_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cut(geometry.radius_band(spheres(spark, sf_dir), None, 0.3))
-    return network.permeable_edges(own, points(spark, sf_dir), 0.01, centroid=True).select(*KEYS, "i", "j", named("face").alias("face"))
+    return network.permeable_edges(own, points(spark, sf_dir, whole=False), 0.01, centroid=True).select(*KEYS, "i", "j", named("face").alias("face"))
 
 
 _OUTSIDE = f"""RECURSIVE {_POINTS}, {_PAIRS}, links AS (SELECT i, j FROM pairs WHERE d <= {CHAIN} UNION SELECT -1, i FROM pts WHERE i % {STRUCTURE} = 0),
@@ -309,6 +333,14 @@ def registry_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return registry.get_features(features(spark, sf_dir), grouped_by="shape").withColumn("feature_ids", F.array_join("feature_ids", ","))
 
 
+@query(f"WITH {_FEATURES} SELECT {_RECORD} FROM f")
+def registry_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts added in two batches; the second comes again, with its ids, and replaces itself."""
+    rows = features(spark, sf_dir).select("feature_type", "seq")
+    first = registry.Registry(spark).add(rows.where("feature_type <> 'ridge'")).add(rows.where("feature_type = 'ridge'"))
+    return record(first.add(first.get("type", "void").select("feature_id", "feature_type")).features)
+
+
 @query(f"WITH {_FEATURES} SELECT feature_type, max(prefix) || '-' || (count(*) + 1) AS next_id FROM (SELECT f.*, k.prefix FROM f JOIN kinds k USING (feature_type)) GROUP BY feature_type")
 def registry_next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = features(spark, sf_dir)
@@ -411,6 +443,15 @@ def viewer_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("l_partkey", labels.viewer_selection(F.col("ids")).alias("selection"))
 
 
+@query(f"""WITH {_FAMILY} SELECT child_id, parent_id FROM rel JOIN f c ON c.feature_id = child_id JOIN f p ON p.feature_id = parent_id WHERE p.dimensionality = 2 AND c.dimensionality IN (0, 1)
+AND NOT (c.feature_type = 'mouth' AND p.shape_type <> 'concavity') AND NOT (c.feature_type = 'base_rim' AND p.shape_type <> 'convexity')""")
+def registry_connect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The relations that break no rule, added to a registry."""
+    rows, relations = family(spark, sf_dir)
+    good = relations.join(registry.violations(rows, relations), ["child_id", "parent_id"], "left_anti")
+    return registry.Registry(spark, features=rows, relations=relations.limit(0)).connect_all(cut(good)).relations
+
+
 # file formats, from rendered lines
 
 
@@ -427,6 +468,13 @@ def castp_atoms_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("site_id").cast("long").alias("site_id"), F.array_join("atom_labels", ",").alias("atom_labels"))
 
 
+@query("""SELECT CAST(s_nationkey AS BIGINT) AS site_id, count(DISTINCT s_suppkey) AS n_labels FROM supplier GROUP BY s_nationkey""")
+def castp_mouths_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = poc_lines(spark, sf_dir).withColumn("value", F.regexp_replace("value", "POC$", "M4P"))
+    found = castp.labels_by_site(castp.parse_site_atoms(rows, "mouth"))
+    return found.select(F.col("site_id").cast("long").alias("site_id"), F.size("atom_labels").cast("long").alias("n_labels"))
+
+
 def info_lines(spark: SparkSession, sf_dir: str, mark: str) -> DataFrame:
     """Lines of pocket or mouth info; every part is written twice, the second line holds."""
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", F.explode(F.array(F.lit(0), F.lit(1))).alias("again"))

@@ -87,6 +87,10 @@ def test_distance_joins(spark):
     table = frame(spark, x)
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     assert {(r.i, r.j) for r in joins.distance_pairs(table, 0.4).collect()} == {(i, j) for i in range(60) for j in range(i + 1, 60) if d[i, j] <= 0.4}
+    c = x - x.mean(axis=1, keepdims=True)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    got = {(r.i, r.j) for r in joins.distance_pairs(frame(spark, [*x, (2, 2, 2)]), 0.1, metric="c").collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60) if 1 - c[i] @ c[j] <= 0.1}
     touching = frame(spark, [(0, 0, 0), (1, 0, 0), (3, 0, 0)])
     assert joins.distance_pairs(touching, 1.0).count() == 1
     plan = joins.distance_pairs(table, 0.4)._jdf.queryExecution().executedPlan().toString()

@@ -128,6 +128,14 @@ def test_labels(spark):
     assert labels.fields("{a}-{ b }") == ["a", "b"]
 
 
+def test_points_and_radii():
+    assert checks.points((1, 2, 3)) == [[1, 2, 3]] and checks.points([[1, 2, 3], (4, 5, 6)], "nm") == [[10, 20, 30], [40, 50, 60]]
+    assert checks.radii(None) is None and checks.radii([1, "0.2 nm", (3, "angstroms")]) == [1, 2, 3]
+    for bad in (lambda: checks.points([1, 2]), lambda: checks.points("x"), lambda: checks.radii([[1.0]]), lambda: checks.radii(3)):
+        with pytest.raises(ArgumentError):
+            bad()
+
+
 def test_checks(spark):
     assert checks.length("3.0 angstroms") == 3 and checks.length("0.3 nm") == pytest.approx(3) and checks.length((2, "nm")) == 20 and checks.length(1.5) == 1.5
     for bad in ("3 parsecs", "x", True, None, [1]):
