@@ -250,7 +250,7 @@ class Registry:
             raise ArgumentError("a feature id is already there")
         else:
             held = held.join(rows.select("feature_id"), "feature_id", "left_anti").select(*kinds)
-        made = self._with(features=held.unionByName(rows))
+        made = self._with(features=cut(held.unionByName(rows)))
         return made if self.atoms is None else made._with(features=made._resolved(made.features))
 
     def add_new(self, feature_type: str, feature_id: str | None = None, atom_indices=None, atom_labels=None, atom_label_format: str | None = None, on_duplicate: str = "replace", **more) -> Registry:
