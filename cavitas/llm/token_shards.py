@@ -15,7 +15,6 @@ table gives no file; other columns are not read.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cavitas.llm.bpe import encoder, vocabulary_path
 from cavitas.llm.common import documents, slices
-from cavitas.session import checkpoint_folder, ship
+from cavitas.session import scratch_folder, ship
 
 END = 2
 #: A shard is closed once it has so many tokens.
@@ -236,13 +235,16 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, from the files."""
     ship(spark)
     files = spark.read.schema(_FILE).parquet(folder)
-    order = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select("part", "shard", F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("base"))
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    # one row a part, then the shards of each part
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before().orderBy("part")), F.lit(0)).alias("first"))
+    within = files.select("part", "shard", F.coalesce(F.sum("n_tokens").over(before("part").orderBy("shard")), F.lit(0)).alias("within"))
+    bases = within.join(F.broadcast(parts), "part").select("part", "shard", (F.col("first") + F.col("within")).alias("base"))
     read = files.select("part", "shard", "doc_ids", "payload").mapInArrow(_read, "part int, shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
     return read.join(bases, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op6_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{checkpoint_folder(spark)}/token-shards-{uuid.uuid4().hex}"
+    folder = f"{scratch_folder(spark, 'token-shards')}/files"
     write_shards(documents(spark, sf_dir), vocabulary_path(), folder)
     return read_shards(spark, folder)
