@@ -13,7 +13,7 @@ from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
 from cavitas.llm.secret_scan import op7_secret_scan
 from cavitas.llm.simhash import op9_simhash_near_dedup
-from cavitas.llm.substring_dedup import op10_substring_dedup
+from cavitas.llm.substring_dedup import OP10_SQL, op10_substring_dedup
 from cavitas.llm.token_shards import op6_token_shards
 from cavitas.llm.toxicity import op1_toxicity
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL}

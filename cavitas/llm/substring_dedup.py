@@ -9,7 +9,7 @@ Instead the passages meet by key, in two rounds that move hashes only:
    the window stands. A document's anchors (a fifth of its words) meet by hash;
    those in two documents or more come back to their documents.
 2. Windows on such anchors meet by a 96-bit hash of their words with the ids;
-   each comes back to the documents above the least id that has it.
+   each comes back, by the first 64 bits, to the documents above the least id that has it.
 
 A task first settles what repeats within its own rows, and sends one entry a hash and
 task, so that a passage in a third of all documents is no hot key. Text is shuffled
@@ -352,3 +352,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(documents(spark, sf_dir), keep_text=False)
     return out.select("doc_id", "n_words", "n_removed", F.lower(F.hex("kept")).alias("kept_sha256"))
+
+
+#: The contract in SQL: each window's words as one text, the least document that has it, and the words that such windows cover.
+OP10_SQL = """WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q, len(ws) AS n FROM w),
+k AS (SELECT doc_id, q, n, concat_ws(' ', word, """ + ", ".join(f"lead(word, {k}) OVER o" for k in range(1, WINDOW)) + f""") AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY q)),
+f AS (SELECT doc_id, q, g FROM k WHERE q + {WINDOW - 1} <= n),
+m AS (SELECT g, min(doc_id) AS least FROM f GROUP BY g HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, q + s AS q FROM f JOIN m USING (g), (SELECT unnest(range({WINDOW})) AS s) WHERE doc_id > least),
+r AS (SELECT t.doc_id, count(gone.q) AS n_removed, string_agg(CASE WHEN gone.q IS NULL THEN word END, ' ' ORDER BY t.q) AS kept FROM t LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.q = t.q GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r USING (doc_id)"""
