@@ -25,7 +25,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavitas.llm.common import documents
-from cavitas.session import cut
 
 #: Parts that start within so many characters of each other belong together.
 SCOPE = 200
@@ -81,8 +80,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     base = [spans(F.col("text"), kind, pattern) for kind, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX))]
     weak = [spans(F.col("text"), kind, pattern) for kind, pattern in WEAK.items()]
-    # the text is scanned once: what was found is written, and both branches below read that
-    rows = cut(rows.select("doc_id", "row_key", F.concat(*base).alias("base"), F.concat(*weak).alias("weak")))
+    rows = rows.select("doc_id", "row_key", F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
+    # both branches read the text: this one looks for weak candidates in all rows and for base spans only where it finds some. Written once as
+    # one projection, the patterns make a method longer than the JVM compiles, which took half as long again.
     linked = link(rows.where(F.size("weak") > 0), scope)
     out = rows.join(linked, (rows["row_key"] == linked["link_key"]) & rows["doc_id"].eqNullSafe(linked["link_id"]), "left")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
