@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: Element radii in Å.
 ELEMENT_RADII = {"C": 1.7, "H": 1.1, "O": 1.52, "N": 1.55, "P": 1.8, "S": 1.8}
@@ -104,20 +103,27 @@ def passes_sampled(c1, c2, c3, r1, r2, r3, probe, tries: int = 20_000, seed: int
     return bool(np.all([np.linalg.norm(p - c, axis=1) >= r + probe for c, r in zip(corners, (r1, r2, r3), strict=True)], axis=0).any())
 
 
-def _xyz(column) -> np.ndarray:
-    return np.array(column.tolist(), float).reshape(-1, 3)
+def with_side_open(sides: DataFrame) -> DataFrame:
+    """``sides`` with ``open``: what `passes_three` asks of one side, for rows of distances and radii with the probe.
 
-
-def passes_three_udf(probe: float):
-    """Arrow UDF of (c1, c2, c3 arrays of 3; r1, r2, r3)."""
-
-    @pandas_udf("boolean")
-    def run(c1, c2, c3, r1, r2, r3):
-        import pandas as pd
-
-        return pd.Series(passes_three(_xyz(c1), _xyz(c2), _xyz(c3), r1.to_numpy(), r2.to_numpy(), r3.to_numpy(), probe))
-
-    return run
+    The ends are i and j, the third disc is k; ``d``, ``e`` and ``g`` are the distances ij, ik and jk, ``ri``, ``rj`` and
+    ``rk`` the radii. The side lies on the x axis with i at the origin, k above it.
+    """
+    d, e, g, ri, rj, rk = (F.col(c) for c in ("d", "e", "g", "ri", "rj", "rk"))
+    x, y, mx, my = (F.col(c) for c in ("__x", "__y", "__mx", "__my"))
+    zero = F.lit(0.0)
+    under = d * d - rj * rj + ri * ri
+    place = {
+        "__x": F.when(d > 0, (d * d + e * e - g * g) / (2 * d)).otherwise(zero),
+        "__mx": (d + ri - rj) / 2,
+        "__my": F.when(d > 0, F.sqrt(F.greatest(4 * d * d * ri * ri - under * under, zero)) / (2 * d)).otherwise(zero),
+    }
+    clear = lambda px, py: F.sqrt((x - px) * (x - px) + (y - py) * (y - py)) >= rk
+    along = (d >= ri + rj) & (clear(ri, zero) | clear(d - rj, zero))
+    parts = F.abs(d * my) + F.abs((d - mx) * (y - my) + my * (x - mx)) + F.abs((y - my) * mx - (x - mx) * my)
+    within = parts <= d * y * (1 + 1e-9) + 1e-12
+    rows = sides.withColumns(place).withColumn("__y", F.sqrt(F.greatest(e * e - x * x, zero)))
+    return rows.withColumn("open", along | (within & clear(mx, my))).drop("__x", "__y", "__mx", "__my")
 
 
 def passes_four(centres: list[np.ndarray], radii: list[np.ndarray], probe) -> np.ndarray:

@@ -42,11 +42,16 @@ def _distances(x: np.ndarray, metric: str) -> np.ndarray:
 def merged(x: np.ndarray, cut: float, method: str, metric: str) -> np.ndarray:
     """Cluster number of each row: the nearest two clusters merge while some are within ``cut``.
 
-    A cluster counts as within the cut if all merges in it are, as heights may fall with centroids.
+    A cluster counts as within the cut if all merges in it are, as heights may fall with centroids. Each
+    row keeps its nearest, which is looked for anew only when that one merged: work near the square of n.
+    A row without distances (no spread, by correlation) stays alone.
     """
     n = len(x)
     d = _distances(x, metric)
+    d[np.isnan(d)] = np.inf
     np.fill_diagonal(d, np.inf)
+    near = d.argmin(axis=1) if n else np.zeros(0, np.int64)
+    gap = d[np.arange(n), near]
     size = np.ones(n)
     label = np.arange(n)
     parent_height: dict[int, float] = {}
@@ -54,9 +59,8 @@ def merged(x: np.ndarray, cut: float, method: str, metric: str) -> np.ndarray:
     links: list[tuple[int, int, int, float]] = []
     alive = np.ones(n, bool)
     for step in range(n - 1):
-        flat = int(np.argmin(d))
-        i, j = divmod(flat, n)
-        h = d[i, j]
+        i = int(np.argmin(gap))
+        j, h = int(near[i]), gap[i]
         if not np.isfinite(h):
             break
         links.append((node[i], node[j], n + step, h))
@@ -69,11 +73,15 @@ def merged(x: np.ndarray, cut: float, method: str, metric: str) -> np.ndarray:
             new = np.sqrt(np.maximum((a * d[i] ** 2 + b * d[j] ** 2) / (a + b) - a * b * h**2 / (a + b) ** 2, 0))
         else:
             new = np.minimum(d[i], d[j])
-        new[~alive] = np.inf
-        d[i], d[:, i] = new, new
-        d[i, i] = np.inf
-        d[j], d[:, j] = np.inf, np.inf
         alive[j] = False
+        new[~alive], new[i] = np.inf, np.inf
+        d[i], d[:, i] = new, new
+        d[j], d[:, j], gap[j] = np.inf, np.inf, np.inf
+        closer = (new < gap) | ((new == gap) & (i < near))
+        near[closer], gap[closer] = i, new[closer]
+        lost = np.flatnonzero(alive & ~closer & ((near == i) | (near == j)))
+        near[lost] = d[lost].argmin(axis=1)
+        gap[lost] = d[lost, near[lost]]
         size[i] = a + b
         node[i] = n + step
     members = {k: [k] for k in range(n)}

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.functions.metrics import passes_centroid, passes_four, passes_three
+from cavitas.functions.metrics import euclidean, passes_two, with_side_open
 from cavitas.operators.geometry import KEYS
 from cavitas.operators.joins import sphere_neighbors
-from cavitas.session import ship
 
 #: The node that stands for the outside.
 OUTSIDE = -1
@@ -25,24 +22,31 @@ def faces(spheres: DataFrame, least: int = 2) -> DataFrame:
     return rows.select(*KEYS, "i", "j", F.array_sort(F.array_intersect("ci", "cj")).alias("face"))
 
 
-def _test(probe: float, centroid: bool):
-    def run(rows: pd.Series, sizes: pd.Series) -> pd.Series:
-        out = np.zeros(len(rows), bool)
-        for n in set(sizes.tolist()):
-            at = np.flatnonzero((sizes == n).to_numpy())
-            atoms = np.array([[[p["x"], p["y"], p["z"], p["r"]] for p in rows.iloc[k]] for k in at], float).reshape(len(at), n, 4)
-            c, r = [atoms[:, k, :3] for k in range(n)], [atoms[:, k, 3] for k in range(n)]
-            if centroid:
-                out[at] = passes_centroid(c, r, probe) if n > 2 else False
-            elif n == 2:
-                out[at] = np.linalg.norm(c[0] - c[1], axis=1) >= r[0] + r[1] + 2 * probe
-            elif n == 3:
-                out[at] = passes_three(*c, *r, probe)
-            elif n == 4:
-                out[at] = passes_four(c, r, probe)
-        return pd.Series(out)
+def _open_by_discs(faces: DataFrame, probe: float) -> DataFrame:
+    """Keys and ``face`` of those whose ``discs`` let a probe through: two by their gap, three or four by a side of a triangle.
 
-    return run
+    A side is a row; sides of a face stay with it, so that counting them together shuffles nothing.
+    """
+    disc = lambda k: F.get("discs", F.lit(k))
+    gap = lambda i, j: euclidean([disc(i)[c] for c in "xyz"], [disc(j)[c] for c in "xyz"])
+    reach = lambda k: disc(k)["r"] + probe
+
+    def side(i: int, j: int, k: int) -> Column:
+        return F.struct(gap(i, j).alias("d"), gap(i, k).alias("e"), gap(j, k).alias("g"), reach(i).alias("ri"), reach(j).alias("rj"), reach(k).alias("rk"))
+
+    triangle = lambda a, b, c: [side(a, b, c), side(a, c, b), side(b, c, a)]
+    n = F.size("discs")
+    two = faces.where((n == 2) & passes_two(gap(0, 1), disc(0)["r"], disc(1)["r"], probe)).select(*KEYS, "face")
+    sides = F.when(n == 3, F.array(*triangle(0, 1, 2))).when(n == 4, F.array(*triangle(0, 1, 2), *triangle(0, 2, 3)))
+    rows = with_side_open(faces.where(n > 2).select(*KEYS, "face", F.explode(sides).alias("s")).select(*KEYS, "face", "s.*"))
+    return two.unionByName(rows.groupBy(*KEYS, "face").agg(F.max("open").alias("open")).where("open").select(*KEYS, "face"))
+
+
+def _open_by_centroid(faces: DataFrame, probe: float) -> DataFrame:
+    """Keys and ``face`` of those all of whose ``discs`` are farther from their middle than radius and probe."""
+    mean = lambda c: F.aggregate(F.transform("discs", lambda p: p[c]), F.lit(0.0), lambda a, v: a + v) / F.size("discs")
+    far = F.forall("discs", lambda p: euclidean([p[c] for c in "xyz"], [F.col(f"__{c}") for c in "xyz"]) >= p["r"] + probe)
+    return faces.withColumns({f"__{c}": mean(c) for c in "xyz"}).where(far).select(*KEYS, "face")
 
 
 def permeable_edges(spheres: DataFrame, atoms: DataFrame, probe: float, centroid: bool = False) -> DataFrame:
@@ -52,14 +56,12 @@ def permeable_edges(spheres: DataFrame, atoms: DataFrame, probe: float, centroid
     three or more) by all being farther from their middle than radius and probe. ``atoms``
     has keys, ``point_index, x, y, z, radius``. Each distinct face is judged once.
     """
-    ship(spheres.sparkSession)
     rows = faces(spheres, 3 if centroid else 2).where(F.size("face").between(2, 4) if not centroid else F.size("face") > 2)
     judged = rows.select(*KEYS, "face").distinct()
     at = judged.select(*KEYS, "face", F.explode("face").alias("point_index"))
-    place = F.struct("point_index", F.col("x").alias("x"), F.col("y").alias("y"), F.col("z").alias("z"), F.col("radius").alias("r"))
+    place = F.struct("point_index", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("radius").cast("double").alias("r"))
     discs = at.join(atoms, [*KEYS, "point_index"]).groupBy(*KEYS, "face").agg(F.array_sort(F.collect_list(place)).alias("discs"))
-    passes = F.pandas_udf(_test(probe, centroid), "boolean")
-    open_faces = discs.where(F.size("discs") == F.size("face")).withColumn("open", passes("discs", F.size("discs"))).where("open").select(*KEYS, "face")
+    open_faces = (_open_by_centroid if centroid else _open_by_discs)(discs.where(F.size("discs") == F.size("face")), probe)
     out = rows.join(open_faces, [*KEYS, "face"]).select(*KEYS, "i", "j", "face")
     # by centroid, a face gives one edge
     return out.groupBy(*KEYS, "face").agg(F.min(F.struct("i", "j")).alias("e")).select(*KEYS, "e.i", "e.j", "face") if centroid else out

@@ -235,21 +235,65 @@ for _method, _name in (("m", "complete"), ("a", "average"), ("c", "centroid")):
     QUERIES[f"pockets_by_{_name}_linkage"] = _linkage(_method)
 
 
-@query()
+def _parts(n: int) -> str:
+    """Components of the links ``l<n>`` (i, j): ``p<n>`` (u, g)."""
+    return f"""w{n} AS (SELECT i AS u, j AS v FROM l{n} UNION SELECT j, i FROM l{n}),
+r{n} AS (SELECT u, u AS v FROM w{n} UNION SELECT r{n}.u, w{n}.v FROM r{n} JOIN w{n} ON r{n}.v = w{n}.u), p{n} AS (SELECT u, min(v) AS g FROM r{n} GROUP BY u)"""
+
+
+def _apart(x: str, y: str, z: str) -> str:
+    return " + ".join(f"(a.{c}-b.{c})*(a.{c}-b.{c})" for c in (x, y, z))
+
+
+@query(f"""WITH RECURSIVE {_SPHERES}, b AS (SELECT *, {_NAME} AS i, [i0, i1, i2, i3] AS c FROM sph WHERE r BETWEEN 0.05 AND 0.3),
+l1 AS (SELECT a.i, b.i AS j FROM b a JOIN b ON a.s = b.s AND a.i < b.i WHERE len(list_intersect(a.c, b.c)) >= 2 AND sqrt({_apart("cx", "cy", "cz")}) <= 0.08), {_parts(1)},
+m AS (SELECT s, g, avg(cx) AS x, avg(cy) AS y, avg(cz) AS z FROM p1 JOIN b ON u = i GROUP BY s, g),
+l2 AS (SELECT a.g AS i, b.g AS j FROM m a JOIN m b ON a.s = b.s AND a.g < b.g WHERE sqrt({_apart("x", "y", "z")}) <= 0.2), {_parts(2)},
+placed AS (SELECT s, i, p2.g AS h, cx, cy, cz FROM p1 JOIN p2 ON p1.g = p2.u JOIN b ON p1.u = i), large AS (SELECT h FROM placed GROUP BY h HAVING count(*) >= 2),
+l3 AS (SELECT a.s, a.h AS i, b.h AS j FROM placed a JOIN placed b ON a.s = b.s AND a.h < b.h WHERE a.h IN (FROM large) AND b.h IN (FROM large) AND {_apart("cx", "cy", "cz")} <= 0.1 * 0.1 GROUP BY ALL HAVING count(*) >= 2), {_parts(3)},
+t AS (SELECT x.i, coalesce(p3.g, x.h) AS k FROM placed x LEFT JOIN p3 ON x.h = p3.u WHERE p3.g IS NOT NULL OR x.s NOT IN (SELECT s FROM l3))
+SELECT min(i) AS pocket, count(*) AS n_spheres FROM t GROUP BY k HAVING count(*) >= 4""")
 def pockets_by_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.pockets_by_contacts(cut(spheres(spark, sf_dir)), 0.05, 0.3, 0.08, 0.2, 0.1, min_spheres=4)
+    own = cut(spheres(spark, sf_dir))
+    found = P.pockets_by_contacts(own, 0.05, 0.3, 0.08, 0.2, 0.1, min_spheres=4).join(own.select(*KEYS, "sphere_id", named().alias("name")), [*KEYS, "sphere_id"])
+    return found.groupBy(*KEYS, "pocket_id").agg(F.min("name").alias("pocket"), F.count("*").alias("n_spheres")).select("pocket", "n_spheres")
 
 
-@query()
-def permeability_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+PROBE = 0.01
+_FACES = f"""{_SPHERES}, b AS (SELECT s, {_NAME} AS n, [i0, i1, i2, i3] AS c FROM sph WHERE r <= 0.3),
+e AS (SELECT a.n AS a, b.n AS b, list_sort(list_intersect(a.c, b.c)) AS f FROM b a JOIN b ON a.s = b.s AND a.n < b.n)"""
+_FACE = "array_to_string(f, ',') AS face"
+
+
+def _gap(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{c}-{b}.{c})*({a}.{c}-{b}.{c})" for c in "xyz") + ")"
+
+
+def _face_edges(spark: SparkSession, sf_dir: str, centroid: bool) -> DataFrame:
+    """Permeable edges of the spheres, by their contacts."""
     own = cut(geometry.radius_band(spheres(spark, sf_dir), None, 0.3))
-    return network.permeable_edges(own, points(spark, sf_dir, whole=False), 0.01).select(*KEYS, "i", "j", named("face").alias("face"))
+    side = lambda n: own.select(*KEYS, F.col("sphere_id").alias(n), named().alias(f"n{n}"))
+    edges = network.permeable_edges(own, points(spark, sf_dir, whole=False), PROBE, centroid).join(side("i"), [*KEYS, "i"]).join(side("j"), [*KEYS, "j"])
+    return edges.select(F.least("ni", "nj").alias("a"), F.greatest("ni", "nj").alias("b"), named("face").alias("face"))
+
+
+@query(f"""WITH {_FACES}, two AS (SELECT e.* FROM e JOIN pts p ON p.i = f[1] JOIN pts q ON q.i = f[2] WHERE len(f) = 2 AND {_gap("p", "q")} >= p.r + q.r + 2 * {PROBE}),
+tri AS (SELECT e.*, {_gap("p", "q")} AS pq, {_gap("p", "o")} AS po, {_gap("q", "o")} AS qo, p.r + {PROBE} AS rp, q.r + {PROBE} AS rq, o.r + {PROBE} AS ro
+  FROM e JOIN pts p ON p.i = f[1] JOIN pts q ON q.i = f[2] JOIN pts o ON o.i = f[3] WHERE len(f) = 3),
+sides AS (SELECT a, b, f, pq AS d, po AS e, qo AS g, rp AS ri, rq AS rj, ro AS rk FROM tri UNION ALL SELECT a, b, f, po, pq, qo, rp, ro, rq FROM tri UNION ALL SELECT a, b, f, qo, pq, po, rq, ro, rp FROM tri),
+flat AS (SELECT *, (d*d + e*e - g*g) / (2*d) AS x, (d + ri - rj) / 2 AS mx, sqrt(greatest(4*d*d*ri*ri - (d*d - rj*rj + ri*ri)*(d*d - rj*rj + ri*ri), 0)) / (2*d) AS my FROM sides),
+high AS (SELECT *, sqrt(greatest(e*e - x*x, 0)) AS y FROM flat),
+three AS (SELECT a, b, f FROM high GROUP BY a, b, f HAVING bool_or((d >= ri + rj AND (sqrt((x-ri)*(x-ri) + y*y) >= rk OR sqrt((x-d+rj)*(x-d+rj) + y*y) >= rk))
+  OR (abs(d*my) + abs((d-mx)*(y-my) + my*(x-mx)) + abs((y-my)*mx - (x-mx)*my) <= d*y*(1 + 1e-9) + 1e-12 AND sqrt((x-mx)*(x-mx) + (y-my)*(y-my)) >= rk)))
+SELECT a, b, {_FACE} FROM two UNION ALL SELECT a, b, {_FACE} FROM three""")
+def permeability_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _face_edges(spark, sf_dir, False)
 
 
-@query()
+@query(f"""WITH {_FACES}, corners AS (SELECT e.*, unnest(f) AS p FROM e WHERE len(f) > 2), c AS (SELECT a, b, f, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM corners JOIN pts ON i = p GROUP BY a, b, f)
+SELECT a, b, {_FACE} FROM c WHERE NOT EXISTS (SELECT 1 FROM pts p WHERE p.i IN (f[1], f[2], f[3]) AND {_gap("p", "c")} < p.r + {PROBE})""")
 def permeability_by_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cut(geometry.radius_band(spheres(spark, sf_dir), None, 0.3))
-    return network.permeable_edges(own, points(spark, sf_dir, whole=False), 0.01, centroid=True).select(*KEYS, "i", "j", named("face").alias("face"))
+    return _face_edges(spark, sf_dir, True)
 
 
 _OUTSIDE = f"""RECURSIVE {_POINTS}, {_PAIRS}, links AS (SELECT i, j FROM pairs WHERE d <= {CHAIN} UNION SELECT -1, i FROM pts WHERE i % {STRUCTURE} = 0),

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -142,6 +143,37 @@ def test_hierarchical(spark, method, metric):
     assert all(min(v) == k for k, v in groups.items())
 
 
+def test_linkage_of_many_points():
+    """A grid with many ties, and thousands of points in the time that the square of their number allows."""
+    x = np.array(list(itertools.product(range(4), range(3), range(2))), float)
+    for method in ("complete", "average", "centroid", "single"):
+        label = cluster.merged(x, 1.2, method, "e")
+        assert (label[label] == label).all() and (label <= np.arange(len(x))).all()
+    spots = np.random.default_rng(6).random((40, 3)) * 100
+    many = np.concatenate([s + np.random.default_rng(k).random((50, 3)) for k, s in enumerate(spots)])
+    begin = time.perf_counter()
+    label = cluster.merged(many, 2.5, "average", "e")
+    assert time.perf_counter() - begin < 20
+    assert label.tolist() == [k // 50 * 50 for k in range(len(many))]
+
+
+def test_rows_without_spread_stay_alone():
+    x = np.array([[1, 2, 3], [2, 4, 6.1], [5, 5, 5], [1, 2, 3.1]], float)
+    assert cluster.merged(x, 0.1, "average", "c").tolist() == [0, 0, 2, 0]
+
+
+def test_sides_as_columns(spark):
+    rng = np.random.default_rng(9)
+    c, r = rng.random((300, 3, 3)) * 6, rng.random((300, 3)) + 0.4
+    d = np.linalg.norm(c[:, [0, 0, 1]] - c[:, [1, 2, 2]], axis=2)
+    order = ((0, 1, 2, 0, 1, 2), (1, 0, 2, 0, 2, 1), (2, 0, 1, 1, 2, 0))
+    rows = [(k, *[float(d[k, n]) for n in o[:3]], *[float(r[k, n]) + 0.5 for n in o[3:]]) for k in range(300) for o in order]
+    sides = spark.createDataFrame(rows, "k long, d double, e double, g double, ri double, rj double, rk double")
+    got = [x.ok for x in metrics.with_side_open(sides).groupBy("k").agg(F.max("open").alias("ok")).orderBy("k").collect()]
+    want = metrics.passes_three(*c.transpose(1, 0, 2), *r.T, 0.5)
+    assert got == want.tolist() and 10 < sum(got) < 290
+
+
 def test_unknown_linkage_warns(spark):
     with pytest.warns(UserWarning):
         assert cluster.hierarchical(frame(spark, SIX), 9.0, "point_index", "xyz", KEYS, "q", "z").count() == 6

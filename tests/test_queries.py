@@ -1,8 +1,11 @@
 import os
 
+import numpy as np
 import pytest
+from test_geometry import naive_clusters
 
 import __spark_entry__ as entry
+from cavitas.plans import queries as plan_queries
 
 DATA = os.environ.get("CAVITAS_TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -36,11 +39,28 @@ def test_query_equals_sql(spark, duck, name):
     assert rows == sorted(str([plain(r[k]) for k in order]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"))
-def test_query_runs(spark, name):
+LINKAGES = {f"pockets_by_{name}_linkage": name for name in ("complete", "average", "centroid")}
+
+
+def test_all_have_sql_or_brute_force():
+    assert {n for n in entry.queries() if n not in entry.oracle_sql() and not n.startswith("op") and n != "pipeline"} == set(LINKAGES)
+
+
+@pytest.mark.parametrize("name", LINKAGES)
+def test_linkage_query_equals_brute_force(spark, name):
+    """Three of the query's structures, clustered in plain Python."""
     if not os.path.isdir(DATA):
         pytest.skip("no test data")
-    assert entry.queries()[name](spark, DATA).count() >= 0
+    got = {}
+    for r in entry.queries()[name](spark, DATA).where("system_id < 3").collect():
+        got.setdefault((r.system_id, r.pocket_id), []).append(r.sphere_id)
+    spheres = plan_queries.spheres(spark, DATA).where("system_id < 3 AND radius BETWEEN 0.05 AND 0.3").orderBy("system_id", "sphere_id").collect()
+    want = []
+    for system in range(3):
+        own = [r for r in spheres if r.system_id == system]
+        groups = naive_clusters(np.array([[r.cx, r.cy, r.cz] for r in own]), 0.08, LINKAGES[name], "e") if own else []
+        want += [(system, sorted(own[k].sphere_id for k in g)) for g in groups if len(g) >= 4]
+    assert want and sorted((s, sorted(v)) for (s, _), v in got.items()) == sorted(want)
 
 
 def test_entry(spark):
