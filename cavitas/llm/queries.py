@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from cavitas.llm.bpe import op5_bpe_round_trip
 from cavitas.llm.decontaminate import op3_decontaminate
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cavitas.llm.hyperminhash import op13_minhash_near_dedup
 from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
 from cavitas.llm.secret_scan import op7_secret_scan
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL}

@@ -1,18 +1,15 @@
 """The SimHash operator at a given similarity: five-word shingles, 0.8 or more.
 
-Documents with one set of shingles are one class, and classes with Jaccard similarity of
-``SIMILARITY`` or more link. Candidates meet by the deletion-variant signatures of `simhash`:
+Classes with Jaccard similarity of ``SIMILARITY`` or more link. Candidates meet by the deletion-variant signatures of `simhash`:
 each half of 32 bits of the first ``SIGNATURE_BITS`` bits of a SimHash fingerprint over the distinct shingles, with
 each bit deleted. In texts of similarity J a share p = acos(2J / (1 + J)) / pi of the bits differs,
 0.15 at 0.8, where a half differs in one bit at most with a probability of 0.03 only. So the signatures find the
 closest copies, and classes are candidates as well if one of ``BANDS`` groups of ``GROUP`` minima of
 their shingles agrees: 1 - (1 - J ** GROUP) ** BANDS, 0.9996 at 0.8, whatever the edit.
 
-The classes that share a key are a set. `join_sets` links what similar members join, in work that grows
-with a set's size and not its square as long as most of it joins: see there. It does so twice: by the ``SHINGLE_BITS`` bits of the fingerprints, where a pair within ``SLACK`` standard
+How they meet and are judged is in `similar_sets`: first by the ``SHINGLE_BITS`` bits of the fingerprints, where a pair within ``SLACK`` standard
 deviations of p is let through, and then, within what that joins, by the exact similarity of the sets of
-shingles (as 64-bit hashes). No link is under the similarity asked for, and none that the keys
-bring together is lost.
+shingles. No link is under the similarity asked for, and none that the keys bring together is lost.
 
 Defined results: as in `simhash`; rows without an id link to nothing and stay; rows with one id and
 different texts are documents of their own, the one with the smaller text hash first; repeated rows stay
@@ -21,7 +18,6 @@ together. Classes are told apart by a 64-bit hash of their shingles.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
 from math import acos, pi, sqrt
 
 import numpy as np
@@ -29,25 +25,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cavitas.llm.common import gram_hashes, map_batches, mix, texts_of, word_bounds, word_hashes
+from cavitas.llm.common import map_batches, mix, texts_of
+from cavitas.llm.similar_sets import BUCKET, SIMILARITY, STREAM, WEIGHT, Near, set_name, shingle_set, similar_classes
 from cavitas.operators.graph import connected_components, hot_join
 from cavitas.session import cut, ship
 
 WORDS = 5
-SIMILARITY = 0.8
 SIGNATURE_BITS, SHINGLE_BITS = 128, 512
 BANDS, GROUP = 20, 5
 SLACK = 4.0
 #: With few shingles more bits differ than the formula says: at most this share, 4 shingles against 5.
 FEW, FEW_SHARE = 32, 0.1875
-#: Members of a set that meet in a task.
-BUCKET = 256
-#: Shingles (of 8 bytes) that meet in a task, in the exact judgement.
-WEIGHT = 1 << 20
-#: Rows of one key that a task holds; keys with more are spread.
-STREAM = 1 << 17
-#: Counters of the rows of keys.
-COUNTERS = 1 << 18
 
 
 def most_bits(similarity: float = SIMILARITY, bits: int = SHINGLE_BITS, slack: float = SLACK, least: float = 0.0) -> int:
@@ -76,33 +64,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mix(own + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _words(data: bytes) -> np.ndarray:
-    array = np.frombuffer(data.lower(), np.uint8)
-    return word_hashes(array, *word_bounds(array))
-
-
-def _shingles(data: bytes, words: int) -> np.ndarray:
-    """The distinct shingles, sorted; a text of fewer words is one shingle, none has none."""
-    h = _words(data)
-    return np.unique(gram_hashes(h, min(words, len(h)))) if len(h) else h
-
-
-def _name(values: np.ndarray) -> int:
-    """A hash of a set of numbers."""
-    return int(mix(np.array([mix(values.view(np.uint64)).sum(dtype=np.uint64) + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
-
-
-def _shingler(words: int):
-    def make():
-        def step(batch: pa.RecordBatch):
-            sets = [_shingles(data, words).tobytes() for data in texts_of(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(sets, pa.binary())], ["id", "set_of"])
-
-        return step
-
-    return make
-
-
 def _fingerprinter(words: int):
     longs = pa.list_(pa.int64())
 
@@ -110,12 +71,12 @@ def _fingerprinter(words: int):
         def step(batch: pa.RecordBatch):
             rows = []
             for data in texts_of(batch["text"]):
-                h = _shingles(data, words)
+                h = shingle_set(data, words)
                 bits = long_fingerprint(h, SHINGLE_BITS)
-                rows.append((_name(h), bits[: SIGNATURE_BITS // 8].view(np.int64).tolist(), bands(h).tolist(), len(h), bits.tobytes()))
+                rows.append((set_name(h), bits[: SIGNATURE_BITS // 8].view(np.int64).tolist(), bands(h).tolist(), len(h), bits.tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             arrays = [pa.array(list(c), t) for c, t in zip(columns, (pa.int64(), longs, longs, pa.int64(), pa.binary()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *arrays], ["doc_id", "row_key", "id", "own", "bands", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row_key"], *arrays], ["doc_id", "row_key", "id", "own", "bands", "n", "print"])
 
         return step
 
@@ -125,7 +86,7 @@ def _fingerprinter(words: int):
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``doc_id, row_key`` of each row that has an id, ``id`` of its class, signature bits, bands, number of shingles and their fingerprint."""
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("row_key"), "text")
-    return map_batches(rows, _fingerprinter(words), "doc_id long, row_key long, id long, own array<long>, bands array<long>, n long, shingles binary")
+    return map_batches(rows, _fingerprinter(words), "doc_id long, row_key long, id long, own array<long>, bands array<long>, n long, print binary")
 
 
 def signatures(prints: DataFrame) -> DataFrame:
@@ -145,210 +106,23 @@ def _variants(bit, half, n: int, shift):
     return F.transform(bit, lambda b: half.bitwiseAND(F.bitwise_not(shift(one, b))).bitwiseOR(shift((b + 32 * n).cast("long"), F.lit(32))))
 
 
-def _shared(bucket: int):
-    """Over batches sorted by key: (set, part, big, id) of keys with two ids or more.
-
-    A set is named by its members, so that keys with the same ones give the same rows. Members of a
-    set of over ``bucket`` are numbered in parts of so many.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def settle(last: bool):
-            nonlocal keys, ids
-            edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-            done = len(edges) - 1 if last else len(edges) - 2  # the last key may go on
-            sets, members, parts = [], [], []
-            for i in np.flatnonzero(np.diff(edges[: done + 1]) > 1).tolist():
-                own = np.unique(ids[edges[i] : edges[i + 1]])
-                if len(own) > 1:
-                    sets.append(np.full(len(own), _name(own), np.int64))
-                    members.append(own)
-                    parts.append(np.arange(len(own)) // bucket if len(own) > bucket else np.full(len(own), -1))
-            keys, ids = keys[edges[done] :], ids[edges[done] :]
-            if sets:
-                part = np.concatenate(parts)
-                arrays = [np.concatenate(sets), np.maximum(part, 0), part >= 0, np.concatenate(members)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["set", "part", "big", "id"])
-
-        for batch in batches:
-            keys = np.concatenate([keys, batch["key"].to_numpy(zero_copy_only=False)])
-            ids = np.concatenate([ids, batch["id"].to_numpy(zero_copy_only=False)])
-            if len(keys):
-                yield from settle(False)
-        if len(keys):
-            yield from settle(True)
-
-    return run
-
-
-def key_sets(prints: DataFrame, bucket: int = BUCKET, stream: int = STREAM) -> DataFrame:
-    """``set, part, big, id``: the classes that share a key, in parts of about ``bucket`` members.
-
-    The rows of all keys are counted in ``COUNTERS`` counters; keys of a counter with over max(``stream``, a
-    1 / 10,000 of all rows) are spread by member, and fewer than 10,000 counters can be such. The others are
-    shuffled by key.
-    """
-    keyed = signatures(prints).withColumn("counter", F.pmod(F.xxhash64("key"), F.lit(COUNTERS)).cast("int"))
-    counts = cut(keyed.groupBy("counter").agg(F.count("*").alias("rows")))
-    total = counts.agg(F.sum("rows")).first()[0] or 0
-    crowded = counts.where(F.col("rows") > max(stream, total // 10_000)).select("counter", F.ceil(F.col("rows") / bucket).alias("parts"))
-    shared = "set long, part long, big boolean, id long"
-    if crowded.isEmpty():
-        return cut(keyed.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared).distinct())
-    few = keyed.join(F.broadcast(crowded.select("counter")), "counter", "left_anti").select("key", "id")
-    sets = few.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared)
-    spread = keyed.join(F.broadcast(crowded), "counter")
-    dealt = spread.select(F.col("key").alias("set"), F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(True).alias("big"), "id")
-    return cut(sets.unionByName(dealt).distinct())
-
-
-def forest(ids: np.ndarray, prints: np.ndarray, most, check=None) -> list[tuple[int, int]]:
-    """Links that join what the pairs within ``most`` bits (that ``check`` finds true) join: (id, earlier id)."""
-    left = np.arange(len(ids))
-    most = np.broadcast_to(most, len(ids))
-    links = []
-    while len(left):
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
-            at = todo.pop()
-            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1, dtype=np.int64) <= np.maximum(most[left], most[at])
-            if check is not None:
-                near[near] = check(at, left[near])
-            links += [(int(ids[k]), int(ids[at])) for k in left[near]]
-            todo += left[near].tolist()
-            left = left[~near]
-    return links
-
-
-def _sizes_fit(sizes: np.ndarray, similarity: float):
-    return lambda at, others: np.minimum(sizes[others], sizes[at]) >= similarity * np.maximum(sizes[others], sizes[at]) - 1e-9
-
-
-def _similar(sets: list[np.ndarray], sizes: np.ndarray, similarity: float):
-    """A check by exact Jaccard similarity; two empty sets are equal."""
-    fit = _sizes_fit(sizes, similarity)
-
-    def check(at: int, others: np.ndarray) -> np.ndarray:
-        out = fit(at, others)
-        own, others = sets[at], others[out]
-        if len(own) and len(others):
-            all_ = np.concatenate([sets[k] for k in others])
-            hit = own[np.minimum(np.searchsorted(own, all_), len(own) - 1)] == all_
-            common = np.add.reduceat(hit, np.cumsum(sizes[others]) - sizes[others], dtype=np.int64)
-            out[out] = common >= similarity * (len(own) + sizes[others] - common) - 1e-9
-        return out
-
-    return check
-
-
-def _judge(similarity: float, exact: bool):
-    """Over batches sorted by block: the links of each block, by the filter alone or by the sets."""
+def _alike(similarity: float):
+    """Prints that differ in few bits."""
     usual, few = most_bits(similarity), most_bits(similarity, least=FEW_SHARE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def settle():
-            ids, first = np.unique(np.array([r[1] for r in held], np.int64), return_index=True)
-            prints = np.frombuffer(b"".join(held[k][2] for k in first), np.uint64).reshape(len(ids), -1)
-            if exact:
-                sets = [np.frombuffer(held[k][3], np.uint64) for k in first]
-                sizes = np.array([len(x) for x in sets])
-                check = _similar(sets, sizes, similarity)
-            else:
-                sizes = np.array([held[k][3] for k in first])
-                check = _sizes_fit(sizes, similarity)
-            found = forest(ids, prints, np.where(sizes <= FEW, few, usual), check)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found]), pa.array([b for _, b in found])], ["src", "dst"])
-
-        for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("block", "id", "shingles", "set_of" if exact else "n")), strict=True):
-                if held and held[-1][0] != row[0]:
-                    yield from settle()
-                    held = []
-                held.append(row)
-        if held:
-            yield from settle()
-
-    return run
-
-
-def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
-    """``src, dst``: links that join what the pairs that ``judge`` finds within each set join.
-
-    ``members`` has ``set, part, big, id`` and a weight ``w``, of which a part has about ``limit`` at most; a set that
-    is not big is one part. ``judge`` takes ``block, id`` and links within a block. First, sets that are not
-    big meet, and each member of big ones meets the part of its largest set that it is in, with that set's least member. What this joins
-    need not meet again. So of a big set those that are not in its largest component then meet
-    that component, once for all sets that have it, and each other: two rows a member if they are few,
-    and never more pairs than the sets have with that component.
-    """
-    block = F.xxhash64("set", "part").alias("block")
-    big = members.where("big")
-    total = big.count()
-    small = members.where("NOT big").select(block, "id")
-    if not total:
-        return cut(judge(small))
-    sizes = big.groupBy("set").agg(F.count("*").alias("size"), F.count("*").alias("members"))
-    ranked = hot_join(big.select("set", "part", "id"), sizes, ["set"], "size", total)
-    chosen = cut(ranked.groupBy("id").agg(F.max(F.struct("members", "set", "part")).alias("c")).select("id", "c.set", "c.part"))
-    pivots = chosen.select("set", "part").distinct().join(chosen.groupBy("set").agg(F.min("id").alias("id")), "set")
-    found = cut(judge(small.unionByName(chosen.select(block, "id")).unionByName(pivots.select(block, "id"))))
-    named = connected_components(found).select(F.col("node").alias("id"), "component")
-    placed = cut(big.select("set", "id", "w").join(named, "id", "left").withColumn("component", F.coalesce("component", "id")))
-    by_component = placed.groupBy("set", "component").count()
-    largest = by_component.groupBy("set").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"))
-    largest = largest.where(F.col("size") > F.col("top.count")).select("set", F.col("top.component").alias("family"), "size")
-    still = cut(hot_join(placed, largest, ["set"], "size", total).select("family", "id", "w", (F.col("component") == F.col("family")).alias("core")).distinct())
-    if still.isEmpty():
-        return found
-    parts = lambda rows: F.greatest(F.ceil(F.sum(F.when(rows, F.col("w"))) / limit), F.lit(1)).cast("long")
-    families = still.groupBy("family").agg(parts(F.col("core")).alias("cores"), parts(~F.col("core")).alias("rests"), F.count("*").alias("size"))
-    met = hot_join(still, families, ["family"], "size", total).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
-    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    pair = lambda a, b: F.xxhash64("family", a, b).alias("block")
-    core = met.where("core").select("family", "id", "own", upto("rests").alias("b")).select(pair("own", "b"), "id")
-    rest = met.where("NOT core").select("family", "id", "own", upto("cores").alias("a")).select(pair("a", "own"), "id")
-    among = met.where("NOT core AND rests > 1").select("family", "id", "own", upto("rests").alias("b"))
-    among = among.select(pair(-1 - F.least("own", "b"), -1 - F.greatest("own", "b")), "id")
-    return found.unionByName(judge(core.unionByName(rest).unionByName(among)))
-
-
-def _sorted_blocks(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block")
+    def of(prints: list[bytes], sizes: np.ndarray) -> Near:
+        bits = np.frombuffer(b"".join(prints), np.uint64).reshape(len(prints), -1)
+        most = np.where(sizes <= FEW, few, usual)
+        return lambda at, others: np.bitwise_count(bits[others] ^ bits[at]).sum(axis=1, dtype=np.int64) <= np.maximum(most[others], most[at])
+
+    return of
 
 
 def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> tuple[DataFrame, DataFrame]:
     """``src, dst``: classes with similar shingles, which join what the similar pairs join; and ``doc_id, row_key, id`` of each row's class."""
     ship(docs.sparkSession)
     prints = cut(fingerprints(docs, words))
-    rows = prints.select("doc_id", "row_key", "id")
-    classes = cut(prints.groupBy("id").agg(*[F.first(c).alias(c) for c in ("own", "bands", "n", "shingles")], F.min(F.struct("doc_id", "row_key")).alias("first")))
-    bits = classes.select("id", "n", "shingles")
-
-    def filtered(met: DataFrame) -> DataFrame:
-        return _sorted_blocks(met.join(bits, "id")).mapInArrow(_judge(similarity, False), "src long, dst long")
-
-    near = cut(join_sets(key_sets(classes, bucket, stream).withColumn("w", F.lit(1)), filtered, bucket).distinct())
-    # what the filter joins meets once more, with the sets of shingles of these classes alone
-    joined = connected_components(near).select(F.col("node").alias("id"), F.col("component").alias("set"))
-    joined = cut(joined.join(classes.select("id", "n", "shingles", "first"), "id"))
-    joined = joined.withColumn("w", F.greatest("n", F.lit(-(-weight // bucket))))
-    sizes = joined.groupBy("set").agg(F.count("*").alias("size"), F.ceil(F.sum("w") / weight).alias("parts"))
-    members = hot_join(joined.select("set", "id", "w"), sizes, ["set"], "size", joined.count())
-    members = members.select("set", F.pmod(F.xxhash64("id"), "parts").alias("part"), (F.col("parts") > 1).alias("big"), "id", "w")
-    chosen = joined.select("id", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key"))
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
-    texts = texts.join(chosen, ["own_id", "own_key"]).select("id", "text")
-    sets = cut(map_batches(texts, _shingler(words), "id long, set_of binary").dropDuplicates(["id"]).join(bits.drop("n"), "id"))
-
-    def exact(met: DataFrame) -> DataFrame:
-        return _sorted_blocks(met.join(sets, "id")).mapInArrow(_judge(similarity, True), "src long, dst long")
-
-    return join_sets(members, exact, weight).distinct(), rows
+    return similar_classes(docs, prints, signatures, _alike(similarity), words, similarity, bucket, stream, weight), prints.select("doc_id", "row_key", "id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> DataFrame:

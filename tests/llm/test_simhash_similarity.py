@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from cavitas.llm import similar_sets
 from cavitas.llm import simhash_similarity as similar
 
 
@@ -87,10 +88,10 @@ def test_hot_group_of_near_copies(spark, docs, monkeypatch):
         near = brute_force(rows) if n == 300 else set()
         for options in ({"bucket": 40, "weight": 8000}, {"bucket": 80, "stream": 50}):
             seen = []
-            sort = similar._sorted_blocks
-            monkeypatch.setattr(similar, "_sorted_blocks", lambda rows, seen=seen: (seen.append(rows.cache().count()), sort(rows))[1])
+            sort = similar_sets.sorted_blocks
+            monkeypatch.setattr(similar_sets, "sorted_blocks", lambda rows, seen=seen: (seen.append(rows.cache().count()), sort(rows))[1])
             group = groups_of(spark, docs, rows, **options)
-            monkeypatch.setattr(similar, "_sorted_blocks", sort)
+            monkeypatch.setattr(similar_sets, "sorted_blocks", sort)
             met[n, str(options)] = sum(seen)
             assert len({group[x] for x in rows[:n]}) == 2
             assert all(group[a] == group[b] for a, b in near)
@@ -155,7 +156,7 @@ def test_forest_joins_what_pairs_join():
     rng = np.random.default_rng(0)
     prints = rng.integers(0, 1 << 63, (40, 8)).astype(np.uint64)
     prints[20:] = prints[:20] ^ np.uint64(3)
-    found = similar.forest(np.arange(40), prints, 20)
+    found = similar_sets.forest(np.arange(40), lambda at, others: np.bitwise_count(prints[others] ^ prints[at]).sum(axis=1) <= 20)
     assert sorted(sorted(x) for x in found) == [[k, k + 20] for k in range(20)]
 
 
@@ -172,7 +173,7 @@ def test_keys_across_batches():
         for bucket in (2, 4, 1000):
             batches = [pa.RecordBatch.from_arrays([pa.array(keys[k : k + size]), pa.array(ids[k : k + size])], ["key", "id"]) for k in range(0, 90, size)]
             got, parts = {}, {}
-            for b in similar._shared(bucket)(iter(batches)):
+            for b in similar_sets._shared(bucket)(iter(batches)):
                 for s, p, i in zip(*(b[c].to_pylist() for c in ("set", "part", "id")), strict=True):
                     got.setdefault(s, set()).add(i)
                     parts.setdefault((s, p), set()).add(i)
