@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cavitas.llm.bpe import op5_bpe_round_trip
+from cavitas.llm.centroid_clustering import OP12_SQL, op12_centroid_clustering
 from cavitas.llm.decontaminate import op3_decontaminate
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cavitas.llm.hyperminhash import op13_minhash_near_dedup
@@ -29,7 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_centroid_clustering": op12_centroid_clustering,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op12_centroid_clustering": OP12_SQL}
