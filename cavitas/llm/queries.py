@@ -10,6 +10,7 @@ from cavitas.llm.bpe import op5_bpe_round_trip
 from cavitas.llm.centroid_clustering import OP12_SQL, op12_centroid_clustering
 from cavitas.llm.decontaminate import op3_decontaminate
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
+from cavitas.llm.hard_negatives import OP11_SQL, op11_hard_negatives
 from cavitas.llm.hyperminhash import op13_minhash_near_dedup
 from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
@@ -30,8 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_centroid_clustering": op12_centroid_clustering,
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op12_centroid_clustering": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_centroid_clustering": OP12_SQL}
