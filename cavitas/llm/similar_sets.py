@@ -61,27 +61,28 @@ def _shingler(words: int):
 
 
 def _shared(bucket: int):
-    """Over batches sorted by key: (set, part, big, id) of keys with two ids or more.
+    """Over batches sorted by key: (set, part, big, id) of keys with two ids or more, and two components if the rows have them.
 
     A set is named by its members, so that keys with the same ones give the same rows. Members of a
     set of over ``bucket`` are numbered in parts of so many.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, ids, parts_of = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         def settle(last: bool):
-            nonlocal keys, ids
+            nonlocal keys, ids, parts_of
             edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
             done = len(edges) - 1 if last else len(edges) - 2  # the last key may go on
             sets, members, parts = [], [], []
             for i in np.flatnonzero(np.diff(edges[: done + 1]) > 1).tolist():
-                own = np.unique(ids[edges[i] : edges[i + 1]])
-                if len(own) > 1:
+                at = slice(edges[i], edges[i + 1])
+                own = np.unique(ids[at])
+                if len(own) > 1 and (parts_of[at] != parts_of[edges[i]]).any():
                     sets.append(np.full(len(own), set_name(own), np.int64))
                     members.append(own)
                     parts.append(np.arange(len(own)) // bucket if len(own) > bucket else np.full(len(own), -1))
-            keys, ids = keys[edges[done] :], ids[edges[done] :]
+            keys, ids, parts_of = (a[edges[done] :] for a in (keys, ids, parts_of))
             if sets:
                 part = np.concatenate(parts)
                 arrays = [np.concatenate(sets), np.maximum(part, 0), part >= 0, np.concatenate(members)]
@@ -90,6 +91,8 @@ def _shared(bucket: int):
         for batch in batches:
             keys = np.concatenate([keys, batch["key"].to_numpy(zero_copy_only=False)])
             ids = np.concatenate([ids, batch["id"].to_numpy(zero_copy_only=False)])
+            of = batch["component" if "component" in batch.schema.names else "id"]
+            parts_of = np.concatenate([parts_of, of.to_numpy(zero_copy_only=False)])
             if len(keys):
                 yield from settle(False)
         if len(keys):
@@ -103,18 +106,22 @@ def key_sets(keyed: DataFrame, bucket: int = BUCKET, stream: int = STREAM) -> Da
 
     The rows of all keys are counted in ``COUNTERS`` counters; keys of a counter with over max(``stream``, a
     1 / 10,000 of all rows) are spread by member, and fewer than 10,000 counters can be such. The others are
-    shuffled by key.
+    shuffled by key. If ``keyed`` has the ``component`` of each id, keys of a single one give no set.
     """
+    columns = [c for c in ("key", "id", "component") if c in keyed.columns]
     keyed = keyed.withColumn("counter", F.pmod(F.xxhash64("key"), F.lit(COUNTERS)).cast("int"))
     counts = cut(keyed.groupBy("counter").agg(F.count("*").alias("rows")))
     total = counts.agg(F.sum("rows")).first()[0] or 0
     crowded = counts.where(F.col("rows") > max(stream, total // 10_000)).select("counter", F.ceil(F.col("rows") / bucket).alias("parts"))
     shared = "set long, part long, big boolean, id long"
     if crowded.isEmpty():
-        return cut(keyed.select("key", "id").repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared).distinct())
-    few = keyed.join(F.broadcast(crowded.select("counter")), "counter", "left_anti").select("key", "id")
+        return cut(keyed.select(*columns).repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared).distinct())
+    few = keyed.join(F.broadcast(crowded.select("counter")), "counter", "left_anti").select(*columns)
     sets = few.repartition("key").sortWithinPartitions("key").mapInArrow(_shared(bucket), shared)
     spread = keyed.join(F.broadcast(crowded), "counter")
+    if "component" in columns:
+        mixed = spread.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("size")).where("a <> b").select("key", "size")
+        spread = hot_join(spread, mixed, ["key"], "size", total)
     dealt = spread.select(F.col("key").alias("set"), F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(True).alias("big"), "id")
     return cut(sets.unionByName(dealt).distinct())
 
@@ -210,7 +217,7 @@ def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], limit
     need not meet again. So of a big set those that are not in its largest component have yet to meet
     that component (once for all sets that have it) and each other. They do so directly if that takes ``DIRECT`` rows a member
     at most. If it takes more, ``refine`` gives finer members (``set, part, big, id, w``) of the ids in
-    question, in which any two similar ones share a set, and these are joined in turn; without ``refine``, or
+    question (``id, component``), in which any two similar ones of different components share a set, and these are joined in turn; without ``refine``, or
     within its sets, all meet directly.
     """
     block = F.xxhash64("set", "part").alias("block")
@@ -229,7 +236,7 @@ def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], limit
     by_component = placed.groupBy("set", "component").count()
     largest = by_component.groupBy("set").agg(F.max(F.struct("count", "component")).alias("top"), F.sum("count").alias("size"))
     largest = largest.where(F.col("size") > F.col("top.count")).select("set", F.col("top.component").alias("family"), "size")
-    still = cut(hot_join(placed, largest, ["set"], "size", total).select("family", "id", "w", (F.col("component") == F.col("family")).alias("core")).distinct())
+    still = cut(hot_join(placed, largest, ["set"], "size", total).select("family", "id", "w", (F.col("component") == F.col("family")).alias("core"), "component").distinct())
     if still.isEmpty():
         return found
     parts = lambda rows: F.greatest(F.ceil(F.sum(F.when(rows, F.col("w"))) / limit), F.lit(1)).cast("long")
@@ -238,7 +245,7 @@ def join_sets(members: DataFrame, judge: Callable[[DataFrame], DataFrame], limit
     families = cut(families.withColumn("direct", F.lit(refine is None) | (rows <= DIRECT * F.col("size"))))
     finer = families.where("NOT direct")
     if not finer.isEmpty():
-        ids = hot_join(still, finer.select("family", "size"), ["family"], "size", total).select("id").distinct()
+        ids = hot_join(still, finer.select("family", "size"), ["family"], "size", total).select("id", "component").distinct()
         found = found.unionByName(join_sets(refine(ids), judge, limit))
     families = families.where("direct").drop("direct", "others")
     met = hot_join(still, families, ["family"], "size", total).withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("core"), F.col("cores")).otherwise(F.col("rests"))))
@@ -265,7 +272,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
-    """``key, id``: of each set (id, set_of) the rarest shingles, so many that any two similar sets share one of them.
+    """``key, id, component``: of each set (id, component, set_of) the rarest shingles, so many that any two similar sets share one of them.
 
     Sets of n and more shingles with similarity s have ceil(s n) in common, so the first
     n - ceil(s n) + 1 of both in one order of all shingles have one in common. Any order will do; the
@@ -280,13 +287,28 @@ def rare_shingles(sets: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = shared.value
         for batch in batches:
-            for id_, data in zip(batch["id"].to_pylist(), batch["set_of"].to_pylist(), strict=True):
+            for id_, part, data in zip(*(batch[c].to_pylist() for c in ("id", "component", "set_of")), strict=True):
                 own = np.frombuffer(data, np.uint64)
                 n = len(own) - ceil(similarity * len(own) - 1e-9) + 1 if len(own) else 0
                 first = own[np.lexsort((own, counts[(own % SHINGLE_COUNTERS).astype(np.int64)]))[:n]]
-                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(np.full(len(first), id_, np.int64))], ["key", "id"])
+                more = [pa.array(np.full(len(first), x, np.int64)) for x in (id_, part)]
+                yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), *more], ["key", "id", "component"])
 
-    return sets.mapInArrow(run, "key long, id long")
+    return sets.mapInArrow(run, "key long, id long, component long")
+
+
+#: Bits of the bitmap of rows that are looked for, 1 MB.
+LOOKUP_BITS = 1 << 23
+
+
+def only_named(rows: DataFrame, names: DataFrame, on: list[str]) -> DataFrame:
+    """``rows`` without most of those whose ``on`` is not in ``names``, by a bitmap of hashes that is broadcast: ``LOOKUP_BITS`` bits, however many names."""
+    place = F.pmod(F.xxhash64(*on), F.lit(LOOKUP_BITS))
+    parts = F.bitmap_bucket_number(place).alias("__part")  # of 32,768 bits
+    maps = names.groupBy(parts).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    named = rows.withColumn("__part", F.bitmap_bucket_number(place)).withColumn("__bit", F.bitmap_bit_position(place))
+    return named.join(F.broadcast(maps), "__part").where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).drop("__part", "__bit", "__bits")
 
 
 def similar_classes(docs: DataFrame, prints: DataFrame, keys: Callable[[DataFrame], DataFrame], alike: Callable[[list[bytes], np.ndarray], Near], words: int, similarity: float = SIMILARITY, bucket: int = BUCKET, stream: int = STREAM, weight: int = WEIGHT) -> DataFrame:
@@ -301,11 +323,13 @@ def similar_classes(docs: DataFrame, prints: DataFrame, keys: Callable[[DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = ids.join(classes.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key"))
-        return map_batches(texts.join(chosen, ["own_id", "own_key"]).select("id", "text"), _shingler(words), "id long, set_of binary").dropDuplicates(["id"])
+        on = ["own_id", "own_key"]
+        chosen = cut(ids.join(classes.select("id", "first"), "id").select("id", F.col("first.doc_id").alias("own_id"), F.col("first.row_key").alias("own_key")))
+        found = only_named(texts, chosen, on).join(chosen, on).select("id", "text")
+        return map_batches(found, _shingler(words), "id long, set_of binary").dropDuplicates(["id"])
 
     def refine(ids: DataFrame, by: Callable[[DataFrame], DataFrame] = sets_of) -> DataFrame:
-        return key_sets(rare_shingles(cut(by(ids)), similarity), bucket, stream)
+        return key_sets(rare_shingles(cut(by(ids.select("id")).join(ids, "id")), similarity), bucket, stream)
 
     def filtered(met: DataFrame) -> DataFrame:
         return sorted_blocks(met.join(bits, "id")).mapInArrow(_judge(similarity, alike, False), "src long, dst long")
