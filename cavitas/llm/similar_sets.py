@@ -21,8 +21,8 @@ from cavitas.operators.graph import connected_components, hot_join
 from cavitas.session import cut, ship
 
 SIMILARITY = 0.8
-#: Members of a set that meet in a task.
-BUCKET = 256
+#: Members of a set that meet in a task: some 8 million comparisons at worst, a second or two.
+BUCKET = 4096
 #: Shingles (of 8 bytes) that meet in a task, in the exact judgement.
 WEIGHT = 1 << 20
 #: Rows of one key that a task holds; keys with more are spread.
