@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import warnings
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from cavitas.functions.metrics import METRICS
 from cavitas.operators.graph import connected_components
 from cavitas.operators.joins import distance_pairs
+from cavitas.operators.linkage import by_centroids, by_links
 from cavitas.session import ship
 
 LINKAGES = {"s": "single", "m": "complete", "a": "average", "c": "centroid"}
@@ -27,80 +27,12 @@ def single_linkage(points: DataFrame, cut: float, item: str, xyz, keys: tuple[st
     return connected_components(pairs, "i", "j", keys, nodes)
 
 
-def _distances(x: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "b":
-        return np.abs(x[:, None] - x[None]).sum(axis=2)
-    if metric == "c":
-        y = x - x.mean(axis=1, keepdims=True)
-        size = np.linalg.norm(y, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return 1 - (y @ y.T) / np.outer(size, size)
-    gram = ((x[:, None] - x[None]) ** 2).sum(axis=2)
-    return np.sqrt(gram)
-
-
-def merged(x: np.ndarray, cut: float, method: str, metric: str) -> np.ndarray:
-    """Cluster number of each row: the nearest two clusters merge while some are within ``cut``.
-
-    A cluster counts as within the cut if all merges in it are, as heights may fall with centroids. Each
-    row keeps its nearest, which is looked for anew only when that one merged: work near the square of n.
-    A row without distances (no spread, by correlation) stays alone.
-    """
-    n = len(x)
-    d = _distances(x, metric)
-    d[np.isnan(d)] = np.inf
-    np.fill_diagonal(d, np.inf)
-    near = d.argmin(axis=1) if n else np.zeros(0, np.int64)
-    gap = d[np.arange(n), near]
-    size = np.ones(n)
-    label = np.arange(n)
-    parent_height: dict[int, float] = {}
-    node = list(range(n))
-    links: list[tuple[int, int, int, float]] = []
-    alive = np.ones(n, bool)
-    for step in range(n - 1):
-        i = int(np.argmin(gap))
-        j, h = int(near[i]), gap[i]
-        if not np.isfinite(h):
-            break
-        links.append((node[i], node[j], n + step, h))
-        a, b = size[i], size[j]
-        if method == "complete":
-            new = np.maximum(d[i], d[j])
-        elif method == "average":
-            new = (a * d[i] + b * d[j]) / (a + b)
-        elif method == "centroid":
-            new = np.sqrt(np.maximum((a * d[i] ** 2 + b * d[j] ** 2) / (a + b) - a * b * h**2 / (a + b) ** 2, 0))
-        else:
-            new = np.minimum(d[i], d[j])
-        alive[j] = False
-        new[~alive], new[i] = np.inf, np.inf
-        d[i], d[:, i] = new, new
-        d[j], d[:, j], gap[j] = np.inf, np.inf, np.inf
-        closer = (new < gap) | ((new == gap) & (i < near))
-        near[closer], gap[closer] = i, new[closer]
-        lost = np.flatnonzero(alive & ~closer & ((near == i) | (near == j)))
-        near[lost] = d[lost].argmin(axis=1)
-        gap[lost] = d[lost, near[lost]]
-        size[i] = a + b
-        node[i] = n + step
-    members = {k: [k] for k in range(n)}
-    top = {k: 0.0 for k in range(n)}
-    for p, q, r, h in links:
-        top[r] = max(top[p], top[q], h)
-        members[r] = members[p] + members[q]
-        parent_height[p] = parent_height[q] = top[r]
-    for k, rows in members.items():
-        if top[k] <= cut and parent_height.get(k, np.inf) > cut:
-            label[rows] = min(rows)
-    return label
-
-
 def hierarchical(points: DataFrame, cut: float, item: str, xyz, keys: tuple[str, ...], method: str = "s", metric: str = "e") -> DataFrame:
     """``*keys, node, component`` by linkage ``s``, ``m``, ``a`` or ``c`` and metric ``e``, ``b`` or ``c``.
 
-    Single linkage is a distributed join; the others need the whole distance matrix
-    of a structure, in one task a structure. Unknown codes warn and fall back to single
+    Single linkage is a distributed join. Complete and average linkage merge nothing within the cut that single linkage keeps apart, so
+    that each of its components is a task; centroids may come nearer to others, so that centroid linkage
+    is one task a structure. Neither holds a distance matrix, only pairs within the cut. Unknown codes warn and fall back to single
     and Euclidean; centroid linkage is always Euclidean.
     """
     if method not in LINKAGES:
@@ -120,14 +52,17 @@ def hierarchical(points: DataFrame, cut: float, item: str, xyz, keys: tuple[str,
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("node")
-        nodes = group["node"].to_numpy()
-        label = merged(group[c].to_numpy(float), cut, name, metric)
+        nodes, x = group["node"].to_numpy(), group[c].to_numpy(float)
+        label = by_centroids(x, cut) if name == "centroid" else by_links(x, cut, name, metric)
         return group[k].assign(node=nodes, component=nodes[label])
 
     kinds = dict(points.dtypes)
     schema = ", ".join([*(f"{x} {kinds[x]}" for x in k), "node long", "component long"])
     rows = points.select(*k, F.col(item).cast("long").alias("node"), *[F.col(x).cast("double").alias(x) for x in c])
-    return rows.groupBy(*k).applyInPandas(run, schema)
+    if name == "centroid":
+        return rows.groupBy(*k).applyInPandas(run, schema)
+    parts = single_linkage(rows, cut, "node", xyz, keys, metric).withColumnRenamed("component", "__part")
+    return rows.join(parts, [*k, "node"]).groupBy(*k, "__part").applyInPandas(run, schema)
 
 
 def by_size(parts: DataFrame, component: str = "component", keys: tuple[str, ...] = ()) -> DataFrame:

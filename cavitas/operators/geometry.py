@@ -12,120 +12,71 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cavitas.functions.checks import columns, length
+from cavitas.operators.delaunay import circumspheres, empty_spheres
+from cavitas.operators.graph import hot_join
+from cavitas.operators.numbering import numbered
 from cavitas.session import ship
 
 KEYS = ["system_id", "structure_index"]
 
 
-def circumspheres(corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Centres, squared radii, and the determinants of tetrahedra of shape (n, 4, 3)."""
-    base = corners[:, 0]
-    b, c, d = (corners[:, k] - base for k in (1, 2, 3))
-    cross = np.cross(c, d)
-    det = np.einsum("ij,ij->i", b, cross)
-    sq = lambda v: np.einsum("ij,ij->i", v, v)[:, None]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        offset = (sq(b) * cross + sq(c) * np.cross(d, b) + sq(d) * np.cross(b, c)) / (2 * det)[:, None]
-    return base + offset, np.einsum("ij,ij->i", offset, offset), det
+#: Points that a block of `alpha_spheres` is made for.
+BLOCK_POINTS = 4000
 
+_SPHERES = "cx double, cy double, cz double, radius double, contacts array<long>"
 
-def empty_spheres(points: np.ndarray) -> list[tuple[np.ndarray, float, list[int]]]:
-    """(centre, radius, contacts) of the spheres through four or more points with none inside.
 
-    Points are inserted one by one: the tetrahedra whose spheres hold the new point give way
-    to those between it and their outer faces. Tetrahedra with one sphere are merged.
-    """
-    n = len(points)
-    if n < 4:
-        return []
-    middle = points.mean(axis=0)
-    size = max(float(np.abs(points - middle).max()), 1e-12)
-    far = 3e4
-    frame = np.array([[1, 1, 1], [1, -1, -1], [-1, 1, -1], [-1, -1, 1]], float) * far
-    unit = np.concatenate([(points - middle) / size, frame])
-    room = 64
-    cells = np.zeros((room, 4), np.int64)
-    centre, r2, alive = np.zeros((room, 3)), np.zeros(room), np.zeros(room, bool)
-
-    def put(at: np.ndarray, corners: np.ndarray) -> None:
-        cells[at] = corners
-        centre[at], r2[at], det = circumspheres(unit[corners])
-        flat = np.abs(det) < 1e-14
-        r2[at[flat]] = np.inf
-        centre[at[flat]] = 0
-        alive[at] = True
-
-    put(np.array([0]), np.array([[n, n + 1, n + 2, n + 3]]))
-    used = 1
-    seen: set[tuple] = set()
-    for i in range(n):
-        p = unit[i]
-        if (key := tuple(p.tolist())) in seen:  # a repeated point adds nothing
-            continue
-        seen.add(key)
-        gap = centre[:used] - p
-        hit = np.flatnonzero(alive[:used] & (np.einsum("ij,ij->i", gap, gap) < r2[:used] * (1 + 1e-11)))
-        own = np.sort(cells[hit], axis=1)
-        faces = np.concatenate([own[:, [1, 2, 3]], own[:, [0, 2, 3]], own[:, [0, 1, 3]], own[:, [0, 1, 2]]])
-        faces, times = np.unique(faces, axis=0, return_counts=True)
-        faces = faces[times == 1]
-        alive[hit] = False
-        new = np.concatenate([faces, np.full((len(faces), 1), i)], axis=1)
-        while used + len(new) > room:
-            room *= 2
-            cells, centre, r2, alive = (np.concatenate([a, np.zeros_like(a)]) for a in (cells, centre, r2, alive))
-        put(np.arange(used, used + len(new)), new)
-        used += len(new)
-        if used > 4096 and alive[:used].mean() < 0.5:
-            keep = np.flatnonzero(alive[:used])
-            for a in (cells, centre, r2, alive):
-                a[: len(keep)] = a[keep]
-            alive[len(keep) : used] = False
-            used = len(keep)
-    inner = np.flatnonzero(alive[:used] & (cells[:used] < n).all(axis=1) & np.isfinite(r2[:used]))
-    out: list[tuple[np.ndarray, float, list[int]]] = []
-    own = unit[:n]
-    for k in range(0, len(inner), 512):
-        rows = inner[k : k + 512]
-        d = np.linalg.norm(centre[rows][:, None] - own[None], axis=2)
-        r = np.sqrt(r2[rows])
-        close = d <= (r + 1e-9 * np.maximum(r, 1))[:, None]
-        hollow = ~(d < (r - 1e-7 * np.maximum(r, 1))[:, None]).any(axis=1)
-        for row, radius, touch, fine in zip(rows, r, close, hollow, strict=True):
-            if fine:
-                contacts = sorted({*np.flatnonzero(touch).tolist(), *cells[row].tolist()})
-                out.append((centre[row] * size + middle, float(radius * size), contacts))
-    best: dict[tuple, tuple] = {}
-    for found in out:
-        best.setdefault(tuple(found[2]), found)
-    return [best[k] for k in sorted(best)]
-
-
-_SPHERES = "structure_index int, sphere_id long, cx double, cy double, cz double, radius double, contacts array<long>"
-
-
-def _spheres(group: pd.DataFrame) -> pd.DataFrame:
+def _found(group: pd.DataFrame, kept=None) -> pd.DataFrame:
+    """The spheres of the points of ``group``, by contacts; of these those for which ``kept`` (centre, radius) holds."""
     group = group.dropna(subset=["x", "y", "z"]).sort_values("point_index")
     ids = group["point_index"].tolist()
     found = empty_spheres(group[["x", "y", "z"]].to_numpy(float))
-    rows = [(k, *c.tolist(), r, [ids[j] for j in touch]) for k, (c, r, touch) in enumerate(found)]
-    out = pd.DataFrame(rows, columns=["sphere_id", "cx", "cy", "cz", "radius", "contacts"])
+    rows = [(*c.tolist(), r, [ids[j] for j in touch]) for c, r, touch in found if kept is None or kept(c, r)]
+    out = pd.DataFrame(rows, columns=["cx", "cy", "cz", "radius", "contacts"])
     for key in KEYS[::-1]:
         out.insert(0, key, group[key].iloc[0] if len(group) else None)
     return out
 
 
-def alpha_spheres(points: DataFrame) -> DataFrame:
-    """Alpha-spheres of each structure: one task a structure, ids by sorted contacts.
+def _whole(group: pd.DataFrame) -> pd.DataFrame:
+    out = _found(group)
+    out.insert(2, "sphere_id", range(len(out)))
+    return out
+
+
+def alpha_spheres(points: DataFrame, max_radius=None, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """Alpha-spheres of each structure, ids by sorted contacts. Points with a null coordinate are left out; fewer than four points give no sphere.
 
-    Structures are bounded; a table of many runs in parallel. Points with a null
-    coordinate are left out; fewer than four points give no sphere.
+    Without ``max_radius`` a structure is one task. With it, only spheres up to that radius are given, and a structure is many tasks:
+    a sphere with its centre in a block of space depends only on points within that radius of the block, so that each block gets these too and
+    keeps the spheres with a centre of its own. Blocks are cubes, no smaller than the radius, with about ``block_points`` points if they are evenly spread.
     """
     columns(points, [*KEYS, "point_index", "x", "y", "z"], "points")
     ship(points.sparkSession)
     kind = dict(points.dtypes)["system_id"]
     rows = points.select("system_id", F.col("structure_index").cast("int"), F.col("point_index").cast("long"), *[F.col(c).cast("double") for c in "xyz"])
-    return rows.groupBy(*KEYS).applyInPandas(_spheres, f"system_id {kind}, {_SPHERES}")
+    head = f"system_id {kind}, structure_index int"
+    if max_radius is None:
+        return rows.groupBy(*KEYS).applyInPandas(_whole, f"{head}, sphere_id long, {_SPHERES}")
+    reach = length(max_radius, "max_radius")
+    rows = rows.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz"))
+    extent = [F.greatest(F.max(c) - F.min(c), F.lit(reach)) for c in "xyz"]
+    stats = rows.groupBy(*KEYS).agg(F.count("*").alias("__n"), (extent[0] * extent[1] * extent[2]).alias("__volume"))
+    side = F.greatest(F.lit(reach), F.cbrt(F.col("__volume") * block_points / F.col("__n")))
+    placed = hot_join(rows, stats.withColumn("__side", side).drop("__volume"), KEYS, "__n", rows.count())
+    margin = reach * (1 + 1e-9) + 1e-9
+    for c in "xyz":
+        cell = lambda x: F.floor(x / F.col("__side")).cast("long")
+        placed = placed.withColumn(f"__{c}", F.explode(F.sequence(cell(F.col(c) - margin), cell(F.col(c) + margin))))
+
+    def in_block(group: pd.DataFrame) -> pd.DataFrame:
+        size = float(group["__side"].iloc[0])
+        low = group[["__x", "__y", "__z"]].iloc[0].to_numpy(float) * size
+        near = 1e-9 * (1 + np.abs(low) + size)  # centres on a border come from both sides, and once into the result
+        return _found(group, lambda c, r: r <= reach and (c >= low - near).all() and (c < low + size + near).all())
+
+    found = placed.groupBy(*KEYS, "__side", "__x", "__y", "__z").applyInPandas(in_block, f"{head}, {_SPHERES}").dropDuplicates([*KEYS, "contacts"])
+    return numbered(found, KEYS, ["contacts"], "__number").select(*KEYS, (F.col("__number") - 1).cast("long").alias("sphere_id"), "cx", "cy", "cz", "radius", "contacts")
 
 
 def radius_band(spheres: DataFrame, min_radius=None, max_radius=None) -> DataFrame:
@@ -163,3 +114,6 @@ def centroids(members: DataFrame, by: list[str], xyz: tuple[str, str, str] = ("c
 def by_radius(spheres: DataFrame) -> DataFrame:
     """The spheres of each structure, smallest first."""
     return spheres.orderBy("system_id", "structure_index", "radius", "sphere_id")
+
+
+__all__ = ["alpha_spheres", "by_radius", "centroids", "circumspheres", "contacts_union", "empty_spheres", "radius_band", "surrounded", "without_spheres"]

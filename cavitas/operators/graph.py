@@ -52,7 +52,7 @@ def connected_components(
     ``*keys, node, component``. No edges and no nodes give an empty result.
 
     First each task contracts its edges, ``chunk`` at a time, to stars: what is left is a forest a chunk. If
-    there is but one, that is all. Else alternating large-star and small-star steps: each node hangs its larger
+    there is but one, or what is left fits one, that is all. Else alternating large-star and small-star steps: each node hangs its larger
     neighbours, then its smaller ones, on the least node it sees. A step is a
     partially aggregated ``min`` and an equi-join in which hubs are spread (`hot_join`), and the
     number of steps grows with the logarithm of the graph's size. The lineage is cut each round.
@@ -72,6 +72,9 @@ def connected_components(
     e = cut(e.coalesce(-(-n // chunk) or 1).mapInArrow(_contract(k, chunk), e.schema))
     mark, last = (e.count(),), None
     while n > chunk:
+        if mark[0] <= chunk:  # what is left fits one chunk
+            e = cut(e.coalesce(1).mapInArrow(_contract(k, chunk), e.schema))
+            break
         e, mark = _round(e, k, mark[0])
         if mark == last:
             break

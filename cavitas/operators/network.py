@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cavitas.functions.metrics import euclidean, passes_two, with_side_open
 from cavitas.operators.geometry import KEYS
 from cavitas.operators.joins import sphere_neighbors
+from cavitas.session import cut
 
 #: The node that stands for the outside.
 OUTSIDE = -1
@@ -56,7 +57,7 @@ def permeable_edges(spheres: DataFrame, atoms: DataFrame, probe: float, centroid
     three or more) by all being farther from their middle than radius and probe. ``atoms``
     has keys, ``point_index, x, y, z, radius``. Each distinct face is judged once.
     """
-    rows = faces(spheres, 3 if centroid else 2).where(F.size("face").between(2, 4) if not centroid else F.size("face") > 2)
+    rows = cut(faces(spheres, 3 if centroid else 2).where(F.size("face").between(2, 4) if not centroid else F.size("face") > 2))
     judged = rows.select(*KEYS, "face").distinct()
     at = judged.select(*KEYS, "face", F.explode("face").alias("point_index"))
     place = F.struct("point_index", *[F.col(c).cast("double").alias(c) for c in "xyz"], F.col("radius").cast("double").alias("r"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from cavitas.functions import labels as L
 from cavitas.functions.checks import ArgumentError, one_of
+from cavitas.operators.numbering import numbered, running_max
 from cavitas.session import cut
 
 FEATURES = (
@@ -60,41 +61,30 @@ def with_taxonomy(features: DataFrame) -> DataFrame:
     return joined.withColumn("shape_type", known).withColumn("prefix", F.coalesce("prefix", F.upper(F.substring("feature_type", 1, 3))))
 
 
-def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
-    """``rows`` with their number from 1 in order within each key.
-
-    Rows are dealt by range of key and order, each part counts its own, and the few counts before a
-    part (one a part and key in it) are broadcast: no key is one task.
-    """
-    dealt = cut(rows.repartitionByRange(*keys, *order).withColumn("__part", F.spark_partition_id()))
-    by_part = dealt.groupBy(*keys, "__part").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = by_part.select(*keys, "__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
-    return dealt.join(F.broadcast(offsets), [*keys, "__part"]).withColumn(name, F.col("__before") + own).drop("__part", "__before")
-
-
 def next_ids(new: DataFrame, existing: DataFrame | None = None, order: str = "seq") -> DataFrame:
     """``new`` (feature_type, ``order``, ...) with ``feature_id``: the prefix and the next free numbers of the type.
 
-    Numbers follow the count of existing features of the type and skip ids in use. Of those above the
-    count, runs of consecutive numbers are kept, an array a type.
+    Numbers follow the count of existing features of the type and skip ids in use. Those above the count are turned into
+    gaps: a used number with f free numbers before it moves all new ones after the f-th, and the new ones meet these steps
+    in one order, where each takes the last step before it. No type is one task, and nothing that grows with ids is broadcast.
     """
     rows = numbered(new if "prefix" in new.columns else with_taxonomy(new), ["feature_type"], [order], "__k")
-    number = F.col("__k")
-    if existing is not None:
-        held = existing.groupBy("feature_type").agg(F.count("*").alias("__held"))
-        names = F.broadcast(taxonomy(existing.sparkSession).select("feature_type", "prefix"))
-        used = existing.select("feature_id").distinct().withColumn("prefix", F.substring_index("feature_id", "-", 1))
-        used = used.where(F.col("feature_id").rlike("^[^-]+-[1-9][0-9]{0,17}$")).withColumn("n", F.substring_index("feature_id", "-", -1).cast("long"))
-        used = used.join(names, "prefix").join(held, "feature_type", "left").where(F.col("n") > F.coalesce("__held", F.lit(0)))
-        # u is preceded by u - held - rank free numbers; the same for all of a run
-        used = numbered(used, ["feature_type"], ["n"], "rank").withColumn("free", F.col("n") - F.coalesce("__held", F.lit(0)) - F.col("rank"))
-        runs = used.groupBy("feature_type", "free").agg(F.count("*").alias("size")).groupBy("feature_type").agg(F.collect_list(F.struct("free", "size")).alias("__runs"))
-        rows = rows.join(F.broadcast(held), "feature_type", "left").join(F.broadcast(runs), "feature_type", "left")
-        skipped = F.aggregate(F.filter("__runs", lambda r: r["free"] < F.col("__k")), F.lit(0).cast("long"), lambda a, r: a + r["size"])
-        number = number + F.coalesce("__held", F.lit(0)) + F.coalesce(skipped, F.lit(0))
-    return rows.withColumn("feature_id", F.concat("prefix", F.lit("-"), number.cast("string"))).drop("__held", "__runs", "__k")
+    if existing is None:
+        return rows.withColumn("feature_id", F.concat("prefix", F.lit("-"), F.col("__k").cast("string"))).drop("__k")
+    held = existing.groupBy("feature_type").agg(F.count("*").alias("__held"))  # a row a type
+    names = F.broadcast(taxonomy(existing.sparkSession).select("feature_type", "prefix"))
+    used = existing.select("feature_id").distinct().withColumn("prefix", F.substring_index("feature_id", "-", 1))
+    used = used.where(F.col("feature_id").rlike("^[^-]+-[1-9][0-9]{0,17}$")).withColumn("n", F.substring_index("feature_id", "-", -1).cast("long"))
+    used = used.join(names, "prefix").join(F.broadcast(held), "feature_type", "left").where(F.col("n") > F.coalesce("__held", F.lit(0)))
+    used = numbered(used, ["feature_type"], ["n"], "rank").withColumn("free", F.col("n") - F.coalesce("__held", F.lit(0)) - F.col("rank"))
+    steps = used.groupBy("feature_type", "free").agg(F.max("rank").alias("__skipped"))  # the same for a run of used numbers
+    columns = rows.columns
+    places = rows.withColumns({"__at": F.col("__k"), "__new": F.lit(1), "__skipped": F.lit(None).cast("long")})
+    steps = steps.select("feature_type", (F.col("free") + 1).alias("__at"), F.lit(0).alias("__new"), "__skipped")
+    met = running_max(places.unionByName(steps, allowMissingColumns=True), ["feature_type"], ["__at", "__new"], "__skipped", "__past").where("__new = 1")
+    met = met.select(*columns, "__past").join(F.broadcast(held), "feature_type", "left")
+    number = F.col("__k") + F.coalesce("__held", F.lit(0)) + F.col("__past")
+    return met.withColumn("feature_id", F.concat("prefix", F.lit("-"), number.cast("string"))).drop("__held", "__past", "__k")
 
 
 def applies_to(spark: SparkSession) -> DataFrame:

@@ -394,8 +394,8 @@ def registry_next_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_FEATURES} SELECT feature_id, row_number() OVER (PARTITION BY split_part(feature_id, '-', 1) ORDER BY CAST(split_part(feature_id, '-', 2) AS BIGINT)) AS place FROM f")
 def natural_sort_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy(F.regexp_extract("feature_id", "^([A-Za-z_]+)", 1)).orderBy(*labels.natural_key(F.col("feature_id")))
-    return features(spark, sf_dir).select("feature_id", F.row_number().over(order).cast("long").alias("place"))
+    rows = features(spark, sf_dir).select("feature_id", F.regexp_extract("feature_id", "^([A-Za-z_]+)", 1).alias("prefix"))
+    return registry.numbered(rows, ["prefix"], labels.natural_key(F.col("feature_id")), "place").select("feature_id", F.col("place").cast("long").alias("place"))
 
 
 def family(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -1,13 +1,15 @@
 import itertools
 import random
 import time
+import tracemalloc
 
 import numpy as np
+import plain
 import pytest
 from pyspark.sql import functions as F
 
 from cavitas.functions import metrics
-from cavitas.operators import cluster, geometry, joins
+from cavitas.operators import cluster, delaunay, geometry, joins, linkage
 from cavitas.operators.graph import bfs_depth, connected_components
 
 SIX = [(-1, 2, 0), (0, 2, 1), (1, -2, 1), (0, 1, 1), (0, 0, 0), (-1, -1, 0)]
@@ -64,6 +66,54 @@ def test_large_structure_is_empty_inside():
         assert (d >= radius * (1 - 1e-7)).all() and np.allclose(d[contacts], radius)
 
 
+def test_grids_and_spheres_of_many_points():
+    grid = np.array(list(itertools.product(range(6), repeat=3)), float)
+    found = geometry.empty_spheres(grid)
+    assert len(found) == 125 and all(len(c) == 8 and np.isclose(r, 0.75**0.5) for _, r, c in found)
+    for seed in range(6):
+        x = np.random.default_rng(seed).integers(0, 4, (20, 3)).astype(float)
+        assert {tuple(c) for *_, c in geometry.empty_spheres(x)} == set(brute_spheres(x))
+    ring = np.array([[np.cos(t), np.sin(t), z] for t in np.linspace(0, 6, 12) for z in (-0.5, 0.5)] + [[0, 0, 0.1]])
+    assert {tuple(c) for *_, c in geometry.empty_spheres(ring)} == set(brute_spheres(ring))
+
+
+def test_time_follows_the_number_of_points():
+    took = []
+    for n in (2000, 8000):
+        x = np.random.default_rng(0).random((n, 3)) * 50
+        begin = time.perf_counter()
+        assert len(geometry.empty_spheres(x)) > 6 * n
+        took.append(time.perf_counter() - begin)
+    assert took[1] < 7 * took[0] and took[1] < 40, took
+
+
+def test_neighbours_of_the_mesh_and_empty_tetrahedra():
+    x = np.random.default_rng(4).random((300, 3))
+    cells, near = delaunay.tetrahedra(x)
+    for t in range(0, len(cells), 7):
+        for k, u in enumerate(near[t].tolist()):
+            if u >= 0:
+                assert set(np.delete(cells[t], k).tolist()) <= set(cells[u].tolist()) and t in near[u]
+    centre, r2, _ = geometry.circumspheres(x[cells])
+    assert (((x[None] - centre[:, None]) ** 2).sum(axis=2).min(axis=1) > r2 * (1 - 1e-6)).all()
+
+
+def test_blocks_equal_the_whole(spark):
+    """A structure in many blocks gives the spheres of the whole up to the radius: ragged density, a grid with centres on borders, two structures."""
+    rng = np.random.default_rng(5)
+    dense = np.concatenate([rng.random((500, 3)) * 20, rng.random((200, 3)) * 3, rng.random((60, 3)) * 20 + 40])
+    grid = np.array(list(itertools.product(range(8), range(6), range(5))), float)
+    points = frame(spark, dense).unionByName(frame(spark, grid, "b")).unionByName(frame(spark, [(0, 0, 0), (None, 1, 1)][:1], "c"))
+    whole = {(r.system_id, tuple(r.contacts)): (r.cx, r.cy, r.cz, r.radius) for r in geometry.radius_band(geometry.alpha_spheres(points), None, 1.6).collect()}
+    parts = geometry.alpha_spheres(points, max_radius=1.6, block_points=60)
+    got = {(r.system_id, tuple(r.contacts)): (r.cx, r.cy, r.cz, r.radius) for r in parts.collect()}
+    assert len(got) == parts.count() > 1000 and got.keys() == whole.keys()
+    assert all(np.allclose(got[k], whole[k]) for k in got)
+    for system in "ab":
+        ids = [(r.contacts, r.sphere_id) for r in parts.where(F.col("system_id") == system).collect()]
+        assert [k for _, k in sorted(ids)] == list(range(len(ids)))
+
+
 def test_few_repeated_flat_and_null_points(spark):
     assert geometry.alpha_spheres(frame(spark, SIX[:3])).count() == 0
     assert geometry.alpha_spheres(frame(spark, [])).count() == 0
@@ -110,7 +160,7 @@ def test_components(spark):
 
 def naive_clusters(x, cut, method, metric):
     clusters = [[i] for i in range(len(x))]
-    base = cluster._distances(x, metric)
+    base = plain.distances(x, metric)
     height = {i: 0.0 for i in range(len(x))}
     trees = [(0.0, [i], ()) for i in range(len(x))]
 
@@ -143,23 +193,43 @@ def test_hierarchical(spark, method, metric):
     assert all(min(v) == k for k, v in groups.items())
 
 
+def linked(x, cut, method, metric="e"):
+    return linkage.by_centroids(x, cut) if method == "centroid" else linkage.by_links(x, cut, method, metric)
+
+
+def test_linkage_equals_the_matrix_form():
+    """Random points, a grid with many ties, centroids that come nearer by merging, rows without numbers."""
+    rng = np.random.default_rng(8)
+    grid = np.array(list(itertools.product(range(4), range(3), range(2))), float)
+    for x, cuts in ((grid, (0.9, 1.0, 1.2, 1.9)), (rng.random((120, 3)), (0.1, 0.2, 0.4)), (rng.integers(0, 5, (60, 3)).astype(float), (1.0, 1.5)), (np.array([[0, 0, 0], [1, 0, 0], [0.5, 0.9, 0], [9, 9, 9]], float), (1.0,))):
+        for cut in cuts:
+            for method in ("complete", "average", "centroid"):
+                assert linked(x, cut, method).tolist() == plain.merged(x, cut, method, "e").tolist(), (cut, method)
+            if x is not grid:
+                assert linked(x, cut, "average", "b").tolist() == plain.merged(x, cut, "average", "b").tolist()
+    turned = rng.normal(size=(80, 3))
+    for method in ("complete", "average"):
+        assert linked(turned, 0.05, method, "c").tolist() == plain.merged(turned, 0.05, method, "c").tolist()
+    odd = np.array([[0, 0, 0], [np.nan, 0, 0], [0, 0, 0.1]], float)
+    for method in ("complete", "average", "centroid"):
+        assert linked(odd, 1.0, method).tolist() == [0, 1, 0] and linked(odd[:0], 1.0, method).tolist() == []
+
+
 def test_linkage_of_many_points():
-    """A grid with many ties, and thousands of points in the time that the square of their number allows."""
-    x = np.array(list(itertools.product(range(4), range(3), range(2))), float)
-    for method in ("complete", "average", "centroid", "single"):
-        label = cluster.merged(x, 1.2, method, "e")
-        assert (label[label] == label).all() and (label <= np.arange(len(x))).all()
-    spots = np.random.default_rng(6).random((40, 3)) * 100
+    """20,000 points in clusters, where a matrix would take 3 GB."""
+    spots = np.array(list(itertools.product(range(8), range(8), range(7))), float)[:400] * 20
     many = np.concatenate([s + np.random.default_rng(k).random((50, 3)) for k, s in enumerate(spots)])
-    begin = time.perf_counter()
-    label = cluster.merged(many, 2.5, "average", "e")
-    assert time.perf_counter() - begin < 20
-    assert label.tolist() == [k // 50 * 50 for k in range(len(many))]
+    for method in ("complete", "average", "centroid"):
+        if method == "complete":
+            tracemalloc.start()
+        assert linked(many, 2.5, method).tolist() == [k // 50 * 50 for k in range(len(many))]
+        assert tracemalloc.get_traced_memory()[1] < 1e9
+        tracemalloc.stop()
 
 
 def test_rows_without_spread_stay_alone():
     x = np.array([[1, 2, 3], [2, 4, 6.1], [5, 5, 5], [1, 2, 3.1]], float)
-    assert cluster.merged(x, 0.1, "average", "c").tolist() == [0, 0, 2, 0]
+    assert linked(x, 0.1, "average", "c").tolist() == [0, 0, 2, 0]
 
 
 def test_sides_as_columns(spark):
