@@ -21,9 +21,9 @@ def _carried(dealt: DataFrame, keys: list[str], of_part: Column, before: Column,
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     passed = by_part.withColumn("__before", before.over(earlier)).where("__before IS NOT NULL").select(*keys, "__part", "__before")
     same = [dealt[k].eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)]
-    passed = passed.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__part").alias("__at"), "__before")
-    joined = dealt.join(F.broadcast(passed), [dealt["__part"] == F.col("__at"), *same], "left")
-    return joined.withColumn("__before", F.coalesce("__before", F.lit(default))).drop("__at", *[f"__k{n}" for n in range(len(keys))])
+    passed = passed.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], F.col("__part").alias("__of_part"), "__before")
+    joined = dealt.join(F.broadcast(passed), [dealt["__part"] == F.col("__of_part"), *same], "left")
+    return joined.withColumn("__before", F.coalesce("__before", F.lit(default))).drop("__of_part", *[f"__k{n}" for n in range(len(keys))])
 
 
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
