@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +22,31 @@ def group_type(atoms: DataFrame) -> DataFrame:
     return atoms.withColumn("group_type", kind)
 
 
+_QUOTED = r"'[^']*'|\"[^\"]*\""
+_LISTED = re.compile(rf"({_QUOTED})|(\w+)\s+(not\s+)?in\s*\[((?:{_QUOTED}|[^\]'\"])*)\]", re.IGNORECASE)
+
+
+def condition(text: str) -> str:
+    """A selection text as a SQL condition: what ``name in [...]`` and ``name not in [...]`` say; the rest is SQL already.
+
+    A missing value is in no list, and an empty list holds none. Brackets within quotes stay.
+    """
+
+    def turned(m: re.Match) -> str:
+        quoted, name, negated, values = m.groups()
+        if quoted:
+            return quoted
+        inside = f"coalesce({name} IN ({values}), false)" if values.strip() else "false"
+        return f"(NOT {inside})" if negated else inside
+
+    return _LISTED.sub(turned, text)
+
+
 def select_atoms(atoms: DataFrame, selection: str | Column | list[int] = "all", mask: Column | None = None) -> DataFrame:
-    """Atoms by a SQL expression, a condition, or a list of atom indices; ``mask`` narrows it."""
+    """Atoms by a text, a condition, or a list of atom indices; ``mask`` narrows it.
+
+    A text is a SQL expression in which ``name in [...]`` may stand (`condition`); it may name ``group_type``.
+    """
     if isinstance(selection, Column):
         atoms = atoms.where(selection)
     elif is_iterable_of_integers(selection):
@@ -28,7 +54,11 @@ def select_atoms(atoms: DataFrame, selection: str | Column | list[int] = "all",
     elif not isinstance(selection, str):
         raise ArgumentError(f"selection: an expression, condition or indices are needed, not {selection!r}")
     elif not is_all(selection):
-        atoms = atoms.where(selection)
+        rows = group_type(atoms) if re.search(r"\bgroup_type\b", selection) and "group_type" not in atoms.columns else atoms
+        try:
+            atoms = rows.where(condition(selection)).select(*atoms.columns)
+        except AnalysisException as error:
+            raise ArgumentError(f"selection: {selection!r} is no condition on atoms: {error.getCondition()}") from error
     return atoms if mask is None else atoms.where(mask)
 
 

@@ -120,3 +120,63 @@ def test_process(tmp_path):
 def test_keys(spark, tmp_path):
     (tmp_path / "k").write_text("ATOM 5 CA 2 POC\nATOM 3 CA 2 POC\nATOM 9 CA 1 POC\n")
     assert {r.pocket_id: r.atom_indices for r in fpocket.read_keys(spark, str(tmp_path / "k")).collect()} == {1: [4, 2], 0: [8]}
+
+
+POCKET = "HEADER 0 - Pocket Score : 1.5\nHEADER 1 - Kind : %s\nATOM      7  N   PRO A   7      16.007  28.881  75.705  1.00 23.70           N\n"
+VERTEX = "ATOM      1  POL STP     1      %8.3f%8.3f%8.3f    0.00     3.70\n"
+
+
+def output_folder(at, kinds):
+    (at / "pockets").mkdir(parents=True)
+    for k, kind in enumerate(kinds):
+        (at / "pockets" / f"pocket{k}_atm.pdb").write_text(POCKET % kind)
+        (at / "pockets" / f"pocket{k}_vert.pqr").write_text(VERTEX % (k, 1, 2) + VERTEX % (k + 2, 1, 2))
+
+
+def test_output_folders_of_many_systems(spark, tmp_path):
+    output_folder(tmp_path / "one a+b_out", ["x", "y"])
+    output_folder(tmp_path / "two_out", ["z"])
+    (tmp_path / "bare_out" / "pockets").mkdir(parents=True)
+    want = {("one a+b", 0, "x", 1.0), ("one a+b", 1, "y", 2.0), ("two", 0, "z", 1.0)}
+    folders = [str(tmp_path / f"{n}_out") for n in ("one a+b", "two", "bare", "absent")]
+    for where in (folders, f"{tmp_path}/*_out"):
+        out = fpocket.read_outputs(spark, where)
+        assert {(r.system_id, r.pocket_id, r.raw["Kind"], r.center.x) for r in out.collect()} == want
+    assert fpocket.read_outputs(spark, folders[2:]).count() == 0 and fpocket.read_output(spark, folders[1]).columns[0] == "pocket_id"
+
+
+def test_program_over_many_structures(spark, tmp_path):
+    """A stub program: one structure makes it fail, one has no pockets, two have some."""
+    tool = tmp_path / "tool"
+    tool.write_text("""#!/bin/sh
+grep -q BROKEN "$2" && { echo "no atoms" >&2; exit 3; }
+out="${2%.pdb}_out"; mkdir -p "$out/pockets"
+grep -q EMPTY "$2" || cp "$2" "$out/pockets/pocket1_atm.pdb"
+""")
+    tool.chmod(0o755)
+    for name, text in (("a", POCKET % "a"), ("b", POCKET % "b"), ("c", "BROKEN"), ("d", "EMPTY")):
+        (tmp_path / f"{name}.pdb").write_text(text)
+    reg, failed = fpocket.registry_of_run(fpocket.structures(spark, f"{tmp_path}/*.pdb"), str(tool))
+    assert {r.feature_id: (r.atom_indices, r.extra["Kind"]) for r in reg.features.collect()} == {"a/POC-1": ([6], "a"), "b/POC-1": ([6], "b")}
+    assert [(r.system_id, "no atoms" in r.error) for r in failed.collect()] == [("c", True)]
+    slow = tmp_path / "slow"
+    slow.write_text("#!/bin/sh\nexec sleep 30\n")
+    slow.chmod(0o755)
+    assert "over 1 s" in fpocket.failures(fpocket.run_all(fpocket.structures(spark, f"{tmp_path}/a.pdb"), str(slow), seconds=1)).first().error
+    assert "can't be run" in fpocket.failures(fpocket.run_all(fpocket.structures(spark, f"{tmp_path}/a.pdb"), "no-such-program")).first().error
+
+
+def test_selection_text(spark):
+    rows = [("s", 0, k, *r) for k, r in enumerate([("ATOM  ", "ALA", "N"), ("ATOM  ", "ALA", "H"), ("HETATM", "HOH", "O"), ("HETATM", "NA", "NA"), ("HETATM", "LIG", None), ("ATOM  ", "x[1]", "C")])]
+    atoms = spark.createDataFrame(rows, "system_id string, structure_index int, atom_index int, record string, group_name string, atom_type string")
+    chosen = lambda text: {r.atom_index for r in S.select_atoms(atoms, text).collect()}
+    removed = chosen("group_type in ['water', 'ion', 'small molecule']")
+    assert removed == {2, 3, 4} and {r.atom_index for r in S.without_types(atoms).collect()} == {0, 1, 5}
+    assert chosen('atom_type not in ["H"]') == {r.atom_index for r in S.without_hydrogens(atoms).collect()} == {0, 2, 3, 4, 5}
+    assert chosen("not (atom_type in ['N', 'H'] or group_type == 'ion') and atom_index != 2") == {4, 5}
+    assert chosen("atom_index in [0, 4]") == {0, 4} and chosen("atom_index in []") == set() and len(chosen("atom_index NOT IN [ ]")) == 6
+    assert chosen("group_name in ['x[1]', 'no']") == {5} and chosen("group_name = 'x[1]'") == {5} and len(chosen("all")) == 6
+    assert S.select_atoms(atoms, "group_type == 'ion'").columns == atoms.columns
+    for bad in ("no_such in ['a']", "atom_type in ['a'", "atom_type like"):
+        with pytest.raises(ValueError):
+            S.select_atoms(atoms, bad)
