@@ -164,3 +164,18 @@ def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_duplicates(documents(spark, sf_dir))
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept")
     return groups.select("doc_id", F.col("n").alias("n_shingles"), F.col("keep_id").alias("component_id"), kept)
+
+
+#: All pairs by shared shingles, then labels passed along links until none changes.
+OP13_SQL = """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS q, len(ws) AS n FROM w),
+k AS (SELECT doc_id, q, n, concat_ws(' ', word, """ + ", ".join(f"lead(word, {k}) OVER o" for k in range(1, WORDS)) + f""") AS g FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY q)),
+s AS (SELECT DISTINCT doc_id, g FROM k WHERE q + {WORDS - 1} <= n OR n < {WORDS} AND q = 1),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b FROM p JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reached r JOIN both_ways e ON e.a = r.other),
+least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(z.n, 0) AS BIGINT) AS n_shingles, coalesce(least.component_id, w.doc_id) AS component_id, coalesce(coalesce(least.component_id, w.doc_id) = w.doc_id, true) AS kept
+FROM w LEFT JOIN z USING (doc_id) LEFT JOIN least USING (doc_id)"""

@@ -11,7 +11,7 @@ from cavitas.llm.centroid_clustering import OP12_SQL, op12_centroid_clustering
 from cavitas.llm.decontaminate import op3_decontaminate
 from cavitas.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from cavitas.llm.hard_negatives import OP11_SQL, op11_hard_negatives
-from cavitas.llm.hyperminhash import op13_minhash_near_dedup
+from cavitas.llm.hyperminhash import OP13_SQL, op13_minhash_near_dedup
 from cavitas.llm.language_id import op8_language_id
 from cavitas.llm.license_scan import op2_license_scan
 from cavitas.llm.secret_scan import op7_secret_scan
@@ -36,4 +36,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_centroid_clustering": OP12_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_dedup": OP4_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op12_centroid_clustering": OP12_SQL, "op13_minhash_near_dedup": OP13_SQL}
