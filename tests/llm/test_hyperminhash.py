@@ -129,3 +129,30 @@ def test_deduplicate_and_empty(docs):
     out = hyper.deduplicate(docs(rows))
     assert out.columns == docs([]).columns and sorted(r.doc_id for r in out.collect()) == [1, 1, 2, 4, 5, 6]
     assert hyper.deduplicate(docs([])).count() == 0 and hyper.near_duplicates(docs([])).count() == 0
+
+
+def test_bitmap_keeps_all_that_is_named(spark, monkeypatch):
+    rows = spark.range(5000).withColumnRenamed("id", "a")
+    names = rows.where("a % 37 = 0")
+    for bits in (1 << 15, 1 << 18):
+        monkeypatch.setattr(similar_sets, "LOOKUP_BITS", bits)
+        out = similar_sets.only_named(rows, names, ["a"])
+        assert out.columns == ["a"] and out.join(names, "a", "left_semi").count() == names.count() and out.count() < 400
+    assert similar_sets.only_named(rows, names.limit(0), ["a"]).count() == 0
+
+
+def test_similar_sets_share_a_rare_shingle(spark):
+    rng = np.random.default_rng(3)
+    sets = []
+    for k in range(0, 200, 2):
+        pool = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+        n = int(rng.integers(5, 60))
+        own = np.concatenate([np.arange(20, dtype=np.uint64), pool[:n]])
+        sets += [(k, own), (k + 1, own[int(rng.integers(0, len(own) // 5 + 1)) :])]
+    table = spark.createDataFrame([(k, k, bytearray(np.unique(s).tobytes())) for k, s in sets], "id long, component long, set_of binary")
+    keys = {}
+    for r in similar_sets.rare_shingles(table, 0.8).collect():
+        keys.setdefault(r.id, set()).add(r.key)
+    for (a, x), (b, y) in zip(sets[::2], sets[1::2], strict=True):
+        if len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y)):
+            assert keys[a] & keys[b]
