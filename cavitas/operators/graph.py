@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cavitas.session import cut, ship
 
@@ -157,31 +158,73 @@ def _round(e: DataFrame, k: list[str], n: int) -> tuple[DataFrame, tuple]:
     return e, (n, s)
 
 
-def bfs_depth(edges: DataFrame, source, src: str = "src", dst: str = "dst", max_depth: int | None = None) -> DataFrame:
-    """Unweighted distance of every node reachable from ``source``.
+def bfs_depth(edges: DataFrame, source, src: str = "src", dst: str = "dst", max_depth: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Unweighted distance of every node reachable from ``source``, at most ``max_depth``.
 
-    Returns ``node, depth``. One join with the frontier a level; a node's neighbours are a level
-    before it, beside it or after it, so that only the last two levels are looked at, and each level
-    is written once. A source without edges gives its own row only.
+    Returns ``node, depth``. Edges lie in parts of about ``chunk``, by range of their nodes, a hub over several. A round takes the
+    parts that have a node with a new depth and passes on as many levels as each part's own edges reach; the
+    depths then meet by their least. A path through p parts needs p rounds, however long it is. A source without
+    edges gives its own row only.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v"))
-    both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     kind = edges.schema[src].dataType
-    levels = [spark.createDataFrame([(source,)], "node long").select(F.col("node").cast(kind), F.lit(0).alias("depth"))]
-    while max_depth is None or len(levels) <= max_depth:
-        near = levels[-1] if len(levels) == 1 else levels[-1].unionByName(levels[-2])
-        step = (
-            both.join(levels[-1].select(F.col("node").alias("u")), "u")
-            .select(F.col("v").alias("node"))
-            .distinct()
-            .join(near.select("node"), "node", "left_anti")
-            .withColumn("depth", F.lit(len(levels)))
-        )
-        level = cut(step)
-        if level.isEmpty():
+    e = edges.select(F.least(src, dst).alias("u"), F.greatest(src, dst).alias("v")).where("u <> v").distinct()
+    e = cut(e)
+    parts = -(-e.count() // chunk) or 1
+    e = e.repartitionByRange(parts, "u", "v") if parts > 1 else e
+    e = cut(e.withColumn("part", F.spark_partition_id() if parts > 1 else F.lit(0)))
+    ends = e.select("part", F.col("u").alias("node")).union(e.select("part", F.col("v").alias("node"))).distinct()
+    ends = cut(ends) if parts > 1 else ends
+    depths = spark.createDataFrame([(source,)], "node long").select(F.col("node").cast(kind), F.lit(0).alias("depth"), F.lit(True).alias("fresh"))
+    ship(spark)
+    schema = T.StructType([T.StructField("node", kind), T.StructField("depth", T.IntegerType())])
+    while True:
+        known = ends.withColumnRenamed("part", "at").join(depths, "node")
+        if parts > 1:
+            active = cut(known.where("fresh").select("at").distinct())
+            if active.isEmpty():
+                break
+            known, near = known.join(active, "at", "left_semi"), e.join(active.withColumnRenamed("at", "part"), "part", "left_semi")
+        else:
+            near = e
+        lower = near.groupBy("part").cogroup(known.groupBy("at")).applyInPandas(_deepened(max_depth), schema)
+        both = depths.select("node", "depth", F.lit(False).alias("fresh")).unionByName(lower.withColumn("fresh", F.lit(True)))
+        depths = cut(both.groupBy("node").agg(F.min("depth").alias("depth"), F.bool_or("fresh").alias("fresh")))
+        if parts == 1:
             break
-        levels.append(level)
-    while len(levels) > 1:  # a balanced union
-        levels = [a.unionByName(b) for a, b in zip(levels[::2], levels[1::2], strict=False)] + levels[len(levels) // 2 * 2 :]
-    return levels[0]
+    return depths.drop("fresh")
+
+
+def _deepened(max_depth: int | None):
+    """Of a part's edges and the depths known of its nodes: the nodes that its edges bring to a lesser depth."""
+
+    def run(edges: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        names = pd.Index(pd.unique(pd.concat([edges["u"], edges["v"]], ignore_index=True)))
+        depth = np.full(len(names), np.iinfo(np.int32).max, np.int64)
+        depth[names.get_indexer(known["node"])] = known["depth"]
+        before = depth.copy()
+        a, b = names.get_indexer(edges["u"]), names.get_indexer(edges["v"])
+        a, b = np.concatenate([a, b]), np.concatenate([b, a])
+        order = np.argsort(a, kind="stable")
+        to, begin = b[order], np.searchsorted(a[order], np.arange(len(names) + 1))
+        seeds = np.argsort(depth, kind="stable")[: len(known)]
+        at, level = 0, 0
+        front = seeds[:0]
+        while at < len(seeds) or len(front):
+            if not len(front):
+                level = int(before[seeds[at]])
+            stop = at + int(np.searchsorted(before[seeds[at:]], level, side="right"))
+            own = seeds[at:stop]
+            front, at = np.concatenate([front, own[depth[own] == level]]), stop
+            if max_depth is not None and level >= max_depth:
+                break
+            size = begin[front + 1] - begin[front]
+            place = np.repeat(begin[front] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            level += 1
+            front = np.unique(to[place])
+            front = front[depth[front] > level]
+            depth[front] = level
+        less = np.flatnonzero(depth < before)
+        return pd.DataFrame({"node": names[less], "depth": depth[less].astype(np.int32)})
+
+    return run

@@ -1,3 +1,4 @@
+import collections
 import itertools
 import random
 import time
@@ -284,3 +285,85 @@ def test_components_of_stars_and_depth_of_a_path(spark):
     assert {r.node: r.depth for r in bfs_depth(path, 2).collect()} == {k: abs(k - 2) for k in range(10)}
     assert {r.node for r in bfs_depth(path, 2, max_depth=1).collect()} == {1, 2, 3}
     assert [r.node for r in bfs_depth(path, 77).collect()] == [77]
+
+
+@pytest.mark.parametrize("block", [3, 4_000])
+def test_shared_keys_by_rarest_and_in_blocks(spark, monkeypatch, block):
+    """Items of 1 to 30 keys, a key that all have, repeated rows and nulls, against all pairs."""
+    monkeypatch.setattr(joins, "BLOCK", block)
+    rng = random.Random(5)
+    held = {}
+    for g in "ab":
+        for i in range(60):
+            held[g, i] = {0, *(rng.randrange(1, 40) for _ in range(rng.choice([0, 1, 2, 3, 4, 30])))}
+    rows = [(g, i, k) for (g, i), keys in held.items() for k in keys]
+    items = spark.createDataFrame(rows + rows[:50] + [("a", None, 1), ("a", 3, None), (None, 1, 1)], "g string, item long, key long")
+    for least in (1, 2, 3):
+        got = joins.shared_key_pairs(items, "item", "key", least, ("g",)).collect()
+        want = {(g, i, j, len(held[g, i] & held[g, j])) for g in "ab" for i in range(60) for j in range(i + 1, 60) if len(held[g, i] & held[g, j]) >= least}
+        assert len(got) == len(want) and {(r.g, r.i, r.j, r.n_shared) for r in got} == want
+
+
+def test_items_that_share_only_common_keys_hardly_meet(spark):
+    """Three keys that all 300 items have: by the rarest of four keys, items meet at most at one of them."""
+    rows = [(i, k) for i in range(300) for k in (0, 1, 2, 1000 + i // 3)]
+    items = spark.createDataFrame(rows, "item long, key long")
+    got = joins.shared_key_pairs(items, "item", "key", 4).collect()
+    assert {(r.i, r.j) for r in got} == {(i, j) for i in range(300) for j in range(i + 1, 300) if i // 3 == j // 3}
+
+
+def test_overlaps_of_balls_of_many_sizes(spark):
+    rng = random.Random(6)
+    balls = [(rng.uniform(-4, 4), rng.uniform(-4, 4), rng.uniform(-4, 4), rng.choice([0.0, 0.01, 0.1, 0.25, 0.5, 1.0, 2.0, 1e-9])) for _ in range(250)]
+    balls += [(0.0, 0.0, 0.0, 1.0), (2.0, 0.0, 0.0, 1.0), (0.0, 0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 0.0)]  # touching balls and points don't overlap
+    discs = spark.createDataFrame([("a", 0, n, *b) for n, b in enumerate(balls)], "system_id string, structure_index int, point_index long, x double, y double, z double, radius double")
+    got = joins.overlap_pairs(discs, 2.0).collect()
+    far = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2
+    want = {(i, j) for i in range(len(balls)) for j in range(i + 1, len(balls)) if far(balls[i], balls[j]) < (balls[i][3] + balls[j][3]) ** 2}
+    assert len(got) == len(want) and {(r.i, r.j) for r in got} == want
+
+
+@pytest.mark.parametrize("pairs", [4, 400, 1_000_000])
+def test_group_contacts_of_crowded_cells(spark, monkeypatch, pairs):
+    """Clouds, points of one place at exactly the radius, and a lattice with many ties, against all pairs."""
+    monkeypatch.setattr(joins, "PAIRS", pairs)
+    rng = random.Random(7)
+    at = [tuple(rng.gauss(0, 0.3) for _ in range(3)) for _ in range(120)]
+    at += [(3.0, 0.0, 0.0)] * 9 + [(4.0, 0.0, 0.0)] * 9 + [(n % 4 / 2 - 8, n // 4 % 4 / 2, n // 16 / 2) for n in range(64)]
+    label = [rng.randrange(4) for _ in at]
+    rows = [("a", 0, n, *p, g) for n, (p, g) in enumerate(zip(at, label, strict=True))]
+    points = spark.createDataFrame(rows, "system_id string, structure_index int, point_index long, x double, y double, z double, g int")
+    want = collections.Counter()
+    for i, j in itertools.combinations(range(len(at)), 2):
+        if label[i] != label[j] and sum((p - q) ** 2 for p, q in zip(at[i], at[j], strict=True)) <= 1.0:
+            want[min(label[i], label[j]), max(label[i], label[j])] += 1
+    got = joins.group_contacts(points, 1.0, "g").collect()
+    assert {(r.a, r.b): r.n_pairs for r in got} == dict(want)
+
+
+def test_group_contacts_of_a_million_points_in_a_cell(spark):
+    """Two groups of half a million within the radius of each other: counted, not paired."""
+    n = F.col("id")
+    points = spark.range(1_000_000).select(F.lit("a").alias("system_id"), F.lit(0).alias("structure_index"), n.alias("point_index"), *[(F.pmod(n * m, F.lit(1009)) / 1e4).alias(x) for m, x in zip((7, 31, 101), "xyz", strict=True)], (n % 2).alias("g"))
+    assert [(r.a, r.b, r.n_pairs) for r in joins.group_contacts(points, 1.0, "g").collect()] == [(0, 1, 250_000_000_000)]
+
+
+def test_depth_of_a_long_path_and_in_parts(spark):
+    path = spark.range(10_000).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    got = bfs_depth(path, 3_000).collect()
+    assert {r.node: r.depth for r in got} == {n: abs(n - 3_000) for n in range(10_001)}
+    assert len(tracker.getJobIdsForGroup(None)) - before < 100
+    rng = random.Random(8)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(70)] + [(0, n) for n in range(60, 90)] + [(5, 5)]
+    depth, front = {0: 0}, [0]
+    while front:
+        beside = {b for x in front for e in edges for a, b in (e, e[::-1]) if a == x and b not in depth}
+        depth.update(dict.fromkeys(beside, depth[front[0]] + 1))
+        front = sorted(beside)
+    for most in (None, 0, 2):
+        want = {n: d for n, d in depth.items() if most is None or d <= most}
+        numbers = spark.createDataFrame(edges, "src long, dst long")
+        assert {r.node: r.depth for r in bfs_depth(numbers, 0, max_depth=most, chunk=12).collect()} == want
+        assert {r.node: r.depth for r in bfs_depth(numbers, 0, max_depth=most).collect()} == want
