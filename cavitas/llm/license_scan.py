@@ -7,18 +7,21 @@ that ends there - and its right-maximal matches of ``LEAST`` words or more are
 chained, per template, into covered spans: the best chain takes matches in the order of both
 texts, at most ``GAP`` words apart, for the weight of their words less ``PENALTY`` a skipped word. Words without a
 meaning of their own (``LIGHT``) weigh ``LIGHT_WEIGHT``, all others 1. A chain with at least ``COVER`` of its template's
-weight is a span with its label, unless it overlaps a span of more weight. The base phrases are templates
-too; all their places are counted.
+weight is a span with its label, unless it overlaps a span of more weight. Words that name a licence (``NAMES``) tell
+siblings apart: a chain of a template that has such words is no span unless all of them stand in it, as does the
+version that its label states; no such chain runs over a name that its template lacks, nor ends beside one of the
+``VARIANTS``. The base phrases are templates too; all their places are counted.
 
 Defined results: a null text counts as empty; without a base phrase first and
 last word are null; repeated rows give repeated rows; null ids pass through;
 an empty table gives no rows; other columns are not read. Score is the largest
-share of a template's weight that a chain covers (a base phrase in place: 1). Spans count words from 0, ends
+share of a template's weight that a chain covers, whether or not its names stand there (a base phrase in place: 1). Spans count words from 0, ends
 exclusive, by start; of equal chains the one that ends first is taken.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 from functools import lru_cache
 
@@ -53,15 +56,47 @@ TEMPLATES = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "lgpl": ["under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"],
-    "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "lgpl": [
+        "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "licensed under the GNU Lesser General Public License",
+    ],
+    "agpl": [
+        "under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "licensed under the GNU Affero General Public License",
+    ],
+    "bsd": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "licensed under the BSD 3-Clause License",
+        "licensed under the BSD 2-Clause License",
+    ],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"],
     "isc": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0."],
-    "cc-by-sa": ["licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc-by": ["licensed under a Creative Commons Attribution 4.0 International License"],
 }
+TEMPLATES["mit"].append("MIT License")
+
+#: Terms of the Creative Commons licences, with their names.
+TERMS = {"nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+for _terms in ((), ("nc",), ("sa",), ("nd",), ("nc", "sa"), ("nc", "nd")):
+    _code = "-".join(("by", *_terms))
+    TEMPLATES[f"cc-{_code}"] = [
+        f"Licensed under CC {_code} 4.0.",
+        f"licensed under a Creative Commons {'-'.join(('Attribution', *map(TERMS.get, _terms)))} 4.0 International License",
+        f"SPDX-License-Identifier: CC-{_code}-4.0",
+    ]
+#: Public identifiers of licences, by label.
+IDENTIFIERS = {
+    "mit": ["MIT"], "apache-2.0": ["Apache-2.0"], "gpl": ["GPL-2.0-only", "GPL-3.0-only", "GPL-3.0-or-later"], "lgpl": ["LGPL-2.1-only", "LGPL-3.0-or-later"],
+    "agpl": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "bsd": ["BSD-2-Clause", "BSD-3-Clause"], "mpl-2.0": ["MPL-2.0"], "isc": ["ISC"], "unlicense": ["Unlicense"],
+}
+for _label, _ids in IDENTIFIERS.items():
+    TEMPLATES[_label] += [f"SPDX-License-Identifier: {x}" for x in _ids]
+
+#: Words that vary a licence's name, and all words that name licences.
+VARIANTS = {b"nc", b"sa", b"nd", b"noncommercial", b"sharealike", b"noderivatives", b"lesser", b"affero"}
+NAMES = VARIANTS | {b"mit", b"apache", b"gnu", b"gpl", b"lgpl", b"agpl", b"bsd", b"mozilla", b"mpl", b"isc", b"unlicense", b"unlicensed", b"commons", b"attribution", b"cc", b"spdx"}
 
 _KEEP = bytes(b | 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -122,6 +157,9 @@ class Scanner:
         self.number: dict[bytes, int] = {}
         sequences = [[self.number.setdefault(w, len(self.number)) for w in s] for s in split]
         self.sizes = [len(s) for s in sequences]
+        #: words that must stand in a span of each template: its names and its label's version
+        self.names = [NAMES & set(s) for s in split]
+        self.telling = [own | ({x.encode() for x in re.findall(r"\d+", label)[:1]} & set(s)) for own, label, s in zip(self.names, self.labels, split, strict=True)]
         #: weight of the first words of each template
         self.weights = [np.concatenate([[0], np.cumsum([LIGHT_WEIGHT if w in LIGHT else 1.0 for w in map(bytes.decode, s)])]).tolist() for s in split]
         self.n_base = len(BASE)
@@ -166,30 +204,43 @@ class Scanner:
                     yield number, end
             up = -1 if self.automaton.length[up] < 2 else self.automaton.link[up]
 
-    def chains(self, found) -> list[tuple[int, int, int, float]]:
-        """(template, start, end, share of its weight) of the best chains of each template, which do not overlap."""
+    def chains(self, found, words: list[bytes]) -> list[tuple[int, int, int, float, bool]]:
+        """(template, start, end, share of its weight, whether its telling words stand there) of the best chains of each template, which do not overlap."""
         placed: dict[int, list[tuple[int, int, int]]] = {}
         for start, length, state in found:
-            for number, end in self.automaton.ends[state]:
-                if number >= self.n_base and length >= min(LEAST, self.sizes[number]):
-                    placed.setdefault(number, []).append((start, start + length, end))
+            stop, seen = start + length, set()
+            while length >= 2:  # templates that have but the last words of the match are further up the suffix links
+                for number, end in self.automaton.ends[state] - seen:
+                    if number >= self.n_base and length >= min(LEAST, self.sizes[number]):
+                        placed.setdefault(number, []).append((stop - length, stop, end))
+                seen |= self.automaton.ends[state]
+                state = self.automaton.link[state]
+                length = self.automaton.length[state]
+        named = [at for at, word in enumerate(words) if word in NAMES] if placed else []
         out = []
         for number, matches in placed.items():
-            weight = self.weights[number]
-            best = best_chains(matches, weight)
+            weight, own = self.weights[number], self.names[number]
+            best = []
+            for part in _between(matches, [at for at in named if words[at] not in own] if own else []):
+                best += best_chains(part, weight)
             taken: list[tuple[int, int]] = []
-            for _, start, end, covered in sorted(best, key=lambda c: (-c[0], c[2])):
+            told = [(self._told(number, start, end, words), value, start, end, covered) for value, start, end, covered in best]
+            for tells, _, start, end, covered in sorted(told, key=lambda c: (not c[0], -c[1], c[3])):
                 if _take(taken, start, end):
-                    out.append((number, start, end, min(1.0, covered / weight[-1])))
+                    out.append((number, start, end, min(1.0, covered / weight[-1]), tells))
         return out
 
-    def spans(self, found) -> tuple[list[tuple[str, int, int, float]], float]:
+    def _told(self, number: int, start: int, end: int, words: list[bytes]) -> bool:
+        beside = {*words[max(0, start - 1) : start], *words[end : end + 1]} & VARIANTS if self.names[number] else ()
+        return not beside and self.telling[number] <= set(words[start:end])
+
+    def spans(self, found, words: list[bytes]) -> tuple[list[tuple[str, int, int, float]], float]:
         """(label, start, end, share) of covered template spans, and the largest share of any chain."""
-        chains = self.chains(found)
+        chains = self.chains(found, words)
         kept: list[tuple[str, int, int, float]] = []
-        full = [c for c in chains if c[3] >= COVER]
+        full = [c for c in chains if c[4] and c[3] >= COVER]
         taken: list[tuple[int, int]] = []
-        for number, start, end, share in sorted(full, key=lambda c: (-c[3] * self.weights[c[0]][-1], c[1:])):
+        for number, start, end, share, _ in sorted(full, key=lambda c: (-c[3] * self.weights[c[0]][-1], c[1:])):
             if _take(taken, start, end):
                 kept.append((self.labels[number], start, end, share))
         return sorted(kept, key=lambda k: k[1:]), max((c[3] for c in chains), default=0.0)
@@ -201,11 +252,19 @@ class Scanner:
         found, places = self.matches(words)
         starts = [end - self.sizes[number] for number, end in places]
         base = {self.labels[number] for number, _ in places}
-        spans, share = self.spans(found)
+        spans, share = self.spans(found, words)
         labels = base | {label for label, *_ in spans}
         return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else share, spans
 
 
+def _between(matches: list[tuple[int, int, int]], bars: list[int]) -> list[list[tuple[int, int, int]]]:
+    """Matches by the bars that they lie between; none holds one."""
+    parts: dict[int, list[tuple[int, int, int]]] = {}
+    for match in matches:
+        parts.setdefault(bisect(bars, match[0]), []).append(match)
+    return list(parts.values())
+
+
 def _take(taken: list[tuple[int, int]], start: int, end: int) -> bool:
     """Adds a span to the sorted ``taken`` if it overlaps none of them."""
     at = bisect(taken, (start, end))

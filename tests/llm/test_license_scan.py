@@ -110,3 +110,43 @@ def test_matching_statistics():
 
 def test_empty(docs):
     assert license_scan.scan(docs([])).count() == 0
+
+
+def labels_of(text):
+    s = license_scan.scanner()
+    out = s.scan(text.encode())
+    return set(filter(None, out[5].split(","))) - set(filter(None, out[4].split(",")))
+
+
+def test_siblings_are_told_apart():
+    """Every notice of every licence, put among words, has its own label and no other of the method's."""
+    rng = random.Random(9)
+    filler = "the report was read in the town hall and license fees of the version were paid under protest by all".split()
+    for label, texts in license_scan.TEMPLATES.items():
+        for text in texts:
+            around = [" ".join(rng.choices(filler, k=9)) for _ in range(2)]
+            got = labels_of(f"{around[0]}. {text} {around[1]}") | ({label} & set(license_scan.BASE.values()))
+            assert got == {label}, (text, got)
+
+
+def test_notices_named_right():
+    for text, label in {
+        "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License": "cc-by-nc",
+        "Licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License": "cc-by-nc-nd",
+        "The MIT License": "mit",
+        "SPDX-License-Identifier: Apache-2.0": "apache-2.0",
+        "It is licensed under the GNU Affero General Public License, version 3": "agpl",
+        "photos licensed under CC BY-NC-SA 4.0": "cc-by-nc-sa",
+    }.items():
+        assert labels_of(text) == {label}, text
+    assert labels_of("Licensed under the MIT License or the Apache License, Version 2.0, at your option") == {"mit", "apache-2.0"}
+
+
+def test_near_siblings_have_no_label():
+    for text in (
+        "licensed under the same flag, version 2.0", "Licensed under the Apache License, Version 1.1", "licensed under a creative attribution 4.0 international treaty", "licensed under the BSA 3-clause license",
+        "released under the name of the license", "under the terms of the general license as published by the office", "you may obtain a copy of the license at the desk", "the license identifier is missing",
+        "licensed under CC 4.0", "a creative commons for all", "this program is free for you to use and to modify", "subject to the terms of the public house, v. 2.0", "licensed under the lesser public house",
+        "permission is granted to any person", "redistributions of wealth must retain the above", "this is free and open", "released into the public domain by the state", "licensed under a common attribution", "version 2.0 of the license fee", "under the lesser general's terms",
+    ):
+        assert labels_of(text) == set(), text
