@@ -179,6 +179,14 @@ def natural_order(features: DataFrame, column: str = "feature_id") -> DataFrame:
     return features.orderBy(*L.natural_key(F.col(column)))
 
 
+def descriptions(features: DataFrame) -> DataFrame:
+    """``feature_id, feature_type, shape_type, description``, such as ``<BaseRim with feature_id=BAS-1>``; without an id, ``None``."""
+    words = F.replace(F.initcap(F.replace("feature_type", F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))
+    name = F.when(F.col("feature_type").rlike("^feature[012]d$"), F.regexp_replace(words, "d$", "D")).otherwise(words)
+    text = F.concat(F.lit("<"), F.coalesce(name, F.lit("None")), F.lit(" with feature_id="), F.coalesce("feature_id", F.lit("None")), F.lit(">"))
+    return features.select("feature_id", "feature_type", "shape_type", text.alias("description"))
+
+
 class Registry:
     """The tables with their rules: a thin facade, each change gives a new registry."""
 
@@ -324,6 +332,9 @@ class Registry:
     def info(self) -> DataFrame:
         return info(self.features)
 
+    def describe(self) -> DataFrame:
+        return descriptions(self.features)
+
     def __repr__(self) -> str:
         counts = self.features.groupBy("feature_type").count().orderBy("feature_type").collect()  # types are few
         return f"<Registry {', '.join(f'{t}={n}' for t, n in counts)}>"

@@ -343,6 +343,12 @@ def registry_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record(features(spark, sf_dir))
 
 
+@query(f"""WITH {_FEATURES} SELECT feature_id, feature_type, shape_type, '<' || CASE feature_type WHEN 'base_rim' THEN 'BaseRim' ELSE upper(feature_type[1]) || feature_type[2:] END
+  || ' with feature_id=' || feature_id || '>' AS description FROM f""")
+def registry_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registry.descriptions(features(spark, sf_dir))
+
+
 @query(f"""WITH {_FEATURES}, shapes AS (SELECT unnest(['point', 'boundary', 'concavity', 'convexity', 'mixed']) AS name), dims AS (SELECT unnest([0, 1, 2]) AS name)
 SELECT 'type' AS kind, feature_type AS name, count(*) AS n FROM f GROUP BY feature_type
 UNION ALL SELECT 'shape', name, count(feature_id) FROM shapes LEFT JOIN f ON shape_type = name GROUP BY name

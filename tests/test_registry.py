@@ -151,3 +151,9 @@ def test_checks(spark):
     with pytest.raises(ArgumentError):
         checks.existing("/no/such/file")
     assert spark.range(1).select(checks.to_unit(F.lit(100.0), "nm", 2).alias("v")).first().v == pytest.approx(1)
+
+
+def test_descriptions(spark):
+    rows = [("BAS-1", "base_rim", "boundary"), ("F-1", "feature1d", "boundary"), (None, "pocket", "concavity"), ("X", None, None)]
+    got = R.descriptions(spark.createDataFrame(rows, "feature_id string, feature_type string, shape_type string")).collect()
+    assert [r.description for r in got] == ["<BaseRim with feature_id=BAS-1>", "<Feature1D with feature_id=F-1>", "<Pocket with feature_id=None>", "<None with feature_id=X>"]
