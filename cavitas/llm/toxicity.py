@@ -1,11 +1,14 @@
 """Toxicity by a bidirectional GRU with attention pooling, trained in numpy.
 
 A word's input is made of its own hashed table and of the tables of its hashed
-character n-grams (with marks at both ends): how strongly each goes with the
-label, as a smoothed z-score over the training documents, and trained
-embeddings. Windows of ``STEPS`` words, each overlapping the next, run through
-a GRU in both directions; attention pools its states into a logit. A document's
-score is the calibrated largest logit of all its windows.
+character n-grams (with marks at both ends): trained embeddings (of the
+n-grams, each dimension's largest), and how strongly each goes with the label,
+as a smoothed z-score over the training documents. Embeddings start at zero and
+are trained only for words and n-grams of several texts; in training, words
+lose their embeddings and windows their z-scores at random, so that the network
+learns from each without the other. Windows of ``STEPS`` words, each overlapping
+the next, run through a GRU in both directions; attention pools its states into
+a logit. A document's score is the calibrated largest logit of all its windows.
 
 The model is fitted on a sample of about ``SAMPLE`` labelled documents of each
 class, by hash of the id, of those with crc32(doc_id as text) mod 3 not 1. Labels, lang,
@@ -34,12 +37,17 @@ from cavitas.session import ship, table
 
 SAMPLE = 1500
 STEPS, STRIDE = 24, 16
-HIDDEN, EMBED = 8, 4
+HIDDEN, EMBED = 8, 8
 GRAMS = (5, 6, 7)
 TABLE_BITS = 20
-EMBED_SLOTS = 1 << 15
+EMBED_SLOTS = 1 << 18
 INPUTS = 4 + 2 * EMBED
 THRESHOLD = 0.7
+#: Training: rates of the network and of the embeddings, and shares of words whose own embedding, of words whose
+#: embeddings, and of windows whose scores are put to zero.
+RATE, EMBED_RATE, WORD_DROP, BOTH_DROP, SCORE_DROP = 0.01, 0.03, 0.3, 0.1, 0.3
+#: Words and n-grams in fewer training texts have no embedding: they could only be learned by heart.
+MIN_TEXTS = 10
 #: Words whose projected inputs a task keeps.
 WORDS = 200_000
 
@@ -72,7 +80,9 @@ def slots(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = at[owner[at] == owner[at + n - 1]]
         grams.append(_range_hashes(total, at, at + n))
         of.append(owner[at])
-    return own.astype(np.int64), np.concatenate(grams).astype(np.int64), np.concatenate(of)
+    of = np.concatenate(of)
+    order = np.argsort(of, kind="stable")
+    return own.astype(np.int64), np.concatenate(grams).astype(np.int64)[order], of[order]
 
 
 def windows_of(n: int) -> np.ndarray:
@@ -153,12 +163,20 @@ def _inputs(found, n: int, word_z, gram_z, word_e, gram_e) -> np.ndarray:
     x[:, 2] = np.bincount(of, z, minlength=n) / count
     x[:, 3] = 1
     x[:, 4 : 4 + EMBED] = word_e[own % EMBED_SLOTS]
-    e = gram_e[grams % EMBED_SLOTS]
-    for d in range(EMBED):
-        x[:, 4 + EMBED + d] = np.bincount(of, e[:, d], minlength=n) / count
+    if len(of):
+        starts = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        x[of[starts], 4 + EMBED :] = np.maximum.reduceat(gram_e[grams % EMBED_SLOTS], starts, axis=0)
     return x
 
 
+def _texts_of(slot_sets: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+    """In how many of the texts each embedding's slot is; texts of one key count once."""
+    seen = np.zeros(EMBED_SLOTS, np.int32)
+    for i in np.unique(key, return_index=True)[1].tolist():
+        seen[np.unique(slot_sets[i] % EMBED_SLOTS)] += 1
+    return seen
+
+
 def _sketch(slot: np.ndarray) -> int:
     """The least hash of a text's runs of five words: most near copies have one in common."""
     found = gram_hashes(mix(slot.astype(np.uint64)), min(5, len(slot))) if len(slot) else slot
@@ -237,7 +255,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, valid: np.ndarray, y: np.
     return loss, g, dx
 
 
-def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int] | None = None, rounds: int = 500, batch: int = 128, seed: int = 7) -> Model | None:
+def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int] | None = None, rounds: int = 300, batch: int = 128, seed: int = 7) -> Model | None:
     """Fits the tables' z-scores, then the network on windows, then the calibration on documents.
 
     ``sizes`` are the classes' documents that the texts are a sample of; the calibration weighs by them.
@@ -250,16 +268,18 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int] | None = N
     docs = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
     vocabulary = list(number)
     own, grams, of = slots(vocabulary)
-    edges = np.searchsorted(np.sort(of, kind="stable"), np.arange(len(vocabulary) + 1))
-    by_word = grams[np.argsort(of, kind="stable")]
+    edges = np.searchsorted(of, np.arange(len(vocabulary) + 1))
+    by_word = grams
     word_sets = [np.unique(own[d]) for d in docs]
     gram_sets = [np.unique(np.concatenate([by_word[edges[i] : edges[i + 1]] for i in np.unique(d)])) if len(d) else np.zeros(0, np.int64) for d in docs]
     key = np.array([_sketch(own[d]) for d in docs], np.uint64)
     word_z, gram_z = _z_scores(word_sets, labels, key), _z_scores(gram_sets, labels, key)
     fold = (key % np.uint64(2)).astype(np.int64)
     by_fold = [tuple(_z_scores([x for x, f in zip(sets, fold, strict=True) if f != k], labels[fold != k], key[fold != k]) for sets in (word_sets, gram_sets)) for k in (0, 1)]
-    word_e = (rng.standard_normal((EMBED_SLOTS, EMBED)) * 0.02).astype(np.float32)
-    gram_e = (rng.standard_normal((EMBED_SLOTS, EMBED)) * 0.02).astype(np.float32)
+    # zero at first, so that a word never trained on says nothing
+    word_e, gram_e = (np.zeros((EMBED_SLOTS, EMBED), np.float32) for _ in range(2))
+    common = [_texts_of(sets, key) >= MIN_TEXTS for sets in (word_sets, gram_sets)]
+    squares = [np.full(EMBED_SLOTS, 1e-4, np.float32) for _ in range(2)]
     signal = np.stack([_inputs((own, grams, of), len(vocabulary), *z, word_e, gram_e)[:, :2].max(axis=1) for z in by_fold])
 
     place, owner = [], []
@@ -301,19 +321,30 @@ def train(texts: list[str], labels: np.ndarray, sizes: dict[int, int] | None = N
         x_seen = _inputs((own[seen], by_word[pick], of_seen), len(seen), *by_fold[0], word_e, gram_e)
         odd = _inputs((own[seen], by_word[pick], of_seen), len(seen), *by_fold[1], word_e, gram_e)
         x_seen = np.where(side[:, None] == 0, x_seen, odd)
-        x = x_seen[where] * valid[rows][:, :, None]
+        keep = np.ones((batch, STEPS, INPUTS), np.float32) * valid[rows][:, :, None]
+        keep[:, :, :3] *= rng.random((batch, 1, 1)) >= SCORE_DROP
+        keep[:, :, 4 : 4 + EMBED] *= rng.random((batch, STEPS, 1)) >= WORD_DROP
+        keep[:, :, 4:] *= rng.random((batch, STEPS, 1)) >= BOTH_DROP
+        x = x_seen[where] * keep
         _, g, dx = gradients(p, x, valid[rows], y)
-        rate = 0.01 * min(1, 3 * (1 - step / (rounds + 1)))
+        fall = min(1, 3 * (1 - step / (rounds + 1)))
         for k in p:
             first[k] += 0.1 * (g[k] - first[k])
             second[k] += 0.001 * (g[k] ** 2 - second[k])
-            p[k] = p[k] - np.float32(rate) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
-        dx *= valid[rows][:, :, None]
+            p[k] = p[k] - np.float32(RATE * fall) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-7)
         total = np.zeros((len(seen), INPUTS), np.float32)
-        np.add.at(total, where.ravel(), dx.reshape(-1, INPUTS))
-        np.add.at(word_e, own[seen] % EMBED_SLOTS, -np.float32(rate) * total[:, 4 : 4 + EMBED])
-        share = total[of_seen, 4 + EMBED :] / np.maximum(n_grams, 1)[of_seen][:, None]
-        np.add.at(gram_e, by_word[pick] % EMBED_SLOTS, -np.float32(rate) * share)
+        np.add.at(total, where.ravel(), (dx * keep).reshape(-1, INPUTS))
+        of_word, of_gram = own[seen] % EMBED_SLOTS, by_word[pick] % EMBED_SLOTS
+        largest = gram_e[of_gram] == x_seen[of_seen, 4 + EMBED :]
+        for embeddings, square, at, grad, seen_enough in (
+            (word_e, squares[0], of_word, total[:, 4 : 4 + EMBED], common[0]),
+            (gram_e, squares[1], of_gram, total[of_seen, 4 + EMBED :] * largest, common[1]),
+        ):
+            chosen = seen_enough[at]
+            some, back = np.unique(at[chosen], return_inverse=True)
+            summed = np.stack([np.bincount(back, grad[chosen, d], minlength=len(some)) for d in range(EMBED)], axis=1).astype(np.float32)
+            square[some] += (summed**2).mean(axis=1)
+            embeddings[some] -= np.float32(EMBED_RATE * fall) * summed / np.sqrt(square[some])[:, None]
 
     p = {k: v.astype(np.float32) for k, v in p.items()}
     seen = Evidence(len(docs))

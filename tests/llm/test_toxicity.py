@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -80,6 +81,83 @@ def test_gradients():
             assert abs((high - low) / 2e-2 - grad[at]) < 2e-3 + 0.05 * abs(grad[at])
 
 
+def test_forward_pass_against_plain_loops():
+    docs, labels = rows(150)
+    model = tx.train([t for _, t in docs], np.array([y for *_, y in labels]), rounds=40)
+    p, H = {k: v.astype(float) for k, v in model.p.items()}, tx.HIDDEN
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    of = lambda table, key: table[key % tx.EMBED_SLOTS].astype(float)
+
+    def word_input(w):
+        own, grams, _ = tx.slots([w])
+        z = [float(model.gram_z[g]) for g in grams]
+        own_e = of(model.word_e, own[0])
+        gram_e = [max(of(model.gram_e, g)[d] for g in grams) if len(grams) else 0.0 for d in range(tx.EMBED)]
+        return [float(model.word_z[own[0]]), max(z, default=0.0), sum(z) / max(1, len(z)), 1.0, *own_e, *gram_e]
+
+    def states(x, side):
+        W, U, b = p[f"W{side}"], p[f"U{side}"], p[f"b{side}"]
+        h, out = [0.0] * H, []
+        for row in x:
+            gi = [b[j] + sum(row[i] * W[i][j] for i in range(len(row))) for j in range(3 * H)]
+            gh = [sum(h[i] * U[i][j] for i in range(H)) for j in range(3 * H)]
+            z = [sigmoid(gi[j] + gh[j]) for j in range(H)]
+            r = [sigmoid(gi[H + j] + gh[H + j]) for j in range(H)]
+            new = [math.tanh(gi[2 * H + j] + r[j] * gh[2 * H + j]) for j in range(H)]
+            h = [new[j] + z[j] * (h[j] - new[j]) for j in range(H)]
+            out.append(h)
+        return out
+
+    def logit(words):
+        x = [word_input(w) for w in words] + [[0.0] * tx.INPUTS] * (tx.STEPS - len(words))
+        both = [f + b for f, b in zip(states(x, "f"), states(x[::-1], "b")[::-1], strict=True)][: len(words)]
+        energy = [sum(a * w for a, w in zip(s, p["w"], strict=True)) for s in both]
+        weight = [math.exp(e - max(energy)) for e in energy]
+        pooled = [sum(a * s[j] for a, s in zip(weight, both, strict=True)) / sum(weight) for j in range(2 * H)]
+        return p["b"][0] + sum(a * u for a, u in zip(pooled, p["u"], strict=True))
+
+    texts = [docs[0][1], docs[3][1], "grumbug", "lodor a zonkheads miban", "lodor " * 7]
+    expected = []
+    for text in texts:
+        words = tx.words_of(text)
+        logits = [logit(words[a : a + tx.STEPS]) for a in tx.windows_of(len(words)).tolist()]
+        features = [1.0, max(logits), math.log(sum(map(sigmoid, logits)) + 1e-3), math.log1p(len(logits))]
+        expected.append(sigmoid(sum(f * c for f, c in zip(features, model.calibration, strict=True))))
+    assert np.allclose(tx.Scorer(model).scores(texts), expected, atol=1e-4)
+
+
+def _auc(scores, labels):
+    high, low = scores[labels == 1], scores[labels == 0]
+    return float(np.mean(high[:, None] > low[None]) + np.mean(high[:, None] == low[None]) / 2)
+
+
+def test_embeddings_and_scores_each_tell_the_label():
+    docs, labels = rows(900)
+    y = np.array([y for *_, y in labels])
+    texts = [t for _, t in docs]
+    model = tx.train(texts[:600], y[:600])
+    held, truth = texts[600:], y[600:]
+    assert _auc(tx.Scorer(model).scores(held), truth) > 0.97
+    none = [np.zeros_like(t) for t in (model.word_z, model.gram_z)]
+    without_scores = tx.Model(*none, model.word_e, model.gram_e, model.p, model.calibration)
+    assert _auc(tx.Scorer(without_scores).scores(held), truth) > 0.93
+    blank = [np.zeros_like(t) for t in (model.word_e, model.gram_e)]
+    without_embeddings = tx.Model(model.word_z, model.gram_z, *blank, model.p, model.calibration)
+    assert _auc(tx.Scorer(without_embeddings).scores(held), truth) > 0.93
+
+
+def test_planted_spellings():
+    docs, labels = rows(900)
+    model = tx.train([t for _, t in docs], np.array([y for *_, y in labels]))
+    clean = [t for (_, t), (*_, y) in zip(docs, labels, strict=True) if not y and len(t.split()) > 20][:40]
+    plain = tx.Scorer(model).scores(clean)
+    for spelling in ("grumbugging", "zonkheadly", "xvilefoo"):  # never seen in training
+        planted = [" ".join([*t.split()[:10], spelling, spelling, *t.split()[10:]]) for t in clean]
+        found = tx.Scorer(model).scores(planted)
+        assert np.mean(found > plain) > 0.95 and np.mean(found >= tx.THRESHOLD) > 0.8, spelling
+    assert np.mean(plain >= tx.THRESHOLD) < 0.1
+
+
 def test_unlearnable(spark, docs):
     none = spark.createDataFrame([], LABELS)
     one = spark.createDataFrame([(1, 0, 1), (2, 0, 1)], LABELS)
