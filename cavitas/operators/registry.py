@@ -187,6 +187,58 @@ def descriptions(features: DataFrame) -> DataFrame:
     return features.select("feature_id", "feature_type", "shape_type", text.alias("description"))
 
 
+def feature_atoms(features: DataFrame, atoms: DataFrame) -> DataFrame:
+    """``feature_id, place`` (from 0, in ``atom_indices``) and the atom's columns, of each feature's atoms.
+
+    A feature whose ``extra`` names a ``system_id`` has its atoms there, any other in every system of the table.
+    Features without indices, and indices without an atom, give no rows.
+    """
+    system = F.try_element_at(F.coalesce("extra", F.create_map().cast("map<string,string>")), F.lit("system_id"))
+    rows = features.select("feature_id", system.alias("__system"), F.posexplode("atom_indices").alias("place", "atom_index"))
+    named = rows.where("__system IS NOT NULL").withColumnRenamed("__system", "system_id").join(atoms, ["system_id", "atom_index"])
+    everywhere = rows.where("__system IS NULL").drop("__system").join(atoms, "atom_index")
+    columns = ["feature_id", "place", *atoms.columns]
+    return named.select(columns).unionByName(everywhere.select(columns))
+
+
+class Feature:
+    """One feature of a registry: its row's columns as attributes, and what belongs to it as tables."""
+
+    def __init__(self, registry: Registry, row: Row):
+        self.registry, self.row = registry, row
+
+    def __getattr__(self, name: str):
+        if name in ("row", "registry") or name not in self.row.__fields__:
+            raise AttributeError(name)
+        return self.row[name]
+
+    @property
+    def id(self) -> str:
+        return self.row["feature_id"]
+
+    @property
+    def molecular_system(self) -> DataFrame | None:
+        return self.registry.atoms
+
+    def atoms(self) -> DataFrame | None:
+        """`feature_atoms` of this one; None where no system is attached."""
+        one = self.registry.features.where(F.col("feature_id") == self.id)
+        return None if self.registry.atoms is None else feature_atoms(one, self.registry.atoms)
+
+    def children(self) -> DataFrame:
+        return self.registry.children_of(self.id)
+
+    def parents(self) -> DataFrame:
+        return self.registry.parents_of(self.id)
+
+    def info(self) -> dict[str, object]:
+        return {name: self.row[name] for name in ("feature_id", "feature_type", "shape_type", "dimensionality")}
+
+    def __repr__(self) -> str:
+        one = self.registry.spark.createDataFrame([tuple(self.info().values())[:3]], "feature_id string, feature_type string, shape_type string")
+        return descriptions(one).first()["description"]
+
+
 class Registry:
     """The tables with their rules: a thin facade, each change gives a new registry."""
 
@@ -257,7 +309,7 @@ class Registry:
         row = {"feature_type": type_name(feature_type), "feature_id": feature_id, "atom_indices": list(atom_indices) if atom_indices is not None else None}
         row |= {"atom_labels": sorted(atom_labels) if isinstance(atom_labels, (set, frozenset)) else atom_labels, "atom_label_format": atom_label_format}
         row |= {k: v for k, v in more.items() if k in kinds}
-        row["extra"] = {k: str(v) for k, v in more.items() if k not in kinds} or None
+        row["extra"] = {k: str(v) for k, v in ((more.get("extra") or {}) | {k: v for k, v in more.items() if k not in kinds}).items()} or None
         return self.add(self.spark.createDataFrame([tuple(row.values())], ", ".join(f"{k} {kinds[k]}" for k in row)), on_duplicate)
 
     def connect(self, child_id: str, parent_id: str) -> Registry:
@@ -312,9 +364,23 @@ class Registry:
     def items(self) -> Iterator[tuple[str, Row]]:
         return ((r["feature_id"], r) for r in self.values())
 
-    def copy(self) -> Registry:
-        """Tables do not change, so that a copy shares them."""
-        return self._with()
+    def copy(self, deep: bool = False) -> Registry:
+        """Tables do not change, so that a copy shares them; a deep one has checkpoints of its own, which outlive its sources."""
+        return self._with(**{name: cut(t) for name, t in (("features", self.features), ("relations", self.relations), ("atoms", self.atoms)) if t is not None}) if deep else self._with()
+
+    @property
+    def molecular_system(self) -> DataFrame | None:
+        return self.atoms
+
+    def feature(self, feature_id: str) -> Feature:
+        """A view of the feature with an id."""
+        return Feature(self, self[feature_id])
+
+    def atoms_of_features(self) -> DataFrame:
+        """`feature_atoms` of all features."""
+        if self.atoms is None:
+            raise ArgumentError("no molecular system is attached")
+        return feature_atoms(self.features, self.atoms)
 
     def next_id(self, feature_type: str) -> str:
         """The id that the next feature of a type gets."""

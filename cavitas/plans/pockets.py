@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from cavitas.operators.graph import bfs_depth, connected_components
 from cavitas.operators.joins import distance_pairs, group_contacts, sphere_neighbors
 from cavitas.operators.network import OUTSIDE
 from cavitas.session import cut
+from cavitas.sources.pdb import atoms_of
 
 CENTRE = ("cx", "cy", "cz")
 
@@ -94,9 +96,9 @@ def pockets_by_linkage(
     return members.join(fine, [*KEYS, "pocket_id"], "left_semi")
 
 
-def find_pockets(atoms: DataFrame, method: str = "contacts", selection="all", structures=None, **parameters) -> DataFrame:
-    """Pocket members with their spheres' geometry, from an atoms table."""
-    spheres = cut(alpha_spheres(heavy_points(atoms, selection, structures)))
+def find_pockets(system: DataFrame | str | Path | list, method: str = "contacts", selection="all", structures=None, **parameters) -> DataFrame:
+    """Pocket members with their spheres' geometry, from an atoms table or the paths of PDB files."""
+    spheres = cut(alpha_spheres(heavy_points(atoms_of(system), selection, structures)))
     pipeline = {"contacts": pockets_by_contacts, "linkage": pockets_by_linkage}[method]
     return pipeline(spheres, **parameters).join(spheres, [*KEYS, "sphere_id"])
 

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cavitas.functions.checks import ArgumentError
+
+#: Columns without which a table is no table of atoms.
+ATOM_COLUMNS = ("system_id", "structure_index", "atom_index", "x", "y", "z")
+
 
 def column(start: int, end: int) -> Column:
     """Columns ``start`` to ``end`` of a line, counted from 1, both included."""
@@ -41,6 +48,25 @@ def read_pdb(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_atoms(lines(spark, path))
 
 
+def atoms_of(system: DataFrame | str | Path | list | tuple, spark: SparkSession | None = None) -> DataFrame:
+    """The atoms table of a molecular system: such a table as it is, or the PDB files of one path or several.
+
+    Paths may be globs, on any file system that Spark reads; a `Path` is taken as absolute.
+    """
+    if isinstance(system, DataFrame):
+        missing = [c for c in ATOM_COLUMNS if c not in system.columns]
+        if missing:
+            raise ArgumentError(f"molecular system: a table of atoms needs {', '.join(missing)}")
+        return system
+    several = list(system) if isinstance(system, (list, tuple)) else [system]
+    if not several or not all(isinstance(p, (str, Path)) and str(p) for p in several):
+        raise ArgumentError(f"molecular system: a table of atoms or paths are needed, not {system!r}")
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        raise ArgumentError("molecular system: reading paths needs a session")
+    return read_pdb(spark, [str(p.absolute()) if isinstance(p, Path) else p for p in several])
+
+
 def parse_pqr(rows: DataFrame) -> DataFrame:
     """Vertices of PQR lines: position by columns, radius the last field."""
     fields = F.split(F.trim("value"), r"\s+")

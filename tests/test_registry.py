@@ -157,3 +157,36 @@ def test_descriptions(spark):
     rows = [("BAS-1", "base_rim", "boundary"), ("F-1", "feature1d", "boundary"), (None, "pocket", "concavity"), ("X", None, None)]
     got = R.descriptions(spark.createDataFrame(rows, "feature_id string, feature_type string, shape_type string")).collect()
     assert [r.description for r in got] == ["<BaseRim with feature_id=BAS-1>", "<Feature1D with feature_id=F-1>", "<Pocket with feature_id=None>", "<None with feature_id=X>"]
+
+
+def test_feature_views_and_atoms(spark, atoms):
+    other = atoms.withColumn("system_id", F.lit("y"))
+    made = R.Registry(spark, atoms=atoms.unionByName(other)).add_new("pocket", atom_indices=[4, 2], extra={"system_id": "no", "depth": 2}, system_id="y")
+    made = made.add_new("mouth", atom_indices=[0, 999]).add_new("void").connect("MOU-1", "POC-1")
+    pocket, mouth, void = (made.feature(i) for i in ("POC-1", "MOU-1", "VOI-1"))
+    assert pocket.id == pocket.feature_id == "POC-1" and repr(pocket) == "<Pocket with feature_id=POC-1>" and pocket.registry is made
+    assert pocket.info() == {"feature_id": "POC-1", "feature_type": "pocket", "shape_type": "concavity", "dimensionality": 2}
+    assert pocket.molecular_system is made.molecular_system is made.atoms
+    assert [r.child_id for r in pocket.children().collect()] == ["MOU-1"] and [r.parent_id for r in mouth.parents().collect()] == ["POC-1"]
+    assert [(r.place, r.system_id, r.atom_index) for r in pocket.atoms().orderBy("place").collect()] == [(0, "y", 4), (1, "y", 2)]
+    # no system named: the atom of each; an index without an atom: nothing
+    assert sorted((r.system_id, r.atom_index) for r in mouth.atoms().collect()) == [("x", 0), ("y", 0)] and void.atoms().count() == 0
+    assert sorted(r.feature_id for r in made.atoms_of_features().collect()) == ["MOU-1", "MOU-1", "POC-1", "POC-1"]
+    assert pocket.extra == {"system_id": "y", "depth": "2"}
+    with pytest.raises(AttributeError):
+        pocket.colour
+    with pytest.raises(KeyError):
+        made.feature("POC-9")
+    alone = made.with_atoms(None)
+    assert alone.feature("POC-1").atoms() is None and alone.molecular_system is None
+    with pytest.raises(ArgumentError):
+        alone.atoms_of_features()
+
+
+def test_deep_copies_outlive_their_sources(spark, tmp_path):
+    R.Registry(spark).add_new("pocket").features.write.parquet(str(tmp_path / "f"))
+    stored = R.Registry(spark, spark.read.parquet(str(tmp_path / "f")))
+    shallow, deep = stored.copy(), stored.copy(deep=True)
+    assert shallow.features is stored.features and deep.atoms is None
+    spark.range(0).write.mode("overwrite").parquet(str(tmp_path / "f"))
+    assert list(deep) == ["POC-1"] and "parquet" not in deep.features._jdf.queryExecution().toString()

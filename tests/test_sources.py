@@ -1,9 +1,15 @@
+import io
+import logging
+import warnings
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from cavitas import logs
+from cavitas.functions.checks import ArgumentError
 from cavitas.operators import selection as S
+from cavitas.plans.pockets import find_pockets
 from cavitas.sources import castp, fpocket, pdb
 
 POC = """ATOM     50  CB  ALA A  10      17.256  35.392  66.847  1.00 17.46   2  POC
@@ -180,3 +186,53 @@ def test_selection_text(spark):
     for bad in ("no_such in ['a']", "atom_type in ['a'", "atom_type like"):
         with pytest.raises(ValueError):
             S.select_atoms(atoms, bad)
+
+
+def test_molecular_systems(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / f"{name}.pdb").write_text(PDB)
+    whole = pdb.read_pdb(spark, str(tmp_path / "*.pdb"))
+    assert pdb.atoms_of(whole) is whole
+    for given, systems in (
+        (str(tmp_path / "one.pdb"), {"one"}), (tmp_path / "one.pdb", {"one"}), (str(tmp_path / "*.pdb"), {"one", "two"}),
+        ([tmp_path / "one.pdb", str(tmp_path / "two.pdb")], {"one", "two"}),
+    ):
+        got = pdb.atoms_of(given, spark)
+        assert {r.system_id for r in got.select("system_id").distinct().collect()} == systems and got.count() == 6 * len(systems)
+    for bad in (None, 7, [], [""], "", [1], whole.drop("x")):
+        with pytest.raises(ArgumentError):
+            pdb.atoms_of(bad, spark)
+
+
+def test_pockets_of_paths(spark, tmp_path):
+    grid = [(a * 3.5, b * 3.5, c * 3.5) for a in range(4) for b in range(4) for c in range(4) if (a, b, c) != (1, 1, 1)]
+    line = "ATOM  {0:5d}  C   ALA A{0:4d}    {1:8.3f}{2:8.3f}{3:8.3f}  1.00  1.00           C\n"
+    (tmp_path / "grid.pdb").write_text("".join(line.format(i + 1, x + 0.01 * (i % 7), y + 0.01 * (i % 5), z + 0.01 * (i % 3)) for i, (x, y, z) in enumerate(grid)))
+    parameters = {"min_radius": 2.0, "max_radius": 6.0, "cut_distance": 3.0, "min_spheres": 1}
+    by_path = find_pockets(tmp_path / "grid.pdb", "linkage", **parameters).select("pocket_id", "sphere_id").collect()
+    by_table = find_pockets(pdb.read_pdb(spark, str(tmp_path / "grid.pdb")), "linkage", **parameters).select("pocket_id", "sphere_id").collect()
+    assert by_path and sorted(by_path) == sorted(by_table)
+
+
+def test_log(monkeypatch):
+    log, other, out = logging.getLogger(logs.NAME), logging.getLogger("py.warnings"), io.StringIO()
+    monkeypatch.setattr(log, "handlers", [])
+    monkeypatch.setattr(other, "handlers", [])
+    monkeypatch.setattr(warnings, "formatwarning", warnings.formatwarning)
+    try:
+        assert logs.start_log("info", out) is log and log.level == logging.INFO
+        log.info("read")
+        log.debug("not shown")
+        with warnings.catch_warnings():
+            warnings.simplefilter("always")
+            logging.captureWarnings(True)
+            warnings.warn("no is_apolar", UserWarning, stacklevel=1)
+        logs.start_log("no such level")
+        log.info("not shown either")
+        assert log.level == logging.WARNING and len(log.handlers) == len(other.handlers) == 1
+        assert out.getvalue().rstrip().split("\n") == ["CAVITAS INFO | read", "CAVITAS WARNING | UserWarning: no is_apolar"]
+    finally:
+        logging.captureWarnings(False)
+        for one in (log, other):
+            one.propagate = True
+            one.setLevel(logging.NOTSET)
