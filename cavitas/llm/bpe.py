@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding, with tree concatenation of long text.
 
 Ids are those of the tokenizers library's own pre-tokenizer and model for the
-given vocabulary file. Texts repeat their chunks (a space and what follows it), so a
-task keeps the ids of chunks it has seen. A text over ``LEAF`` characters is
+given vocabulary file. Plain texts are encoded many at once (`merges`); of others a
+task keeps the ids of chunks (a space and what follows it) it has seen. A text over ``LEAF`` characters is
 cut between chunks into rows that are encoded in parallel; a pre-token
 over ``LEAF`` bytes, which nothing splits, is cut into halves again and again,
 the leaves are encoded in parallel, and neighbours are then joined pair by pair:
@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cavitas.llm.common import documents, map_batches
+from cavitas.llm.merges import Merges, Plain
 from cavitas.session import ship
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -38,6 +39,10 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 1 << 16
 #: Chunks, and pre-tokens, whose ids a Python worker keeps (about 0.4 kB a pair).
 CHUNKS = 150_000
+#: Pre-tokens of under so many characters are kept; of as many bytes at most, encoded together.
+SHORT = 64
+#: Bytes of plain text that are encoded together.
+TOGETHER = 1 << 19
 #: Chunks of Latin letters, digits and signs but the apostrophe, with single line
 #: ends between: their pre-tokens are runs of one kind, and the line ends.
 _LETTERS, _SIGNS = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F", r"!-&(-/:-@\[-`{-~"
@@ -88,6 +93,8 @@ class Encoder:
         self.special = {t.content: np.uint32(i).tobytes() for i, t in added.items()}
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.plain_special = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        merges = Merges.of(self.tokenizer, ALPHABET)
+        self.plain = merges and Plain(merges, keep, SHORT)
         self.chunks: dict[str, bytes] = {}
         self.tokens: dict[str, bytes] = {}
 
@@ -100,6 +107,22 @@ class Encoder:
             return b"".join(self.special[p] if i % 2 else self._encode(p) for i, p in enumerate(parts))
         return self._encode(text)
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """`encode` of each text, plain texts many at once."""
+        if self.plain is None:
+            return [self.encode(t) for t in texts]
+        out: list[bytes | None] = []
+        held: list[bytes] = []
+        size = 0
+        for text in texts:
+            held.append(text.encode())
+            size += len(held[-1])
+            if size > TOGETHER:
+                out += self.plain.encode(held)
+                held, size = [], 0
+        out += self.plain.encode(held)
+        return [self.encode(t) if x is None or any(s in t for s in self.special) else x for t, x in zip(texts, out, strict=True)]
+
     def _encode(self, text: str) -> bytes:
         if not text:
             return b""
@@ -138,7 +161,7 @@ class Encoder:
         if ids is None:
             mapped = "\u0120" + text[1:] if text.isascii() and text[0] == " " else text.encode().decode("latin-1").translate(ALPHABET)
             ids = self._mapped(mapped)
-            if len(text) < 64:
+            if len(text) < SHORT:
                 self.tokens[text] = ids
         return ids
 

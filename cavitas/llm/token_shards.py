@@ -195,8 +195,9 @@ def _build(path: str, end_id: int, shard_tokens: int):
 
         for batch in batches:
             for rows in slices(batch):
-                for i, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), strict=True):
-                    held.append(enc.encode(text or "") + end)
+                encoded = enc.encode_all([text or "" for text in rows["text"].to_pylist()])
+                for i, own in zip(rows["doc_id"].to_pylist(), encoded, strict=True):
+                    held.append(own + end)
                     ids.append(i)
                     size += len(held[-1]) // 4
                     if size >= shard_tokens:

@@ -34,6 +34,26 @@ def test_encoder_equals_library(library, leaf):
         assert dec.decode(want) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("keep", [5, 300, 1 << 17])
+def test_texts_together_equal_library(library, keep):
+    rng = random.Random(keep)
+    pieces = [*PIECES, " x", "\nHel", "\u00ff", "\u024f", "\u0250", "\u00d7", "\u00f7", "-->", "0042", "lo" * 40]
+    enc = bpe.Encoder(bpe.vocabulary_path(), keep=keep)
+    for _ in range(8):
+        texts = ["".join(rng.choice(pieces[: rng.randint(2, len(pieces))]) for _ in range(rng.choice([0, 1, 3, 10, 40]))) for _ in range(400)]
+        texts += ["aaaaaaa aaa aa", "Hello there, world", " leading", "trailing ", "\n", "one\ntwo 3.5"]
+        assert enc.encode_all(texts) == [np.array(want_ids(library, t), "<u4").tobytes() for t in texts]
+
+
+def test_plain_texts_take_no_call_a_word(library, monkeypatch):
+    enc = bpe.Encoder(bpe.vocabulary_path())
+    texts = [f"Document {k}: plain words, r\u00e9sum\u00e9 no. {k * k}\nand zqxv{k}jk." for k in range(50)]
+    calls = []
+    monkeypatch.setattr(enc, "leaf_ids", lambda token: calls.append(token) or [])
+    assert enc.encode_all(texts) == [np.array(want_ids(library, t), "<u4").tobytes() for t in texts]
+    assert not calls
+
+
 def test_round_trip(spark, docs, library):
     want = []
     for i, t in ROWS:
