@@ -25,7 +25,6 @@ from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -225,13 +224,33 @@ def decoder(path: str) -> Decoder:
     return Decoder(path)
 
 
-def _encode_rows(path: str, leaf: int):
+def _ids_only(path: str):
+    return lambda batch, ids: {"doc_id": batch["doc_id"], "ids": pa.array(ids, pa.binary())}
+
+
+def _digests(path: str):
+    dec = decoder(path)
+
+    def columns(batch: pa.RecordBatch, ids: list[bytes]) -> dict[str, pa.Array]:
+        return {
+            "doc_id": batch["doc_id"],
+            "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+            "decoded_sha256": pa.array([hashlib.sha256(dec.decode(x).encode()).hexdigest() for x in ids]),
+        }
+
+    return columns
+
+
+_IDS, _DIGESTS = "doc_id long, ids binary", "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+
+
+def _encode_rows(path: str, leaf: int, returned):
     def make():
-        enc = encoder(path, leaf)
+        enc, columns = encoder(path, leaf), returned(path)
 
         def step(batch: pa.RecordBatch):
-            ids = [enc.encode(t or "") for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_pydict(columns(batch, enc.encode_all([t or "" for t in batch["text"].to_pylist()])))
 
         return step
 
@@ -328,48 +347,34 @@ def _encode_leaves(path: str, leaf: int):
     return make
 
 
-def _join_leaves(path: str, leaf: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        enc = encoder(path, leaf)
-        times = int((rows["seq"] == 0).sum())  # of a repeated row
-        rows = rows.drop_duplicates("seq").sort_values("seq")
-        ids = joined(enc, zip(rows["group"], rows["ids"], strict=True))
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[:1].astype("Int64").repeat(times), "ids": [ids] * times})
+def _join_leaves(path: str, leaf: int, returned):
+    def run(leaves: pa.Table) -> pa.Table:
+        enc, columns = encoder(path, leaf), returned(path)
+        parts = leaves.select(["seq", "group", "ids"]).sort_by("seq").to_pylist()
+        times = sum(x["seq"] == 0 for x in parts)  # of a repeated row
+        ids = joined(enc, [(x["group"], x["ids"]) for x in parts[::times]])
+        own = pa.RecordBatch.from_pydict({"doc_id": leaves["doc_id"].slice(0, 1).combine_chunks()})
+        return pa.concat_tables([pa.table(columns(own, [ids]))] * times)
 
     return run
 
 
-def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
-    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers, one row a document."""
+def _encoded(docs: DataFrame, path: str, leaf: int, returned, schema: str) -> DataFrame:
+    """What ``returned`` makes of each document's ids, in the Python worker that has them: a task needs one worker, with one vocabulary, and no ids go through Spark."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     long = F.coalesce(F.length("text") > leaf, F.lit(False))
-    short = map_batches(rows.where(~long), _encode_rows(path, leaf), "doc_id long, ids binary")
+    short = map_batches(rows.where(~long), _encode_rows(path, leaf, returned), schema)
     keyed = rows.where(long).select("doc_id", F.xxhash64("text").alias("row_key"), "text")
     leaves = map_batches(keyed, _leaf_rows(path, leaf), "doc_id long, row_key long, seq int, group int, text string")
     spread = leaves.repartition("doc_id", "row_key", "seq")
     done = map_batches(spread, _encode_leaves(path, leaf), "doc_id long, row_key long, seq int, group int, ids binary")
-    joined = done.groupBy("doc_id", "row_key").applyInPandas(_join_leaves(path, leaf), "doc_id long, ids binary")
-    return short.unionByName(joined)
-
-
-def _digest_rows(path: str):
-    def make():
-        dec = decoder(path)
+    return short.unionByName(done.groupBy("doc_id", "row_key").applyInArrow(_join_leaves(path, leaf, returned), schema))
 
-        def step(batch: pa.RecordBatch):
-            ids = [x or b"" for x in batch["ids"].to_pylist()]
-            arrays = [
-                batch["doc_id"],
-                pa.array([len(x) // 4 for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(dec.decode(x).encode()).hexdigest() for x in ids]),
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-        return step
-
-    return make
+def encode(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
+    """``doc_id, ids``: ids as little-endian unsigned 32-bit integers, one row a document."""
+    return _encoded(docs, path, leaf, _ids_only, _IDS)
 
 
 def _decode_rows(path: str):
@@ -391,7 +396,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """Encodes, decodes, and returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``."""
-    return map_batches(encode(docs, path, leaf), _digest_rows(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, leaf, _digests, _DIGESTS)
 
 
 def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

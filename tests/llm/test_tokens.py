@@ -54,6 +54,23 @@ def test_plain_texts_take_no_call_a_word(library, monkeypatch):
     assert not calls
 
 
+def test_round_trip_takes_one_python_worker_a_task(docs):
+    """No Python step stands over another within one stage."""
+    plan = bpe.round_trip(docs(ROWS), bpe.vocabulary_path())._jdf.queryExecution().sparkPlan()
+    over = []
+
+    def walk(node, inside):
+        name = node.nodeName()
+        python = "InArrow" in name or "InPandas" in name
+        over.extend([name] * (python and inside))
+        inside = (inside or python) and "Exchange" not in name and not name.startswith("FlatMapGroups")
+        for k in range(node.children().size()):
+            walk(node.children().apply(k), inside)
+
+    walk(plan, False)
+    assert not over
+
+
 def test_round_trip(spark, docs, library):
     want = []
     for i, t in ROWS:
