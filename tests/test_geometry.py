@@ -149,6 +149,30 @@ def test_distance_joins(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("metric", ["e", "b", "c"])
+def test_crowded_cells_meet_in_blocks(spark, monkeypatch, metric):
+    """A cell of 150 points, 100 of them in one place: no key of the join has over 20 rows of the side that a task holds."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([np.tile([0.31, 0.12, 0.57], (100, 1)), rng.random((50, 3)) * 0.1 + 0.3, rng.random((80, 3)) * 2 - 1])
+    sets, block = {"e": 0.3, "b": 0.3, "c": 0.05}, joins.BLOCK
+    monkeypatch.setattr(joins, "BLOCK", 20)
+    pairs = joins.distance_pairs(frame(spark, x), sets[metric], metric=metric)
+    assert "__block" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    centred = x - x.mean(axis=1, keepdims=True)
+    centred /= np.linalg.norm(centred, axis=1, keepdims=True)
+    apart = {"e": np.linalg.norm(x[:, None] - x[None], axis=2), "b": np.abs(x[:, None] - x[None]).sum(axis=2), "c": 1 - centred @ centred.T}[metric]
+    got = [(r.i, r.j) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if apart[i, j] <= sets[metric]}
+    monkeypatch.setattr(joins, "BLOCK", block)
+    assert len(got) == joins.distance_pairs(frame(spark, x), sets[metric], metric=metric).count()
+
+
+def test_ids_that_repeat_or_are_missing_pair_as_in_sql(spark):
+    rows = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 0.5), (None, 0.9)], "point_index long, x double")
+    rows = rows.select(F.lit(0).alias("system_id"), F.lit(0).alias("structure_index"), "*", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    assert sorted((r.i, r.j, r.distance) for r in joins.distance_pairs(rows, 1.0).collect()) == [(1, 2, 0.5), (1, 2, 0.5)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 4), (7, 7), (None, 1), (9, 8), (8, 10), (10, 11), (11, 12)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges, "a", "b", nodes=spark.createDataFrame([(6,), (1,)], "node long")).collect()}
