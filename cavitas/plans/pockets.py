@@ -13,9 +13,10 @@ from cavitas.functions.metrics import euclidean
 from cavitas.operators import selection as S
 from cavitas.operators.cluster import hierarchical
 from cavitas.operators.geometry import KEYS, alpha_spheres, centroids, radius_band
-from cavitas.operators.graph import bfs_depth, connected_components
+from cavitas.operators.graph import bfs_depth, connected_components, hot_join
 from cavitas.operators.joins import distance_pairs, group_contacts, sphere_neighbors
 from cavitas.operators.network import OUTSIDE
+from cavitas.operators.reach import components_by_distance, depth_by_distance
 from cavitas.session import cut
 from cavitas.sources.pdb import atoms_of
 
@@ -117,3 +118,18 @@ def accessible_pockets(edges: DataFrame, least: int = 1) -> DataFrame:
     parts = connected_components(inner, "i", "j", nodes=depth)
     sizes = parts.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return parts.join(sizes, "component", "left_semi").select("node", "component")
+
+
+def depth_of_points(points: DataFrame, radius: float, doors: DataFrame) -> DataFrame:
+    """`depth_from_outside` over the pairs of points at most ``radius`` apart and the ``doors`` (node), which are one step from node -1, without a list of the pairs."""
+    doors = doors.select("node").where("node IS NOT NULL")
+    seeds = doors.select("node", F.lit(1).alias("depth")).unionByName(doors.limit(1).select(F.lit(OUTSIDE).cast(doors.schema["node"].dataType).alias("node"), F.lit(0).alias("depth")))
+    return depth_by_distance(points, radius, seeds).withColumn("buried", F.col("depth").isNull())
+
+
+def accessible_points(points: DataFrame, radius: float, doors: DataFrame) -> DataFrame:
+    """`accessible_pockets` over the pairs of points at most ``radius`` apart and the ``doors`` (node): the components that have a door."""
+    doors = doors.select("node").where("node IS NOT NULL").distinct()
+    parts = cut(components_by_distance(points, radius, doors).join(doors.withColumn("door", F.lit(True)), "node", "left"))
+    sizes = parts.groupBy("component").agg(F.count("*").alias("n"), F.bool_or("door").alias("open")).where("open").drop("open")
+    return hot_join(parts.drop("door"), sizes, ["component"], "n", parts.count()).select("node", "component")

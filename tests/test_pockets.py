@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from cavitas.operators import geometry, network
+from cavitas.operators import geometry, network, reach
 from cavitas.plans import pockets as P
 
 KEYS = ["system_id", "structure_index"]
@@ -109,3 +110,47 @@ def test_depth_and_accessible_pockets(spark):
     assert {(r.node, r.depth, r.buried) for r in P.depth_from_outside(edges).collect()} == {(-1, 0, False), (0, 1, False), (5, 1, False), (1, 2, False), (2, 3, False), (7, None, True), (8, None, True)}
     assert {(r.node, r.component) for r in P.accessible_pockets(edges).collect()} == {(0, 0), (1, 0), (2, 0), (5, 5)}
     assert {r.node for r in P.accessible_pockets(edges, 2).collect()} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_levels_and_components_of_points(monkeypatch, small):
+    """One part's work against brute force, also with every limit small: a crowd, a loose cloud, a chain and wide gaps."""
+    if small:
+        for name, value in (("TRIED", 7), ("LOOK", 1), ("FEW", 2)):
+            monkeypatch.setattr(reach, name, value)
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.random((80, 3)) * 0.3, rng.random((60, 3)) * 3 - 1.5, np.outer(np.arange(40), [0.099, 0, 0]) + 4, np.array([[1e6, -1e6, 3.0], [1e6, -1e6, 3.05]])])
+    radius, n = 0.1, len(x)
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= radius
+    want = np.full(n, reach.UNKNOWN)
+    want[[0, 141]], level = [1, 4], 0
+    for level in range(n):
+        reached = near[want == level].any(axis=0)
+        want[reached] = np.minimum(want[reached], level + 1)
+    linked = near.sum(axis=1) > 1
+    want[linked & (want == reach.UNKNOWN)] = reach.BURIED
+    rows = pd.DataFrame({"part": 0, "own": True, "node": np.arange(n), "x": x[:, 0], "y": x[:, 1], "z": x[:, 2], "depth": np.nan})
+    rows.loc[[0, 141], "depth"] = [1, 4]
+    rows = rows.sample(frac=1, random_state=1)
+    got = reach._lowered(radius, True)(rows)
+    known = {0: 1, 141: 4} | dict(zip(got["node"], got["depth"], strict=True))
+    assert known == {k: int(d) for k, d in enumerate(want) if d != reach.UNKNOWN}
+    label = np.arange(n)
+    for _ in range(n):
+        label = np.array([label[near[k]].min() for k in range(n)])
+    stars = reach._stars(radius)(rows)
+    assert dict(zip(stars["u"], stars["v"], strict=True)) == {k: int(m) for k, m in enumerate(label) if m != k}
+
+
+@pytest.mark.parametrize("part", [30, 10_000])
+def test_reach_goes_on_from_part_to_part(spark, monkeypatch, part):
+    """A long winding chain, in one part and in many: each point is one step on."""
+    monkeypatch.setattr(reach, "PART", part)
+    turn = np.arange(200)
+    x = np.stack([np.cos(turn / 16), np.sin(turn / 16), turn / 100], axis=1)
+    near = np.linalg.norm(x[:, None] - x[None], axis=2) <= 0.07
+    assert near.sum() == 200 + 2 * 199
+    points = spark.createDataFrame([(int(k), *map(float, v)) for k, v in enumerate(x)] + [(900, 9.0, 9.0, 9.0)], "point_index long, x double, y double, z double")
+    doors = spark.createDataFrame([(150,), (900,)], "node long")
+    assert {(r.node, r.depth, r.buried) for r in P.depth_of_points(points, 0.07, doors).collect()} == {(-1, 0, False), (900, 1, False), *((k, abs(k - 150) + 1, False) for k in range(200))}
+    assert {(r.node, r.component) for r in P.accessible_points(points, 0.07, doors).collect()} == {(900, 900), *((k, 0) for k in range(200))}

@@ -1,3 +1,4 @@
+import math
 import os
 
 import numpy as np
@@ -5,6 +6,7 @@ import pytest
 from test_geometry import naive_clusters
 
 import __spark_entry__ as entry
+from cavitas.operators import reach
 from cavitas.plans import queries as plan_queries
 
 DATA = os.environ.get("CAVITAS_TESTDATA", "/root/testdata/sf0.001")
@@ -64,6 +66,31 @@ def test_permeability_of_two_of_ids_that_repeat(spark, tmp_path):
     assert equal_to_sql(spark, pytest.importorskip("duckdb"), tmp_path, "permeability_of_two", [*vectors, (None, 0.1, 0.1, 0.1)])
 
 
+@pytest.mark.parametrize("name", ["accessible_pockets"])
+def test_reach_lists_no_pairs(spark, monkeypatch, name):
+    """Of points by distance, neither query makes a row a pair."""
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+
+    def listed(*_, **__):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(plan_queries.joins, "distance_pairs", listed)
+    assert entry.queries()[name](spark, DATA).count() > 0
+
+
+@pytest.mark.parametrize("name", ["accessible_pockets"])
+@pytest.mark.parametrize("part", [15, 10_000])
+def test_reach_of_odd_points_equals_sql(spark, monkeypatch, tmp_path, name, part):
+    """Ids that repeat in two places, no id, no place, a chain, points in one place and some that nothing reaches; in one part and in many."""
+    monkeypatch.setattr(reach, "PART", part)
+    rng = np.random.default_rng(9)
+    vectors = [(1 + k, *v) for k, v in enumerate(rng.random((60, 3)) * 0.2) if k % 25 != 24]
+    vectors += [(100 + k, 1 + 0.045 * k, 0, 0) for k in range(20)] + [(203, -0.5, 0, 0), (204, -0.52, 0, 0), (206, -2, 0, 0), (303, 0.5, 0.5, 0.5), (303, -0.52, 0, 0.04)]
+    vectors += [(400 + k, 3, 3, 3) for k in range(30)] + [(None, 1, 0, 0), (None, -2, 0, 0), (25, math.nan, 0, 0), (207, math.nan, 0, 0), (208, math.inf, 0, 0), (75, 0.5, 0.5, 0.48)]
+    assert equal_to_sql(spark, pytest.importorskip("duckdb"), tmp_path, name, vectors)
+
+
 LINKAGES = {f"pockets_by_{name}_linkage": name for name in ("complete", "average", "centroid")}
 
 
