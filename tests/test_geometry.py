@@ -167,6 +167,17 @@ def test_crowded_cells_meet_in_blocks(spark, monkeypatch, metric):
     assert len(got) == joins.distance_pairs(frame(spark, x), sets[metric], metric=metric).count()
 
 
+def test_crowded_city_blocks_look_into_fewer_cells(spark, monkeypatch):
+    """Points on a lattice of halves of the radius, where pairs just at the radius lie in far cells: 41 of the 63 cells do."""
+    monkeypatch.setattr(joins, "BLOCK", 2)
+    x = np.array(list(itertools.product(range(5), repeat=3))) * 0.125
+    pairs = joins.distance_pairs(frame(spark, x), 0.25, metric="b")
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.split("Generate explode([")[1].split("])")[0].count("[") == 41
+    apart = np.abs(x[:, None] - x[None]).sum(axis=2)
+    assert {(r.i, r.j) for r in pairs.collect()} == {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if apart[i, j] <= 0.25}
+
+
 def test_ids_that_repeat_or_are_missing_pair_as_in_sql(spark):
     rows = spark.createDataFrame([(1, 0.0), (1, 1.0), (2, 0.5), (None, 0.9)], "point_index long, x double")
     rows = rows.select(F.lit(0).alias("system_id"), F.lit(0).alias("structure_index"), "*", F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
